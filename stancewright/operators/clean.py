@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from stancewright import schemas
 from stancewright.functions import last_segment, nan_to_null
+from stancewright.operators.keys import wanted_rows
 from stancewright.schemas import col
 
 
@@ -78,7 +79,7 @@ def duplicate_corrections(corrections: DataFrame) -> DataFrame:
 
 def unmatched_corrections(df: DataFrame, corrections: DataFrame, key: str = "code") -> DataFrame:
     """Corrections for a column or a post the table does not have."""
-    known = df.select(col(key).alias("code")).distinct()
+    known = wanted_rows(df.select(col(key).alias("code")), corrections, "code").distinct()
     bad_column = corrections.filter(~col("column").isin(df.columns))
     bad_code = corrections.filter(col("column").isin(df.columns)).join(known, "code", "left_anti")
     return bad_column.unionByName(bad_code)

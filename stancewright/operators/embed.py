@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stancewright.functions import to_vector
+from stancewright.operators.keys import wanted_rows
 from stancewright.schemas import col
 
 Embedder = Callable[[], Callable[[list[str]], Sequence[Sequence[float]]]]
@@ -84,10 +85,14 @@ def embed_missing(
     **options,
 ) -> DataFrame:
     """Embeddings of the posts the store lacks, one per key; append these to the store."""
-    new = posts.select(col(key), col(text)).join(
-        store.select(col(key)).distinct(), key, "left_anti"
-    )
-    return embed_text(new.dropDuplicates([key]), embedder, text, key, **options)
+    present = wanted_rows(store.select(col(key)), posts, key).distinct()
+    new = posts.select(col(key), col(text)).join(present, key, "left_anti")
+    return embed_text(one_text_per_key(new, text, key), embedder, text, key, **options)
+
+
+def one_text_per_key(posts: DataFrame, text: str = "post", key: str = "code") -> DataFrame:
+    """``(key, text)`` once per key; of several texts the first in order, in every run."""
+    return posts.groupBy(col(key)).agg(F.min(col(text)).alias(text))
 
 
 def vector_lengths(df: DataFrame, vector: str = "embedding") -> DataFrame:

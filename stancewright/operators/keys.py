@@ -25,15 +25,27 @@ def assert_unique(df: DataFrame, key: str = "code") -> DataFrame:
     return df
 
 
+def wanted_rows(df: DataFrame, keys: DataFrame, key: str = "code") -> DataFrame:
+    """Rows of a large table whose key occurs in another table.
+
+    An outer or anti join cannot broadcast the side it preserves, so looking up a few
+    posts in a huge table would shuffle all of it. A semi join can: where the keys are
+    few, Spark broadcasts them and the large table is only scanned.
+    """
+    return df.join(keys.select(col(key)), key, "left_semi")
+
+
 def missing_keys(left: DataFrame, right: DataFrame, key: str = "code") -> DataFrame:
     """Keys of ``left`` without a partner in ``right``, once each."""
     wanted = left.select(col(key)).distinct()
-    return wanted.join(right.select(col(key)).distinct(), key, "left_anti")
+    present = wanted_rows(right.select(col(key)), wanted, key).distinct()
+    return wanted.join(present, key, "left_anti")
 
 
 def _require_partner(df: DataFrame, key: str, what: str) -> DataFrame:
     """Fails the running job at the first row whose lookup found nothing."""
-    message = F.concat(F.lit(f"no {what} for {key} "), F.coalesce(col(key).cast("string"), F.lit("NULL")))
+    shown = F.coalesce(col(key).cast("string"), F.lit("NULL"))
+    message = F.concat(F.lit(f"no {what} for {key} "), shown)
     found = F.when(col("_found"), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
     return df.filter(found).drop("_found")
 
@@ -54,7 +66,8 @@ def attach_embeddings(
     store = embeddings.select(col(key), *[col(n) for n in columns])
     if not strict:
         return posts.join(store, key)
-    joined = posts.join(store.withColumn("_found", F.lit(True)), key, "left")
+    wanted = wanted_rows(store, posts, key).withColumn("_found", F.lit(True))
+    joined = posts.join(wanted, key, "left")
     return _require_partner(joined, key, "embedding")
 
 
@@ -93,7 +106,9 @@ def align_predictions(
 ) -> DataFrame:
     """Labelled rows with the prediction of each label as ``pred <label>``."""
     names = list(labels)
-    renamed = predictions.select(col(key), *[col(n).alias(f"pred {n}") for n in names])
+    renamed = wanted_rows(predictions, labelled, key).select(
+        col(key), *[col(n).alias(f"pred {n}") for n in names]
+    )
     if not strict:
         return labelled.join(renamed, key, "left")
     joined = labelled.join(renamed.withColumn("_found", F.lit(True)), key, "left")
@@ -103,7 +118,7 @@ def align_predictions(
 def pick_rows(df: DataFrame, keys: DataFrame | Sequence, key: str = "code") -> DataFrame:
     """Rows for a few given keys, or for all keys of another table."""
     if isinstance(keys, DataFrame):
-        return df.join(keys.select(col(key)), key, "left_semi")
+        return wanted_rows(df, keys, key)
     return df.filter(col(key).isin(list(keys)))
 
 

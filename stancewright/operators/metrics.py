@@ -318,8 +318,8 @@ def best_epoch(
     best = F.max(F.struct(col("value"), (-col("epoch")).alias("_rev")))
     return rated.groupBy(*[col(n) for n in by]).agg(best.alias("_best")).select(
         *[col(n) for n in by],
-        (-col("_best._rev")).alias("epoch"),
-        col("_best.value").alias("value"),
+        (-F.col("_best._rev")).alias("epoch"),
+        F.col("_best.value").alias("value"),
     )
 
 

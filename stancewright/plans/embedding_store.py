@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stancewright.operators.embed import embed_missing, embed_text
+from stancewright.operators.embed import embed_missing, embed_text, one_text_per_key
 from stancewright.sources import read_embeddings, write_embeddings
 
 
 def build_store(posts: DataFrame, path: str, embedder="hashing", **options) -> None:
     """Embeds every post, once per code."""
-    write_embeddings(embed_text(posts.dropDuplicates(["code"]), embedder, **options), path)
+    write_embeddings(embed_text(one_text_per_key(posts), embedder, **options), path)
 
 
 def extend_store(
