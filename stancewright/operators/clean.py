@@ -140,7 +140,7 @@ def cleaning_audit(before: DataFrame, after: DataFrame, labels: Iterable[str]) -
     names = list(labels)
 
     def totals(df: DataFrame, stage: str) -> DataFrame:
-        sums = [F.sum(col(n)).cast("long").alias(n) for n in names]
+        sums = [F.coalesce(F.sum(col(n)), F.lit(0)).cast("long").alias(n) for n in names]
         wide = df.agg(F.count(F.lit(1)).alias("n_rows"), *sums)
         return wide.withColumn("stage", F.lit(stage)).unpivot(
             ["stage", "n_rows"], [col(n) for n in names], "label", "positives"

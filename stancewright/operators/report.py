@@ -27,7 +27,8 @@ def _date(df: DataFrame, name: str) -> Column:
 
 
 def _sums(labels: Sequence[str]) -> list[Column]:
-    return [F.sum(col(n)).cast("long").alias(n) for n in labels]
+    """Sums that count a label nobody annotated as 0."""
+    return [F.coalesce(F.sum(col(n)), F.lit(0)).cast("long").alias(n) for n in labels]
 
 
 def _long(df: DataFrame, ids: list[str], labels: Sequence[str]) -> DataFrame:
@@ -78,10 +79,11 @@ def monthly_counts(
     date: str = "date",
     calendar: str = "month",
 ) -> DataFrame:
-    """Positives per month and label."""
+    """Positives per month and label; posts without a readable date belong to no month."""
     names = list(labels)
-    month = month_of(_date(df, date), calendar).alias("month")
-    return _long(df.groupBy(month).agg(*_sums(names)), ["month"], names)
+    month = month_of(_date(df, date), calendar)
+    wide = df.filter(month.isNotNull()).groupBy(month.alias("month")).agg(*_sums(names))
+    return _long(wide, ["month"], names)
 
 
 def monthly_share(

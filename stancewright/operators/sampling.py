@@ -102,7 +102,8 @@ def class_weights(df: DataFrame, labels: Iterable[str]) -> DataFrame:
 def pos_weights(df: DataFrame, labels: Iterable[str]) -> DataFrame:
     """Rows not positive per positive row, for each binary label."""
     names = list(labels)
-    wide = df.agg(F.count(F.lit(1)).alias("_n"), *[F.sum(col(n)).cast("double").alias(n) for n in names])
+    sums = [F.coalesce(F.sum(col(n)), F.lit(0)).cast("double").alias(n) for n in names]
+    wide = df.agg(F.count(F.lit(1)).alias("_n"), *sums)
     return wide.unpivot(["_n"], [col(n) for n in names], "label", "_pos").select(
         "label", ((col("_n") - col("_pos")) / (col("_pos") + 1e-5)).alias("weight")
     )
