@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from stancewright.functions import to_vector
 from stancewright.operators.keys import wanted_rows
 from stancewright.schemas import col
+from stancewright.session import spread
 
 Embedder = Callable[[], Callable[[list[str]], Sequence[Sequence[float]]]]
 
@@ -69,11 +70,12 @@ def embed_text(
     ``'hashing'`` is the embedder that needs no model; anything else is a factory as
     described above, handed at most ``batch_size`` texts at a time.
     """
-    if embedder == "hashing":
-        return _hashed_terms(df, text, dim).select(col(key), "embedding")
-    if not callable(embedder):
+    if embedder != "hashing" and not callable(embedder):
         raise ValueError(f"embedder must be 'hashing' or a factory, not {embedder!r}")
-    return _called(df.select(col(key), col(text).alias("_source")), embedder, key, batch_size)
+    texts = spread(df.select(col(key), col(text).alias("_source")))
+    if embedder == "hashing":
+        return _hashed_terms(texts, "_source", dim).select(col(key), "embedding")
+    return _called(texts, embedder, key, batch_size)
 
 
 def embed_missing(

@@ -285,15 +285,20 @@ def evaluate(
     one-vs-one area on the probabilities for one with more. ``roc_auc_scores`` is the area
     on the probabilities for both kinds.
     """
+    keys = [col(n) for n in by]
     counts = class_confusion(df, by, truth, pred)
-    areas = roc_auc_ovo(df, by, truth, probs).drop("n_pairs")
+    # Each part has one row per group; stacked and aggregated they need no join.
+    parts = multiclass_scores(counts, by)
+    for part in (hard_auc(counts, by), roc_auc_ovo(df, by, truth, probs).drop("n_pairs")):
+        parts = parts.unionByName(part, allowMissingColumns=True)
+    names = [n for n in parts.columns if n not in by]
     few = col("n_classes") <= 2
     return (
-        multiclass_scores(counts, by)
-        .join(hard_auc(counts, by), list(by))
-        .join(areas, list(by), "left")
+        parts.groupBy(*keys)
+        .agg(*[F.max(n).alias(n) for n in names])
+        .filter(col("n_rows").isNotNull())
         .select(
-            *[col(n) for n in by],
+            *keys,
             "n_rows",
             "n_classes",
             "accuracy",

@@ -41,12 +41,9 @@ def label_counts(df: DataFrame, labels: Iterable[str] = tuple(schemas.REPORT_LAB
     return _long(df.agg(*_sums(names)), [], names)
 
 
-def _with_share(counts: DataFrame, within: Sequence[str] = ()) -> DataFrame:
-    """Part of all positives in the group; NULL where the group has none."""
-    group = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
-    return counts.withColumn(
-        "share", F.try_divide(col("positives").cast("double"), F.sum("positives").over(group))
-    )
+def _share(positives: Column, total: Column) -> Column:
+    """Part of all positives; NULL where there are none."""
+    return F.try_divide(positives.cast("double"), total)
 
 
 def label_prevalence(
@@ -65,7 +62,13 @@ def label_prevalence(
         if date is None:
             raise ValueError("a month needs the date column")
         df = df.filter(F.month(_date(df, date)) == month)
-    shares = _with_share(label_counts(df, labels))
+    names = list(labels)
+    # The total comes from the same single row as the sums, so no window is needed.
+    wide = df.agg(*_sums(names))
+    totalled = wide.withColumn("_total", sum((col(n) for n in names), F.lit(0)))
+    shares = _long(totalled, ["_total"], names).select(
+        "label", "positives", _share(col("positives"), col("_total")).alias("share")
+    )
     if only is not None:
         shares = shares.filter(col("label").isin(list(only)))
     return shares.withColumn("percentage", percent_text(col("share"))).orderBy(
@@ -93,7 +96,10 @@ def monthly_share(
     calendar: str = "month",
 ) -> DataFrame:
     """How the positives of each label spread over the months; sums to 1 per label."""
-    return _with_share(monthly_counts(df, labels, date, calendar), ["label"])
+    total = F.sum("positives").over(Window.partitionBy("label"))
+    return monthly_counts(df, labels, date, calendar).withColumn(
+        "share", _share(col("positives"), total)
+    )
 
 
 def months_with_total(df: DataFrame, date: str = "date") -> DataFrame:

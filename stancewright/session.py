@@ -54,3 +54,16 @@ def materialise(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores, for CPU-bound steps on a table of few file splits.
+
+    Only a table small enough that its scan cannot occupy every core is redistributed;
+    the scan of a large one already yields a task per split.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) < cores * split else df
