@@ -10,12 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stancewright import sources
 from stancewright.functions import argmax, sigmoid, softmax, threshold, top_probability
 from stancewright.operators import clean, embed, keys, labels, metrics, report, sampling, train
+from stancewright.plans.classify import classify_posts, predict_from_text
 from stancewright.plans.report_page import evaluate_against_labels
 from stancewright.plans.training import cross_validate, train_and_test
 from stancewright.schemas import col
@@ -154,7 +156,8 @@ def year_month_counts(spark, d):
     """
 )
 def months_with_total(spark, d):
-    return report.months_with_total(dated(spark, d))
+    posts = dated(spark, d).withColumn("date", col("date").cast("string"))
+    return report.months_with_total(posts)
 
 
 @query("SELECT doc_id, source, n_chars FROM documents ORDER BY doc_id LIMIT 15")
@@ -991,10 +994,81 @@ def _training_set(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+LEARNT = ["label", "stance", "upper"]
+
+
+@query(
+    """
+    SELECT vec_id AS code, CAST(label AS DOUBLE) AS label, CAST(len(embedding) AS INTEGER) AS dim,
+           round(count(*) OVER () / ((SELECT count(DISTINCT label) FROM embeddings)
+                                     * count(*) OVER (PARTITION BY label)), 6) AS weight
+    FROM embeddings
+    """
+)
+def training_frame(spark, d):
+    data = _training_set(spark, d)
+    weights = [(r["class"], r["weight"]) for r in sampling.class_weights(data, ["label"]).collect()]
+    frame = sampling.training_frame(data, "label", weights=weights)
+    return rounded(frame, "weight").select(
+        "code", "label", F.size(vector_to_array("features")).alias("dim"), "weight"
+    )
+
+
+@query()
+def epoch_log(spark, d):
+    parts = sampling.split_by_key(_training_set(spark, d), "code")
+    run = train.fit_epochs(
+        parts.filter("split = 'train'"), parts.filter("split = 'val'"), "stance",
+        epochs=6, every=3, hidden=16,
+    )
+    return run.log
+
+
+@query(
+    """
+    SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_contradictions,
+           count(*) AS n_in_domain FROM embeddings
+    """
+)
+def classified_posts(spark, d):
+    """The wide table of predictions: no post is both pro and anti."""
+    data = _training_set(spark, d)
+    models = train.train_labels(data, ["stance", "upper"], max_iter=10)
+    posts = data.select("code", "label")
+    wide = classify_posts(posts, data.select("code", "embedding"), models, ["stance"])
+    pro, anti = col("pro stance"), col("anti stance")
+    return wide.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if((pro == 1) & (anti == 1)).alias("n_contradictions"),
+        F.count_if(pro.isin(0, 1) & anti.isin(0, 1) & col("upper").isin(0, 1)).alias("n_in_domain"),
+    )
+
+
+@query(
+    """
+    SELECT label, count(*) AS n_rows, count(*) AS n_sum_to_one FROM documents
+    CROSS JOIN (VALUES ('quality'), ('toxic')) l(label) GROUP BY label
+    """
+)
+def text_classifier(spark, d):
+    """From raw text: embed, train on the annotated posts, predict every post."""
+    posts = annotated(spark, d).select(
+        col("doc_id").cast("string").alias("code"), col("text").alias("post"), *MARKS
+    )
+    vectors = embed.embed_text(posts, dim=64)
+    known = keys.attach_embeddings(posts.drop("post").na.drop(), vectors, strict=True)
+    models = train.train_labels(known, MARKS, max_iter=10)
+    preds = predict_from_text(posts, models, dim=64)
+    total = F.aggregate("probs", F.lit(0.0), lambda a, p: a + p)
+    return preds.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.abs(total - 1) < 1e-6).alias("n_sum_to_one")
+    )
+
+
 @query()
 def train_and_score(spark, d):
     _, scores = train_and_test(
-        _training_set(spark, d), ["label", "stance", "upper"],
+        _training_set(spark, d), LEARNT,
         model_root=scratch_path(spark, "models"), max_iter=30,
     )
     return scores
@@ -1016,8 +1090,9 @@ def cross_validation(spark, d):
 def predict_coverage(spark, d):
     """Every post gets, per label, one prediction in the domain and proper probabilities."""
     data = _training_set(spark, d)
-    models = train.train_labels(data, ["label", "stance", "upper"], max_iter=20)
-    preds = train.predict_labels(data, models)
+    root = scratch_path(spark, "models")
+    sources.save_models(train.train_labels(data, LEARNT, max_iter=20), root)
+    preds = train.predict_labels(data, sources.load_models(root, LEARNT))
     total = F.aggregate("probs", F.lit(0.0), lambda a, p: a + p)
     return preds.groupBy("label").agg(
         F.count(F.lit(1)).alias("n_rows"),

@@ -14,22 +14,24 @@ from pyspark.sql import functions as F
 from stancewright.schemas import col
 from stancewright.session import materialise
 
-_ROW_BITS = (1 << 33) - 1
-
-
 def with_position(df: DataFrame, key: str, name: str = "position") -> DataFrame:
     """Zero-based position of each row in the order of a unique key.
 
-    Only the key is sorted. The range-partitioned keys are checkpointed, because their
-    slices are read twice (once to count, once to number) and both readings must see the
-    same slice bounds even if an executor is lost in between.
+    Only the key is sorted. The numbered keys are checkpointed, because their slices are
+    read twice (to add up the slice sizes, and to number) and both readings must see the
+    same slice bounds even if an executor is lost in between. A repeated key is an error:
+    its copies meet in one slice, next to each other.
     """
+    inside = Window.partitionBy("_slice").orderBy(col(key))
+    repeated = F.lag(col(key)).over(inside) == col(key)
+    message = F.concat(F.lit(f"{key} is not unique: "), col(key).cast("string"))
     placed = materialise(
         df.select(col(key))
         .repartitionByRange(col(key))
-        .sortWithinPartitions(col(key))
         .withColumn("_slice", F.spark_partition_id())
-        .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS)))
+        .withColumns({"_at": F.row_number().over(inside) - 1, "_repeated": repeated})
+        .filter(F.when(col("_repeated"), F.raise_error(message).cast("boolean")).otherwise(True))
+        .drop("_repeated")
     )
     earlier = Window.partitionBy(F.lit(0)).orderBy("_slice").rowsBetween(
         Window.unboundedPreceding, -1

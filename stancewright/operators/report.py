@@ -71,8 +71,11 @@ def label_prevalence(
     )
     if only is not None:
         shares = shares.filter(col("label").isin(list(only)))
-    return shares.withColumn("percentage", percent_text(col("share"))).orderBy(
-        F.desc("positives"), F.asc("label")
+    # One row per label: sorting them needs no range exchange.
+    return (
+        shares.withColumn("percentage", percent_text(col("share")))
+        .coalesce(1)
+        .orderBy(F.desc("positives"), F.asc("label"))
     )
 
 
@@ -109,6 +112,7 @@ def months_with_total(df: DataFrame, date: str = "date") -> DataFrame:
         months.rollup("_month")
         .agg(F.count(F.lit(1)).alias("n_posts"), F.grouping("_month").alias("_total"))
         .filter("_total = 1 or _month is not null")
+        .coalesce(1)  # thirteen rows at most
         .orderBy("_total", "_month")
         .select(
             F.when(col("_total") == 1, "All").otherwise(col("_month").cast("string")).alias("month"),

@@ -206,11 +206,12 @@ def fit_epochs(
     width = max(2, max(c for c, _ in weights) + 1)
     layers = mlp_layers(embedding_dim(train, features), hidden, width)
     # A row keeps its class weight in validation too, so both losses are comparable.
-    frames = {
-        "train": training_frame(train, label, features, key, weights).persist(),
-        "val": training_frame(val, label, features, key, weights).persist(),
-    }
-    fit_on = oversample(frames["train"], weights).persist()
+    parts = [
+        training_frame(part, label, features, key, weights).withColumn("split", F.lit(name))
+        for name, part in (("train", train), ("val", val))
+    ]
+    both = parts[0].unionByName(parts[1]).persist()
+    fit_on = oversample(both.filter("split = 'train'"), weights).persist()
     rows, model, best = [], None, (None, float("-inf"), None)
     try:
         for epoch in range(every, epochs + 1, every):
@@ -218,27 +219,33 @@ def fit_epochs(
             if model is not None:
                 net.setInitialWeights(model.weights)
             model = net.fit(fit_on)
-            for split, frame in frames.items():
-                preds = model.transform(frame).select(
-                    F.lit(label).alias("label"),
-                    col("label").cast("int").alias("ground_truth"),
-                    col("prediction").cast("int").alias("prediction"),
-                    vector_to_array("probability").alias("probs"),
-                    "weight",
-                )
-                scores = evaluate(preds).join(log_loss(preds, weight="weight"), "label").first()
-                logged = {
-                    "accuracy": scores["accuracy"],
-                    "f1": scores["f1_weighted"],
-                    "rocauc": scores["roc_auc"],
-                    "loss": scores["log_loss"],
-                }
-                rows += [(label, epoch, split, name, value) for name, value in logged.items()]
-            reached = logged[metric]
+            scores = _epoch_scores(model.transform(both))
+            rows += [(label, epoch, *score) for score in scores]
+            reached = next((v for s, m, v in scores if (s, m) == ("val", metric)), None)
             if reached is not None and reached > best[1]:
                 best = (epoch, reached, model)
     finally:
-        for frame in (*frames.values(), fit_on):
-            frame.unpersist()
+        both.unpersist()
+        fit_on.unpersist()
     log = train.sparkSession.createDataFrame(rows, schemas.TRAINING_LOG)
     return EpochRun(log, best[0], best[2], model)
+
+
+def _epoch_scores(scored: DataFrame) -> list[tuple]:
+    """(split, metric, value) of both splits, in one job."""
+    preds = scored.select(
+        "split",
+        col("label").cast("int").alias("ground_truth"),
+        col("prediction").cast("int").alias("prediction"),
+        vector_to_array("probability").alias("probs"),
+        "weight",
+    )
+    metrics = evaluate(preds, ["split"]).select(
+        "split", "accuracy", col("f1_weighted").alias("f1"), col("roc_auc").alias("rocauc")
+    )
+    loss = log_loss(preds, ["split"], weight="weight").withColumnRenamed("log_loss", "loss")
+    names = ["accuracy", "f1", "rocauc", "loss"]
+    together = metrics.unionByName(loss, allowMissingColumns=True)
+    long = together.unpivot(["split"], names, "metric", "value").filter(col("value").isNotNull())
+    found = {(r["split"], r["metric"]): r["value"] for r in long.collect()}
+    return [(s, m, found.get((s, m))) for s in ("train", "val") for m in names]

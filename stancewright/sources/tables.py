@@ -119,12 +119,15 @@ def write_embeddings(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).parquet(path)
 
 
-def save_bucketed(df: DataFrame, table: str, key: str = "code", buckets: int = 200) -> None:
-    """Table bucketed and sorted by its key.
+def save_bucketed(
+    df: DataFrame, table: str, key: str = "code", buckets: int = 200, path: str | None = None
+) -> None:
+    """Table bucketed and sorted by its key, below ``path`` or in the warehouse.
 
     Two tables saved with the same bucket count join on the key without a shuffle.
     """
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    writer = df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
 def export_csv(df: DataFrame, path: str, mode: str = "error") -> None:

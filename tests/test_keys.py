@@ -77,6 +77,12 @@ def test_sequential_code(spark, partitions):
     assert got == expected
 
 
+def test_position_needs_a_unique_key(spark):
+    df = spark.range(500).union(spark.range(1))
+    with pytest.raises(Exception, match="id is not unique: 0"):
+        ordering.with_position(df, "id")
+
+
 def test_position_over_text_keys(spark):
     words = [f"w{i}" for i in range(500)]
     df = spark.createDataFrame([(w,) for w in words], "k string")
