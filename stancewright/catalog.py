@@ -944,7 +944,8 @@ def embed_with_function(spark, d):
 
 @query("SELECT doc_id, CAST(256 AS INTEGER) AS dim FROM documents")
 def embed_documents(spark, d):
-    vectors = embed.embed_text(table(spark, d, "documents"), "hashing", "text", "doc_id")
+    posts = table(spark, d, "documents")
+    vectors = embed.embed_text(posts, embed.fit_tfidf(posts, "text"), "text", "doc_id")
     return vectors.select("doc_id", F.size("embedding").alias("dim"))
 
 
@@ -1055,10 +1056,11 @@ def text_classifier(spark, d):
     posts = annotated(spark, d).select(
         col("doc_id").cast("string").alias("code"), col("text").alias("post"), *MARKS
     )
-    vectors = embed.embed_text(posts, dim=64)
+    embedder = embed.fit_tfidf(posts, dim=64)
+    vectors = embed.embed_text(posts, embedder)
     known = keys.attach_embeddings(posts.drop("post").na.drop(), vectors, strict=True)
     models = train.train_labels(known, MARKS, max_iter=10)
-    preds = predict_from_text(posts, models, dim=64)
+    preds = predict_from_text(posts, models, embedder)
     total = F.aggregate("probs", F.lit(0.0), lambda a, p: a + p)
     return preds.groupBy("label").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if(F.abs(total - 1) < 1e-6).alias("n_sum_to_one")

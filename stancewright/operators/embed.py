@@ -1,14 +1,22 @@
 """Text embeddings and their projection.
 
-An embedder is a factory: called once per task, it loads its model and returns a function
-from a list of texts to one vector per text. Local models and remote services both fit.
+An embedder is one of
+
+- a factory: called once per task, it loads its model and returns a function from a list
+  of texts to one vector per text. Local models and remote services both fit;
+- a fitted ``PipelineModel``, such as ``fit_tfidf`` returns;
+- ``'hashing'``, which needs neither a model nor fitting.
+
+A text gets the same vector whatever other texts are embedded with it, so a store can be
+extended later and new posts compared with old ones.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.ml.feature import IDF, PCA, HashingTF, RegexTokenizer, StandardScaler
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer, StandardScaler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,20 +27,39 @@ from stancewright.operators.keys import wanted_rows
 from stancewright.schemas import col
 from stancewright.session import spread
 
-Embedder = Callable[[], Callable[[list[str]], Sequence[Sequence[float]]]]
+Factory = Callable[[], Callable[[list[str]], Sequence[Sequence[float]]]]
+Embedder = str | Factory | PipelineModel
+
 
+def _text_column(df: DataFrame, text: str) -> DataFrame:
+    return df.withColumn("_text", F.coalesce(col(text), F.lit("")))
 
-def _hashed_terms(df: DataFrame, text: str, dim: int) -> DataFrame:
-    """TF-IDF over hashed terms, in any alphabet; stays in the JVM."""
+
+def _hashed_terms(dim: int) -> list:
+    """Words in any alphabet, counted by hash."""
     words = RegexTokenizer(
         inputCol="_text", outputCol="_words", pattern=r"[^\p{L}\p{N}]+", toLowercase=True
-    ).transform(df.withColumn("_text", F.coalesce(col(text), F.lit(""))))
-    counts = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dim).transform(words)
-    weighted = IDF(inputCol="_counts", outputCol="_weighted").fit(counts).transform(counts)
-    return weighted.withColumn("embedding", vector_to_array("_weighted", "float32"))
+    )
+    return [words, HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dim)]
+
 
+def _hashing(dim: int) -> PipelineModel:
+    """Hashed term counts of unit length."""
+    unit = Normalizer(inputCol="_counts", outputCol="_vector", p=2.0)
+    return PipelineModel([*_hashed_terms(dim), unit])
 
-def _called(df: DataFrame, embedder: Embedder, key: str, batch_size: int) -> DataFrame:
+
+def fit_tfidf(df: DataFrame, text: str = "post", dim: int = 256) -> PipelineModel:
+    """An embedder that weighs hashed terms by their rarity in this corpus.
+
+    Fit it once, save it, and use it for training, for later posts and on streams.
+    """
+    rarity = IDF(inputCol="_counts", outputCol="_vector")
+    texts = _text_column(spread(df.select(col(text))), text)
+    return Pipeline(stages=[*_hashed_terms(dim), rarity]).fit(texts)
+
+
+def _called(df: DataFrame, embedder: Factory, key: str, batch_size: int) -> DataFrame:
     schema = T.StructType(
         [
             T.StructField(key, df.schema[key].dataType),
@@ -52,14 +79,13 @@ def _called(df: DataFrame, embedder: Embedder, key: str, batch_size: int) -> Dat
                 out["embedding"] = [[float(x) for x in vector] for vector in vectors]
                 yield out
 
-    return df.select(col(key), F.coalesce(col("_source"), F.lit("")).alias("_text")).mapInPandas(
-        embed_batches, schema
-    )
+    texts = _text_column(df, "_source").select(col(key), "_text")
+    return texts.mapInPandas(embed_batches, schema)
 
 
 def embed_text(
     df: DataFrame,
-    embedder: str | Embedder = "hashing",
+    embedder: Embedder = "hashing",
     text: str = "post",
     key: str = "code",
     dim: int = 256,
@@ -67,21 +93,26 @@ def embed_text(
 ) -> DataFrame:
     """``(key, embedding)`` for each row.
 
-    ``'hashing'`` is the embedder that needs no model; anything else is a factory as
-    described above, handed at most ``batch_size`` texts at a time.
+    ``dim`` is the vector length of ``'hashing'``; a factory is handed at most
+    ``batch_size`` texts at a time. A missing text counts as an empty one.
     """
-    if embedder != "hashing" and not callable(embedder):
-        raise ValueError(f"embedder must be 'hashing' or a factory, not {embedder!r}")
-    texts = spread(df.select(col(key), col(text).alias("_source")))
     if embedder == "hashing":
-        return _hashed_terms(texts, "_source", dim).select(col(key), "embedding")
+        embedder = _hashing(dim)
+    if not callable(embedder) and not isinstance(embedder, PipelineModel):
+        raise ValueError(f"embedder must be 'hashing', a factory or a model, not {embedder!r}")
+    texts = df.select(col(key), col(text).alias("_source"))
+    if not texts.isStreaming:
+        texts = spread(texts)
+    if isinstance(embedder, PipelineModel):
+        vectors = embedder.transform(_text_column(texts, "_source"))
+        return vectors.select(col(key), vector_to_array("_vector", "float32").alias("embedding"))
     return _called(texts, embedder, key, batch_size)
 
 
 def embed_missing(
     posts: DataFrame,
     store: DataFrame,
-    embedder: str | Embedder,
+    embedder: Embedder,
     text: str = "post",
     key: str = "code",
     **options,

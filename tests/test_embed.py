@@ -54,14 +54,41 @@ def test_unknown_embedder(posts):
         embed.embed_text(posts, "word2vec")
 
 
-def test_hashing_embedder_reads_any_alphabet(posts):
-    vectors = {r["code"]: np.array(r["embedding"]) for r in embed.embed_text(posts, dim=64).collect()}
-    assert all(len(v) == 64 for v in vectors.values())
-    assert np.count_nonzero(vectors["b"]) == 3
-    assert not vectors["c"].any() and not vectors["d"].any()
-    # 'the war the war' weighs its two terms twice as much as 'Stop the war' does.
-    shared = vectors["e"] > 0
-    assert np.allclose(vectors["e"][shared], 2 * vectors["a"][shared])
+def vectors(df):
+    return {r["code"]: np.array(r["embedding"]) for r in df.collect()}
+
+
+def test_hashing_reads_any_alphabet(posts):
+    got = vectors(embed.embed_text(posts, dim=64))
+    assert all(len(v) == 64 for v in got.values())
+    assert np.count_nonzero(got["b"]) == 3 and np.isclose(np.linalg.norm(got["b"]), 1)
+    assert not got["c"].any() and not got["d"].any()
+
+
+def test_a_text_has_one_vector_in_any_company(posts):
+    model = embed.fit_tfidf(posts, dim=64)
+    for embedder in ("hashing", model):
+        everyone = vectors(embed.embed_text(posts, embedder, dim=64))
+        alone = vectors(embed.embed_text(posts.filter("code = 'a'"), embedder, dim=64))
+        assert alone["a"].any() and np.array_equal(alone["a"], everyone["a"])
+
+
+def test_tfidf_weighs_terms_by_rarity(posts):
+    got = vectors(embed.embed_text(posts, embed.fit_tfidf(posts, dim=1024)))
+    # 'the' and 'war' occur in two of five posts, 'stop' in one.
+    common, rare = np.log(6 / 3), np.log(6 / 2)
+    assert sorted(got["a"][got["a"] > 0]) == pytest.approx([common, common, rare])
+    assert sorted(got["e"][got["e"] > 0]) == pytest.approx([2 * common, 2 * common])
+
+
+def test_fitted_embedder_survives_saving(posts, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    model = embed.fit_tfidf(posts, dim=64)
+    model.write().save(str(tmp_path / "tfidf"))
+    back = PipelineModel.load(str(tmp_path / "tfidf"))
+    before, after = vectors(embed.embed_text(posts, model)), vectors(embed.embed_text(posts, back))
+    assert all(np.array_equal(before[k], after[k]) for k in before)
 
 
 def test_only_missing_keys_are_embedded(posts, spark, rows, lengths):

@@ -82,6 +82,16 @@ def test_report(sheet, store, models, spark):
     assert [r["label"] for r in march] == ["pro war"]
 
 
+def test_demo_labels_fill_the_report(sheet, store, models):
+    fitted = {
+        label: models["RSF" if label in schemas.THREE_STATE_LABELS else "Sudanese"]
+        for label in schemas.DEMO_LABELS
+    }
+    classified = classify_posts(sheet.select("code", "post", "date"), store, fitted)
+    assert set(schemas.BINARY_LABELS) < set(classified.columns)
+    assert report_page(classified, sheet)["evaluation"].count() == 17
+
+
 def test_evaluation_needs_every_post(sheet):
     with pytest.raises(Exception, match="no prediction for code"):
         evaluate_against_labels(sheet.filter("code <> '7'"), sheet).collect()
@@ -130,6 +140,18 @@ def test_unfolded_stream(spark, store, models, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 500 * 3
 
 
+def test_stream_of_texts(spark, models, tmp_path, rows):
+    posts = spark.createDataFrame(
+        [(str(i), f"stop the war {i}") for i in range(20)], "code string, post string"
+    )
+    posts.write.parquet(str(tmp_path / "in"))
+    stream = predict_from_text(read_stream(spark, str(tmp_path / "in"), posts.schema), models, dim=64)
+    run_to_end(stream, str(tmp_path / "out"), str(tmp_path / "offsets"))
+    batch = predict_from_text(posts, models, dim=64)
+    columns = ("code", "label", "prediction")
+    assert rows(spark.read.parquet(str(tmp_path / "out")), *columns) == rows(batch, *columns)
+
+
 def test_stance_stream(spark, tmp_path, rows):
     df = spark.createDataFrame([(1.0, 0.0), (float("nan"), 1.0)], "p double, a double")
     df.write.parquet(str(tmp_path / "in"))
