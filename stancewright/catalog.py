@@ -271,7 +271,7 @@ def _sheet(spark: SparkSession, d: str) -> DataFrame:
         F.coalesce(col("quality").cast("double"), nan).alias("quality"),
         F.coalesce(col("toxic").cast("double"), nan).alias("toxic"),
         F.when(col("lang") == "fr", 1.0).when(col("lang") == "de", nan).otherwise(0.0).alias("off_topic"),
-        F.when(col("n_chars") % 2 == 0, 0.0).when(col("lang") == "en", 1.0).alias("out_group"),
+        F.when(col("n_chars") >= 700, 0.0).when(col("lang") == "en", 1.0).alias("out_group"),
     )
 
 
@@ -281,7 +281,7 @@ SHEET = """
             CASE WHEN n_chars > 500 THEN source END AS username,
             CAST(quality AS DOUBLE) AS quality, CAST(toxic AS DOUBLE) AS toxic,
             CASE WHEN lang = 'fr' THEN 1.0 WHEN lang = 'de' THEN NULL ELSE 0.0 END AS off_topic,
-            CASE WHEN n_chars % 2 = 0 THEN 0.0 WHEN lang = 'en' THEN 1.0 END AS out_group
+            CASE WHEN n_chars >= 700 THEN 0.0 WHEN lang = 'en' THEN 1.0 END AS out_group
      FROM documents LEFT JOIN labels USING (doc_id))
 """
 _SHEET_OPTIONS = {

@@ -87,11 +87,17 @@ def class_confusion(
     truth: str = "ground_truth",
     pred: str = "prediction",
 ) -> DataFrame:
-    """Rows per group, true class and predicted class."""
+    """Rows per group, true class and predicted class.
+
+    The counts, k * k per group for k classes, are laid out by group: what is derived from
+    them needs no further shuffle.
+    """
+    keys = [col(n) for n in by]
     return (
         df.filter(col(truth).isNotNull() & col(pred).isNotNull())
-        .groupBy(*[col(n) for n in by], col(truth).alias("truth"), col(pred).alias("pred"))
+        .groupBy(*keys, col(truth).alias("truth"), col(pred).alias("pred"))
         .agg(F.count(F.lit(1)).alias("n"))
+        .repartition(*keys)
     )
 
 

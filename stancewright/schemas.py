@@ -24,6 +24,11 @@ TOPIC_PAIRS = {
 REQUIRED_LABELS = [name for pair in TOPIC_PAIRS.values() for name in pair] + [
     "Sudanese", "Not Sudanese",
 ]
+UNFOLDED_TRAINING_LABELS = [
+    "pro RSF", "anti RSF", "anti SAF", "pro SAF", "pro peace", "anti peace", "pro war",
+    "anti war", "pro civilian", "anti civilians", "no polarisation", "Geopolticis",
+    "Sudanese", "Not Sudanese",
+]
 TRAINING_LABELS = list(TOPIC_PAIRS) + [
     "no polarisation", "Geopolticis", "Sudanese", "Not Sudanese",
 ]

@@ -6,6 +6,7 @@ from stancewright.sources.models import (
     model_path,
     save_model,
     save_models,
+    save_run,
 )
 from stancewright.sources.tables import (
     conform,
@@ -24,5 +25,5 @@ from stancewright.sources.tables import (
 __all__ = [
     "conform", "export_csv", "load_model", "load_models", "model_path", "read_classified",
     "read_csv_text", "read_embeddings", "read_labelled", "read_posts", "read_scores",
-    "save_bucketed", "save_model", "save_models", "write_embeddings", "write_posts",
+    "save_bucketed", "save_model", "save_models", "save_run", "write_embeddings", "write_posts",
 ]

@@ -37,5 +37,12 @@ def save_models(models: dict, root: str, split: int | str = 0, kind: str = "best
         save_model(model, root, label, split, kind)
 
 
+def save_run(run, root: str, label: str, split: int | str = 0) -> None:
+    """Best and latest model of a training run in steps."""
+    if run.best is not None:
+        save_model(run.best, root, label, split, "best")
+    save_model(run.latest, root, label, split, "latest")
+
+
 def load_models(root: str, labels, split: int | str = 0, kind: str = "best") -> dict:
     return {label: load_model(root, label, split, kind) for label in labels}

@@ -83,13 +83,18 @@ def test_argument_checks(data):
         train.train_labels(data.withColumn("x", F.lit(None).cast("int")), ["x"])
 
 
-def test_epochs(data):
+def test_epochs(data, tmp_path):
     run = train.fit_epochs(data, data, "Sudanese", epochs=6, every=2, hidden=16)
     log = run.log.collect()
     assert {r["epoch"] for r in log} == {2, 4, 6} and len(log) == 3 * 2 * 4
     assert metrics.best_epoch(run.log).first()["epoch"] == run.best_epoch
     loss = {r["epoch"]: r["value"] for r in log if r["metric"] == "loss" and r["split"] == "train"}
     assert loss[6] <= loss[2]
+    root = str(tmp_path / "models")
+    sources.save_run(run, root, "Sudanese")
+    for kind, model in (("best", run.best), ("latest", run.latest)):
+        back = sources.load_model(root, "Sudanese", kind=kind)
+        assert list(back.weights) == list(model.weights)
 
 
 def test_train_and_test(data, tmp_path):
