@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from stancewright import schemas
 from stancewright.functions import last_segment, nan_to_null
-from stancewright.operators.keys import wanted_rows
+from stancewright.operators.keys import own_shuffle, wanted_rows
 from stancewright.schemas import col
 
 
@@ -66,7 +66,7 @@ def apply_corrections(
         for i, name in enumerate(names)
     }
     return (
-        df.join(folded, df[key] == folded["_patched"], "left")
+        df.join(own_shuffle(folded), df[key] == folded["_patched"], "left")
         .withColumns(fixed)
         .select(*[col(n) for n in df.columns])
     )

@@ -119,8 +119,9 @@ def embed_missing(
 ) -> DataFrame:
     """Embeddings of the posts the store lacks, one per key; append these to the store."""
     present = wanted_rows(store.select(col(key)), posts, key).distinct()
-    new = posts.select(col(key), col(text)).join(present, key, "left_anti")
-    return embed_text(one_text_per_key(new, text, key), embedder, text, key, **options)
+    # Copies of a post are combined before the join, which the same shuffle serves.
+    new = one_text_per_key(posts, text, key).join(present, key, "left_anti")
+    return embed_text(new, embedder, text, key, **options)
 
 
 def one_text_per_key(posts: DataFrame, text: str = "post", key: str = "code") -> DataFrame:

@@ -25,6 +25,15 @@ def assert_unique(df: DataFrame, key: str = "code") -> DataFrame:
     return df
 
 
+def own_shuffle(df: DataFrame) -> DataFrame:
+    """Gives an aggregated join side a shuffle of its own.
+
+    Adaptive execution splits a hot key only where both sides of a join come straight from
+    a shuffle. The aggregate is small against the other side, so moving it again is cheap.
+    """
+    return df.hint("rebalance")
+
+
 def wanted_rows(df: DataFrame, keys: DataFrame, key: str = "code") -> DataFrame:
     """Rows of a large table whose key occurs in another table.
 
@@ -32,22 +41,34 @@ def wanted_rows(df: DataFrame, keys: DataFrame, key: str = "code") -> DataFrame:
     posts in a huge table would shuffle all of it. A semi join can: where the keys are
     few, Spark broadcasts them and the large table is only scanned.
     """
-    return df.join(keys.select(col(key)), key, "left_semi")
+    return df.join(own_shuffle(keys.select(col(key)).distinct()), key, "left_semi")
 
 
-def missing_keys(left: DataFrame, right: DataFrame, key: str = "code") -> DataFrame:
-    """Keys of ``left`` without a partner in ``right``, once each."""
+def _looked_up(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Each key of ``left`` once, with ``_found`` true if ``right`` has it, else NULL."""
     wanted = left.select(col(key)).distinct()
     present = wanted_rows(right.select(col(key)), wanted, key).distinct()
-    return wanted.join(present, key, "left_anti")
+    return wanted.join(present.withColumn("_found", F.lit(True)), key, "left")
 
 
-def _require_partner(df: DataFrame, key: str, what: str) -> DataFrame:
-    """Fails the running job at the first row whose lookup found nothing."""
+def missing_keys(left: DataFrame, right: DataFrame, key: str = "code") -> DataFrame:
+    """Keys of ``left`` without a partner in ``right``, once each."""
+    return _looked_up(left, right, key).filter(col("_found").isNull()).drop("_found")
+
+
+def _strict_join(left: DataFrame, right: DataFrame, key: str, what: str) -> DataFrame:
+    """Inner join that fails the running job if a row of ``left`` finds no partner.
+
+    The check is a second, narrow branch of the same job which yields no rows: the join
+    itself stays an inner one, in which Spark may broadcast either side or split hot keys.
+    """
+    joined = left.join(right, key)
     shown = F.coalesce(col(key).cast("string"), F.lit("NULL"))
-    message = F.concat(F.lit(f"no {what} for {key} "), shown)
-    found = F.when(col("_found"), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
-    return df.filter(found).drop("_found")
+    failure = F.raise_error(F.concat(F.lit(f"no {what} for {key} "), shown)).cast("boolean")
+    # Both sides of the lookup occur in the condition, so it cannot move below the join.
+    none = _looked_up(left, right, key).filter(F.when(col("_found"), False).otherwise(failure))
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in joined.schema.fields]
+    return joined.unionAll(none.select(*nothing))
 
 
 def attach_embeddings(
@@ -59,16 +80,11 @@ def attach_embeddings(
 ) -> DataFrame:
     """Posts with their embedding.
 
-    ``strict`` makes a post without one an error, raised inside the same job so that no
-    second pass is needed; otherwise such posts are left out. An equi-join: a post key
-    that fills a partition is split at run time, since the store has one row per key.
+    ``strict`` makes a post without one an error; otherwise such posts are left out. The
+    store has one row per key.
     """
     store = embeddings.select(col(key), *[col(n) for n in columns])
-    if not strict:
-        return posts.join(store, key)
-    wanted = wanted_rows(store, posts, key).withColumn("_found", F.lit(True))
-    joined = posts.join(wanted, key, "left")
-    return _require_partner(joined, key, "embedding")
+    return _strict_join(posts, store, key, "embedding") if strict else posts.join(store, key)
 
 
 def verify_text(
@@ -105,14 +121,12 @@ def align_predictions(
     strict: bool = True,
 ) -> DataFrame:
     """Labelled rows with the prediction of each label as ``pred <label>``."""
-    names = list(labels)
-    renamed = wanted_rows(predictions, labelled, key).select(
-        col(key), *[col(n).alias(f"pred {n}") for n in names]
+    renamed = predictions.select(
+        col(key), *[col(n).alias(f"pred {n}") for n in labels]
     )
-    if not strict:
-        return labelled.join(renamed, key, "left")
-    joined = labelled.join(renamed.withColumn("_found", F.lit(True)), key, "left")
-    return _require_partner(joined, key, "prediction")
+    if strict:
+        return _strict_join(labelled, renamed, key, "prediction")
+    return labelled.join(wanted_rows(renamed, labelled, key), key, "left")
 
 
 def pick_rows(df: DataFrame, keys: DataFrame | Sequence, key: str = "code") -> DataFrame:

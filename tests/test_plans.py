@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF
 from stancewright.catalog import QUERIES
-from stancewright.operators import keys, metrics, report, sampling, train
+from stancewright.operators import clean, keys, metrics, report, sampling, train
 
 TRAINED = {
     "train_and_score", "cross_validation", "predict_coverage", "epoch_log", "classified_posts",
@@ -73,17 +73,65 @@ def test_key_split_does_not_shuffle(spark):
     assert shuffles(sampling.split_by_key(spark.range(10).withColumnRenamed("id", "code"))) == 0
 
 
-def test_strict_lookup_shuffles_the_store_once(spark, no_broadcast):
+def test_strict_lookup_moves_the_vectors_once(spark, no_broadcast):
     store = spark.read.parquet(f"{SF}/embeddings.parquet").withColumnRenamed("vec_id", "code")
     posts = spark.read.parquet(f"{SF}/labels.parquet").withColumnRenamed("doc_id", "code")
-    # The posts, their keys for the semi join, and the store.
-    assert shuffles(keys.attach_embeddings(posts, store, strict=True)) == 3
+    text = plan(keys.attach_embeddings(posts, store, strict=True))
+    scans = re.findall(r"ReadSchema: struct<[^\n]*", text)
+    assert sum("embedding" in x for x in scans) == 1
+
+
+def test_strict_lookup_of_few_posts_does_not_move_the_store(spark):
+    store = spark.read.parquet(f"{SF}/embeddings.parquet").withColumnRenamed("vec_id", "code")
+    posts = spark.read.parquet(f"{SF}/labels.parquet").withColumnRenamed("doc_id", "code")
+    assert "SortMergeJoin" not in plan(keys.attach_embeddings(posts, store, strict=True))
+
+
+@pytest.fixture
+def tiny_skew(spark, no_broadcast):
+    """Skew handling that already sets in at test size."""
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def hot_posts(spark, n=30_000):
+    """A third of the rows share one key; several map tasks, as a split needs them."""
+    code = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id"))
+    return spark.range(0, n, 1, 8).select(code.alias("code"), F.lit(1).alias("a"), F.uuid().alias("post"))
+
+
+def test_a_hot_key_is_split(spark, tiny_skew):
+    store = spark.range(0, 30_000, 1, 4).select(F.col("id").alias("code"), F.lit(1.0).alias("embedding"))
+    fixes = spark.range(0, 20_000, 1, 4).select(
+        F.col("id").alias("code"), F.lit("a").alias("column"), F.lit(0).alias("value")
+    )
+    posts = hot_posts(spark)
+    for df, n in (
+        (keys.attach_embeddings(posts, store), 30_000),
+        (keys.attach_embeddings(posts, store, strict=True), 30_000),
+        (keys.pick_rows(posts, store), 30_000),
+        (clean.apply_corrections(posts, fixes, ["a"]), 30_000),
+    ):
+        assert len(df.collect()) == n
+        assert "skew=true" in plan(df), plan(df)
 
 
 def test_small_key_sets_leave_the_large_side_in_place(spark):
     store = spark.read.parquet(f"{SF}/embeddings.parquet").withColumnRenamed("vec_id", "code")
     posts = spark.read.parquet(f"{SF}/labels.parquet").withColumnRenamed("doc_id", "code")
-    assert shuffles(keys.wanted_rows(store, posts)) == 0
+    picked = keys.wanted_rows(store, posts)
+    # The one shuffle is that of the distinct keys.
+    assert shuffles(picked) == 1 and "BroadcastHashJoin" in plan(picked)
 
 
 def test_folds_shuffle_wide_rows_once(spark, no_broadcast):
