@@ -104,23 +104,31 @@ def class_confusion(
 def multiclass_scores(counts: DataFrame, by: Sequence[str] = ("label",)) -> DataFrame:
     """Accuracy and F1 weighted by true-class support, from ``class_confusion`` counts."""
     keys = [col(n) for n in by]
-    hit = F.when(col("truth") == col("pred"), col("n")).otherwise(0)
-    seen = F.array(
-        F.struct(col("truth").alias("class"), col("n").alias("support"), F.lit(0).cast("long").alias("claimed"), hit.cast("long").alias("tp")),
-        F.struct(col("pred").alias("class"), F.lit(0).cast("long").alias("support"), col("n").alias("claimed"), F.lit(0).cast("long").alias("tp")),
-    )
+    n, none = col("n"), F.lit(0).cast("long")
+    hit = F.when(col("truth") == col("pred"), n).otherwise(none)
+
+    def seen(cls: str, support: Column, claimed: Column, tp: Column) -> Column:
+        return F.struct(
+            col(cls).alias("class"),
+            support.alias("support"),
+            claimed.alias("claimed"),
+            tp.alias("tp"),
+        )
+
+    both = F.array(seen("truth", n, none, hit), seen("pred", none, n, none))
+    f1 = F.try_divide(2.0 * col("tp"), col("support") + col("claimed"))
     per_class = (
-        counts.select(*keys, F.inline(seen))
+        counts.select(*keys, F.inline(both))
         .groupBy(*keys, "class")
-        .agg(F.sum("support").alias("support"), F.sum("claimed").alias("claimed"), F.sum("tp").alias("tp"))
-        .withColumn("f1", F.coalesce(F.try_divide(2.0 * col("tp"), col("support") + col("claimed")), F.lit(0.0)))
+        .agg(*[F.sum(c).alias(c) for c in ("support", "claimed", "tp")])
+        .withColumn("f1", F.coalesce(f1, F.lit(0.0)))
     )
-    n = F.sum("support")
+    total = F.sum("support")
     return per_class.groupBy(*keys).agg(
-        n.alias("n_rows"),
+        total.alias("n_rows"),
         F.count_if(col("support") > 0).alias("n_classes"),
-        F.try_divide(F.sum("tp").cast("double"), n.cast("double")).alias("accuracy"),
-        F.try_divide(F.sum(col("f1") * col("support")), n.cast("double")).alias("f1_weighted"),
+        F.try_divide(F.sum("tp").cast("double"), total.cast("double")).alias("accuracy"),
+        F.try_divide(F.sum(col("f1") * col("support")), total.cast("double")).alias("f1_weighted"),
     )
 
 

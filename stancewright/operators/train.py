@@ -170,7 +170,9 @@ def predict_wide(
     )
 
 
-def score_models(df: DataFrame, models: Mapping, features: str = "embedding", key: str = "code") -> DataFrame:
+def score_models(
+    df: DataFrame, models: Mapping, features: str = "embedding", key: str = "code"
+) -> DataFrame:
     """Scores of all models on a labelled table, for instance the test split."""
     return evaluate(predict_labels(df, models, features, key))
 

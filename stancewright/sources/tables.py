@@ -19,8 +19,9 @@ def read_csv_text(spark: SparkSession, path: str, multi_line: bool = True) -> Da
 
     Posts hold line breaks, hence ``multi_line``; Spark then reads each file in one
     task. For a large corpus deliver many files, or convert once with ``write_posts``
-    and read Parquet from then on. An empty cell is NULL, quoted or not. Where no cell holds a line break, pass
-    ``multi_line=False`` and the files are split as usual.
+    and read Parquet from then on. Where no cell holds a line break, pass
+    ``multi_line=False`` and the files are split as usual. An empty cell is NULL, quoted
+    or not.
     """
     return (
         spark.read.option("header", True)

@@ -71,10 +71,10 @@ def test_classified(spark, tmp_path):
 
 
 def test_embedding_store(spark, tmp_path):
-    old = spark.createDataFrame([("a", [1.0])], "code string, openai_large_embs array<double>")
+    old = spark.createDataFrame([("a", [1.0])], "code string, large_embs array<double>")
     path = str(tmp_path / "store")
     sources.write_embeddings(old, path)
-    df = sources.read_embeddings(spark, path, vector="openai_large_embs")
+    df = sources.read_embeddings(spark, path, vector="large_embs")
     assert df.dtypes == [("code", "string"), ("embedding", "array<float>")]
     with pytest.raises(Exception, match="already exists"):
         sources.write_embeddings(old, path)
