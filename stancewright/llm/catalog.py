@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stancewright.llm import exact_dedup, substring_dedup
+from stancewright.llm import exact_dedup, ngram_join, substring_dedup, vector_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,6 +58,30 @@ def op4_substring_dedup(spark, d):
     )
 
 
+@query(r"""
+WITH RECURSIVE t AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w FROM documents),
+pos AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1) + 1))) AS s FROM t),
+sh AS (SELECT DISTINCT doc_id, md5(array_to_string(w[s:s + 4], ' ')) AS h FROM pos),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+met AS (SELECT * FROM sh WHERE h IN (SELECT h FROM sh GROUP BY h HAVING count(*) > 1)),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i
+          FROM met a JOIN met b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+          WHERE 100 * i >= 75 * (x.n + y.n - i)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM t
+          UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a)
+SELECT t.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(reach.b) AS component_id
+FROM t JOIN reach ON reach.a = t.doc_id LEFT JOIN n USING (doc_id) GROUP BY t.doc_id
+""")
+def op7_ngram_join(spark, d):
+    """Components of documents whose five-word shingles overlap by three quarters or more."""
+    return ngram_join.link_documents(table(spark, d, "documents"), width=5, percent=75)
+
+
 @query("""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -67,3 +91,21 @@ FROM t WINDOW same AS (PARTITION BY text)
 def op8_exact_dedup(spark, d):
     """Every document with the copy that stays, the one with the largest id."""
     return exact_dedup.mark_copies(table(spark, d, "documents"), keep="max")
+
+
+@query("""
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+          AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings
+          UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT a AS vec_id, coalesce(max(n.n), 0) AS n_links, min(b) AS component_id, a = min(b) AS kept
+FROM reach LEFT JOIN n ON n.vec_id = a GROUP BY a
+""")
+def op9_embedding_dedup(spark, d):
+    """Embeddings of one label with a cosine of at least 0.98, found through a multi-index."""
+    return vector_dedup.link_vectors(table(spark, d, "embeddings"), threshold=0.98)
