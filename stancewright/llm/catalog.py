@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stancewright.llm import exact_dedup, ngram_join, substring_dedup, vector_dedup
+from stancewright.llm import exact_dedup, mixing, ngram_join, sp_sampling, substring_dedup, toxicity, vector_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,10 +31,54 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def topic(text: Column) -> Column:
+    """What a text is mostly about, by what it holds; tested on the whole text, in this order."""
+    return (
+        F.when(F.contains(text, F.lit("icense")) | F.contains(text, F.lit("icence")), "licence")
+        .when(F.contains(text, F.lit("@")), "contact")
+        .when(F.contains(text, F.lit(" | ")), "table")
+        .otherwise("prose")
+    )
+
+
+def margins() -> dict[str, Column]:
+    """The margins of the standard documents."""
+    return {"source": F.col("source"), "lang": F.col("lang"), "topic": topic(F.col("text"))}
+
+
+# Words by which the toxic rows of the labels are told apart.
+INSULTS = ["clown", "idiot", "loser", "moron", "scum"]
+CONTEMPT = ["disgusting", "pathetic", "stupid", "trash", "worthless"]
+
+
+def toxic_categories() -> dict[str, Column]:
+    """Categories of the chain: two kinds of toxic rows, then the label itself."""
+    holds = lambda words: F.col("text").rlike(rf"(?i)\b({'|'.join(words)})\b")
+    return {
+        "insult": (F.col("toxic") == 1) & holds(INSULTS),
+        "contempt": (F.col("toxic") == 1) & holds(CONTEMPT),
+        "toxic": F.col("toxic") == 1,
+    }
+
+
 #: Words in SQL: runs of anything but blank and the control characters 9 to 13.
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
+@query()
+def op2_source_mixing(spark, d):
+    """Documents drawn so that source, language and topic come nearer to equal shares of the tokens."""
+    return mixing.mix(table(spark, d, "documents"), margins(), power=0.9, seed=2)
+
+
+@query()
+def op3_toxicity_chain(spark, d):
+    """Category probabilities of every document by a chain fitted on the labelled ones."""
+    docs = table(spark, d, "documents")
+    chain = toxicity.train_chain(docs, table(spark, d, "labels"), toxic_categories())
+    return toxicity.score(docs, chain)
+
+
 @query(f"""
 WITH t AS (SELECT doc_id, {WORDS} AS w FROM documents),
      pos AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS s FROM t),
@@ -109,3 +153,9 @@ FROM reach LEFT JOIN n ON n.vec_id = a GROUP BY a
 def op9_embedding_dedup(spark, d):
     """Embeddings of one label with a cosine of at least 0.98, found through a multi-index."""
     return vector_dedup.link_vectors(table(spark, d, "embeddings"), threshold=0.98)
+
+
+@query()
+def op10_sentencepiece_sampling(spark, d):
+    """Two segmentations of every document, drawn without replacement."""
+    return sp_sampling.sample(table(spark, d, "documents"), k=2, seed=10)

@@ -473,3 +473,14 @@ def link_documents(
     return seen.join(by_class, "fp", "left").select(
         F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id")
     )
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, reduced to the row of the smallest id of each component.
+
+    Rows that share an id and belong to one component are the same choice, and one of them
+    stays; a row without an id stays, as it cannot be named by another.
+    """
+    linked = link_documents(docs, width, percent, id_col, text_col)
+    out = linked.where(F.col(f"`{id_col}`") != F.col("component_id")).select(F.col(f"`{id_col}`").alias("_out"))
+    return docs.join(out.distinct(), F.col(f"`{id_col}`").cast("long") == F.col("_out"), "left_anti")
