@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stancewright.llm import exact_dedup, mixing, ngram_join, sp_sampling, substring_dedup, toxicity, vector_dedup
+from stancewright.llm import (
+    exact_dedup,
+    line_dedup,
+    mixing,
+    ngram_join,
+    sp_sampling,
+    substring_dedup,
+    toxicity,
+    url_filter,
+    vector_dedup,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +75,37 @@ def toxic_categories() -> dict[str, Column]:
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
+@query(r"""
+WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM t),
+k AS (SELECT doc_id, i, string_split(trim(regexp_replace(translate(
+          line, chr(9) || chr(13) || chr(11) || chr(12), '    '), ' {2,}', ' ', 'g'), ' '), ' ') AS w FROM l),
+m AS (SELECT doc_id, i, w, list_transform(w, lambda x:
+          CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS mw FROM k WHERE w[1] <> ''),
+f AS (SELECT doc_id, i, w, mw, len(w) || ' ' || array_to_string(mw[1:3], ' ') AS leaf FROM m),
+big AS (SELECT leaf FROM f GROUP BY leaf HAVING count(DISTINCT doc_id) >= 5),
+c AS (SELECT * FROM f SEMI JOIN big USING (leaf)),
+p AS (SELECT doc_id, i, leaf, unnest(mw) AS x, unnest(range(1, len(mw) + 1)) AS pos FROM c),
+n AS (SELECT leaf, pos, x, count(*) AS n FROM p WHERE x <> '<*>' GROUP BY ALL),
+lines AS (SELECT leaf, count(*) AS lines FROM c GROUP BY leaf),
+const AS (SELECT leaf, pos, x FROM n JOIN lines USING (leaf) WHERE n >= 5 AND n >= 0.1 * lines),
+g AS (SELECT p.doc_id, p.i, string_agg(CASE WHEN const.x IS NULL THEN '<*>' ELSE p.x END, ' ' ORDER BY p.pos) AS tpl,
+             avg(CASE WHEN const.x IS NULL THEN 1 ELSE 0 END) AS wild, bool_or(const.x IS NOT NULL) AS has_const
+      FROM p LEFT JOIN const ON p.leaf = const.leaf AND p.pos = const.pos AND p.x = const.x GROUP BY ALL),
+ok AS (SELECT doc_id, i, tpl FROM g WHERE wild <= 0.5 AND has_const),
+again AS (SELECT tpl FROM ok GROUP BY tpl HAVING count(DISTINCT doc_id) >= 5),
+gone AS (SELECT doc_id, i FROM ok SEMI JOIN again USING (tpl)),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS kept, count(*) AS n
+         FROM l ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - coalesce(n, 0) AS BIGINT) AS n_dropped,
+       sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN kept USING (doc_id)
+""")
+def op1_line_dedup(spark, d):
+    """Lines whose template recurs in five documents or more are dropped."""
+    cut = line_dedup.drop_recurring_lines(table(spark, d, "documents"), min_docs=5)
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query()
 def op2_source_mixing(spark, d):
     """Documents drawn so that source, language and topic come nearer to equal shares of the tokens."""
@@ -102,6 +143,20 @@ def op4_substring_dedup(spark, d):
     )
 
 
+# The verdicts on hosts and paths, as the rules state them.
+URL_RULES = [
+    ("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"),
+]
+
+
+@query()
+def op5_url_filter(spark, d):
+    """Verdict on every URL, by rule or by a model fitted on the URLs that rules decide."""
+    pages = table(spark, d, "pages")
+    model = url_filter.fit_urls(url_filter.labelled_by_rules(pages, URL_RULES))
+    return url_filter.judge_urls(pages, URL_RULES, model)
+
+
 @query(r"""
 WITH RECURSIVE t AS (
     SELECT doc_id, regexp_extract_all(

@@ -16,6 +16,7 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import combinations
 from math import comb
 
@@ -28,12 +29,13 @@ from pyspark.sql import functions as F
 
 from stancewright.llm import repeats
 from stancewright.llm.components import connected
-from stancewright.llm.scratch import written
+from stancewright.llm.scratch import shuffle_partitions, written
 from stancewright.llm.words import BASE, raw_texts, shingle_set
 
 #: Shingles of one chunk, and shingles of one block of a group.
 CHUNK_SHINGLES = 1_000_000
 BLOCK_SHINGLES = 2_000_000
+SET_CHUNK_SHINGLES = 300_000
 CHUNK_DOCS = 60_000
 #: The share of its shingles that a set shows beyond the prefix a partner must meet.
 EXTRA = 0.15
@@ -53,16 +55,22 @@ def pair_overlap(a: int, b: int, percent: int) -> int:
     return -(-(a + b) * percent // (100 + percent))
 
 
+@lru_cache(maxsize=100_000)
 def _needed(n: int, percent: int) -> tuple[int, int]:
-    """How many smallest hashes to show, and how many of them a partner must share.
+    """How many smallest hashes a set of size n shows, and how many it shares with any partner.
 
-    A partner may be smaller and then shows fewer; so the demand is that of the smallest.
+    Of an overlap of x, a set of size m keeps at least x - (m - shown) among those it shows, and
+    what both keep, counted from the smallest hash on, is the smaller of the two numbers.
     """
-    def extra(m: int) -> int:
-        return max(1, int(EXTRA * m))
+    partner = np.arange(least_overlap(n, percent), n * 100 // percent + 1)
+    overlap = -(-(n + partner) * percent // (100 + percent))
 
-    shown = min(n, n - least_overlap(n, percent) + extra(n))
-    return shown, extra(least_overlap(n, percent))
+    def beyond(m):
+        return np.minimum(least_overlap(m, percent), np.maximum(1, (EXTRA * m).astype(np.int64)))
+
+    own = beyond(np.int64(n)) - least_overlap(n, percent)
+    theirs = beyond(partner) - least_overlap(partner, percent)
+    return int(n + own), max(1, int((overlap + np.minimum(own, theirs)).min(initial=n)))
 
 
 _EMIT = "bucket long, chunk long, keys binary, owners binary, manifest binary"
@@ -195,15 +203,103 @@ def _set_maker(width: int):
     def make(batches):
         for batch in batches:
             sets = [shingle_set(t.lower().split(), width) for t in raw_texts(batch.column(1))]
+            # The join key is a hash; the fingerprint tells whether it is the right text.
+            same = [xxhash.xxh3_128_digest(s.tobytes()) == fp for s, fp in zip(sets, batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([s.view(np.int64) for s in sets], schema.field(2).type)],
                 schema=schema,
-            )
+            ).filter(pa.array(same))
 
     return make
 
 
+class _SetChunk:
+    """Sets of a chunk in the order of their number, with their shingles as bucket keys."""
+
+    def __init__(self, group: pa.Table, buckets: int) -> None:
+        self.rows = group.sort_by("set")
+        self.shingles = [s.view(np.uint64) for s in _arrays(self.rows, "shingles")]
+        self.sizes = [len(s) for s in self.shingles]
+        keys = np.concatenate([np.empty(0, np.uint64), *self.shingles])
+        self.found = repeats.ChunkKeys(keys, (keys * np.uint64(BASE)) >> np.uint64(20), buckets)
+
+
+def _count_emitter(buckets: int):
+    schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+    def emit(group: pa.Table) -> pa.Table:
+        found = _SetChunk(group, buckets).found
+        names, parts = found.parts()
+        counts = found.counts().astype("<u4")
+        return pa.table(
+            [[group.column("chunk")[0].as_py()] * len(names), names,
+             [repeats.packed(found.keys[p]) for p in parts], [counts[p].tobytes() for p in parts]],
+            schema=schema,
+        )
+
+    return emit
+
+
+def _count_buckets(group: pa.Table) -> pa.Table:
+    """For every key of every chunk in a bucket, how widespread it is, as one byte.
+
+    0 is a shingle of one set; above it, eighths of the binary logarithm of the number of sets.
+    """
+    counts = [np.frombuffer(b, "<u4") for b in group.column("counts").to_pylist()]
+    keys = [repeats.unpacked(b) for b in group.column("keys").to_pylist()]
+    spread = [
+        np.minimum(255, np.floor(8 * np.log2(t)).astype(np.int64)).astype(np.uint8).tobytes()
+        for t in repeats.totals(keys, counts)
+    ]
+    return pa.table(
+        {"chunk": group.column("chunk"), "bucket": group.column("bucket"), "spread": pa.array(spread, pa.binary())}
+    )
+
+
+def _sharer(buckets: int):
+    """Shingles of each set that other sets have too, the rarest first, and their mean spread."""
+
+    def share(sets: pa.Table, counted: pa.Table) -> pa.Table:
+        chunk = _SetChunk(sets, buckets)
+        spread = np.zeros(len(chunk.found.keys), np.uint8)
+        said = zip(chunk.found.ranges(counted.column("bucket").to_numpy()), counted.column("spread").to_pylist())
+        for (a, b), blob in said:
+            spread[a:b] = np.frombuffer(blob, np.uint8)
+        spread = np.split(spread[chunk.found.place], np.cumsum(chunk.sizes)[:-1])
+        shared, score = [], []
+        for shingles, s in zip(chunk.shingles, spread):
+            order = np.lexsort((shingles, s))
+            shared.append(shingles[order][s[order] > 0].view(np.int64))
+            score.append(float(s.mean()) if len(s) else 0.0)
+        return pa.table(
+            {
+                "set": chunk.rows.column("set"), "size": chunk.rows.column("size"),
+                "shared": pa.array(shared, pa.list_(pa.int64())), "score": pa.array(score),
+            }
+        )
+
+    return share
+
+
+def shared_shingles(sets: DataFrame, total: int) -> DataFrame:
+    """``set``, ``size``, ``shared`` and ``score`` of every set.
+
+    ``shared`` are the shingles that occur in other sets, in an order that all sets have in
+    common: how widespread a shingle is, then its hash. ``total`` is the number of shingles.
+    """
+    buckets = repeats.bucket_count(total)
+    chunk = F.pmod(F.xxhash64("set"), F.lit(max(1, -(-total // SET_CHUNK_SHINGLES)))).alias("chunk")
+    rows = sets.select(chunk, "set", "size", "shingles").repartition(shuffle_partitions(sets), "chunk")
+    counted = rows.groupBy("chunk").applyInArrow(
+        _count_emitter(buckets), "chunk long, bucket long, keys binary, counts binary"
+    ).groupBy("bucket").applyInArrow(_count_buckets, "chunk long, bucket long, spread binary")
+    # Both uses of ``rows`` have the same exchange, which Spark runs once.
+    return rows.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(
+        _sharer(buckets), "set long, size long, shared array<long>, score double"
+    )
+
+
 def subset_count(size: int, percent: int) -> int:
     """Subsets that a light set enumerates."""
     return sum(
@@ -218,6 +314,7 @@ def _subset_maker(percent: int):
         for batch in batches:
             keys, sets, sizes, smaller = [], [], [], []
             for s, size, shingles in zip(*(c.to_pylist() for c in batch.columns)):
+                shingles = sorted(shingles)
                 for t in range(least_overlap(size, percent), size * 100 // percent + 1):
                     low, c = min(size, t), pair_overlap(size, t, percent)
                     if c > low:
@@ -240,10 +337,10 @@ def _subset_maker(percent: int):
 def light_links(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
     """Links between sets of at most ``boundary`` shingles, as stars around small sets.
 
-    A key stands for a subset and a pair of sizes. All sets under it share the subset, so a
+    Only shingles that other sets have too are enumerated. A key stands for a subset and a pair of sizes. All sets under it share the subset, so a
     set of the smaller size is linked with each of them; without one there is no link.
     """
-    keys = sets.where(F.col("size") <= boundary).select("set", "size", "shingles").mapInArrow(
+    keys = sets.where(F.col("size") <= boundary).select("set", "size", "shared").mapInArrow(
         _subset_maker(percent), "key binary, set long, size long, smaller long"
     )
     hubs = keys.where("size = smaller").groupBy("key").agg(F.min("set").alias("hub"))
@@ -349,23 +446,11 @@ def _best_boundary(prefixes: DataFrame, lists: DataFrame, sets: DataFrame, perce
     return best
 
 
-def link_sets(sets: DataFrame, percent: int) -> DataFrame:
+def link_sets(shared: DataFrame, percent: int) -> DataFrame:
     """Links ``a``, ``b`` that connect just the sets that all links connect.
 
-    ``sets`` has ``set`` (long, unique), ``size`` and the distinct ``shingles``.
+    ``shared`` is what ``shared_shingles`` gives, as a table.
     """
-    postings = sets.select("set", F.explode("shingles").alias("h"))
-    counts = postings.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = written(
-        postings.join(counts, "h").groupBy("set")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("x"))
-        .join(sets.select("set", "size"), "set")
-        .select(
-            "set", "size", F.col("x.h").alias("shared"),
-            (F.aggregate("x.df", F.lit(0).cast("long"), lambda t, d: t + d) / F.col("size")).alias("score"),
-        ),
-        "shared-shingles",
-    )
     # Shingles of one set alone come first in the order and link with nothing.
     length = F.size("shared") - F.ceil(F.col("size") * percent / 100) + 1
     prefixes = shared.where(length > 0).select(
@@ -417,7 +502,7 @@ def link_sets(sets: DataFrame, percent: int) -> DataFrame:
         .groupBy("hub", "block", "part").applyInArrow(_rest_check(percent), "a long, b long")
     )
     links = checked.where("linked").select(F.col("hub").alias("a"), F.col("set").alias("b"))
-    return links.union(found).union(light_links(sets, boundary, percent))
+    return links.union(found).union(light_links(shared, boundary, percent))
 
 
 def link_documents(
@@ -451,18 +536,18 @@ def link_documents(
         "shingle-sets",
     )
     classes = written(
-        seen.where("survives").groupBy("fp").agg(F.min(F.struct("key", "id")).alias("x"))
-        .select("fp", F.col("x.key").alias("key"), F.col("x.id").alias("id"))
+        seen.where("survives").groupBy("fp").agg(F.min("key").alias("key"), F.min("n_shingles").alias("size"))
         .withColumn("set", F.monotonically_increasing_id()),
         "set-classes",
     )
-    same = (rows["key"] == classes["key"]) & rows["id"].eqNullSafe(classes["id"])
-    sets = written(
-        rows.join(classes, same).select("set", "text").dropDuplicates(["set"])
-        .mapInArrow(_set_maker(width), "set long, size long, shingles array<long>"),
-        "sets",
+    total = classes.agg(F.sum("size").alias("n")).first()["n"] or 0
+    # One text per class: rows that repeat id and text meet under one key.
+    texts = rows.select("key", "text").join(classes, "key").groupBy("key", "set", "fp").agg(F.first("text").alias("text"))
+    sets = texts.select("set", "text", "fp").mapInArrow(
+        _set_maker(width), "set long, size long, shingles array<long>"
     )
-    parts = connected(link_sets(sets, percent))
+    shared = written(shared_shingles(sets, total), "shared-shingles")
+    parts = connected(link_sets(shared, percent))
     # The smallest id of a class, then of a component; classes without a link keep their own.
     own = seen.where("n_shingles > 0").groupBy("fp").agg(F.min("id").alias("class_id"))
     tied = classes.join(parts, classes["set"] == parts["node"]).select("fp", "component").join(own, "fp")

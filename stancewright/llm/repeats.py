@@ -35,6 +35,49 @@ def unpacked(blob: bytes) -> np.ndarray:
     return keys.view("<u8").ravel()
 
 
+class ChunkKeys:
+    """Distinct keys of a chunk in the order of bucket and key, and where each one was.
+
+    The order follows from the keys alone, so a chunk that is read again agrees with what was
+    said about its buckets.
+    """
+
+    def __init__(self, keys: np.ndarray, spread: np.ndarray, buckets: int) -> None:
+        bucket = (spread % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((keys, bucket))
+        bucket, keys = bucket[order], keys[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (bucket[1:] != bucket[:-1])
+        self.place = np.empty(len(keys), np.int64)
+        self.place[order] = np.cumsum(new) - 1
+        self.keys, self.bucket = keys[new], bucket[new]
+
+    def counts(self) -> np.ndarray:
+        return np.bincount(self.place, minlength=len(self.keys))
+
+    def parts(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Buckets that occur, and the places of their keys."""
+        names, starts = np.unique(self.bucket, return_index=True)
+        return names, np.split(np.arange(len(self.keys)), starts[1:]) if len(names) else []
+
+    def ranges(self, buckets: np.ndarray):
+        """First and last place, exclusive, of the keys of each bucket."""
+        return zip(np.searchsorted(self.bucket, buckets), np.searchsorted(self.bucket, buckets, "right"))
+
+
+def totals(blocks: list[np.ndarray], counts: list[np.ndarray]) -> list[np.ndarray]:
+    """For blocks of distinct keys with counts: the count of each key over all blocks."""
+    together, weight = np.concatenate(blocks), np.concatenate(counts)
+    order = np.argsort(together, kind="stable")
+    found = together[order]
+    new = np.ones(len(found), bool)
+    new[1:] = found[1:] != found[:-1]
+    number = np.cumsum(new) - 1
+    out = np.empty(len(found), np.int64)
+    out[order] = np.bincount(number, weight[order]).astype(np.int64)[number]
+    return np.split(out, np.cumsum([len(b) for b in blocks])[:-1])
+
+
 def shared(blocks: list[np.ndarray]) -> list[np.ndarray]:
     """For blocks of distinct keys: which keys of each block another block has too."""
     together = np.concatenate(blocks)

@@ -41,24 +41,13 @@ class _Chunk:
         self.starts = np.flatnonzero(inside)
         keys = window_hashes(joined, window, BASE)[self.starts]
         spread = window_hashes(joined, window, SECOND_BASE)[self.starts]
-        bucket = (spread % np.uint64(buckets)).astype(np.int64)
-        # Distinct keys in the order of bucket and key; place says which one a window has.
-        order = np.lexsort((keys, bucket))
-        bucket, keys = bucket[order], keys[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (bucket[1:] != bucket[:-1])
-        self.place = np.empty(len(keys), np.int64)
-        self.place[order] = np.cumsum(new) - 1
-        self.keys, self.bucket = keys[new], bucket[new]
+        self.found = repeats.ChunkKeys(keys, spread, buckets)
         self.offsets = np.concatenate([[0], np.cumsum(lengths)])
 
-    def again_here(self) -> np.ndarray:
-        return np.bincount(self.place, minlength=len(self.keys)) > 1
-
     def covered(self, repeated: np.ndarray, window: int) -> np.ndarray:
         """Which words lie in a window whose key is marked."""
         edges = np.zeros(self.offsets[-1] + 1, np.int64)
-        starts = self.starts[repeated[self.place]]
+        starts = self.starts[repeated[self.found.place]]
         np.add.at(edges, starts, 1)
         np.add.at(edges, starts + window, -1)
         return np.cumsum(edges[:-1]) > 0
@@ -70,10 +59,9 @@ def _emitter(window: int, buckets: int):
     def emit(group: pa.Table) -> pa.Table:
         chunk = _Chunk(group, window, buckets)
         number = group.column("_chunk")[0].as_py()
-        names, starts = np.unique(chunk.bucket, return_index=True)
-        parts = np.split(chunk.keys, starts[1:])
+        names, parts = chunk.found.parts()
         return pa.table(
-            [[number] * len(names), names, [repeats.packed(p) for p, _ in zip(parts, names)]], schema=schema
+            [[number] * len(names), names, [repeats.packed(chunk.found.keys[p]) for p in parts]], schema=schema
         )
 
     return emit
@@ -105,10 +93,9 @@ def _cutter(window: int, buckets: int, columns: list[str]):
 
     def cut(docs: pa.Table, marks: pa.Table) -> pa.Table:
         chunk = _Chunk(docs, window, buckets)
-        repeated = chunk.again_here()
-        first = np.searchsorted(chunk.bucket, marks.column("bucket").to_numpy())
-        last = np.searchsorted(chunk.bucket, marks.column("bucket").to_numpy(), "right")
-        for a, b, blob in zip(first, last, marks.column("marks").to_pylist()):
+        repeated = chunk.found.counts() > 1
+        said = zip(chunk.found.ranges(marks.column("bucket").to_numpy()), marks.column("marks").to_pylist())
+        for (a, b), blob in said:
             repeated[a:b] |= np.unpackbits(np.frombuffer(blob, np.uint8), count=b - a).astype(bool)
         covered = chunk.covered(repeated, window)
         texts, n_removed, removed = [], [], []
