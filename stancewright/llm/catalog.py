@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stancewright.llm import (
     exact_dedup,
+    license_scan,
     line_dedup,
     mixing,
     ngram_join,
@@ -157,6 +158,55 @@ def op5_url_filter(spark, d):
     return url_filter.judge_urls(pages, URL_RULES, model)
 
 
+def _sql_words(text: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({text}), '[^a-z0-9]+'), lambda w: w <> '')"
+
+
+_TEMPLATES = ", ".join(f"('{name}', '{notice}')" for name, notice in sorted(license_scan.TEMPLATES.items()))
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, source || '/' || lang || '/' || CAST(doc_id // 50 AS VARCHAR) AS dir,
+        string_split(coalesce(text, ''), chr(10)) AS ls, {_sql_words("coalesce(text, '')")} AS ws FROM documents),
+f AS (SELECT *, contains(ls[1], 'icense') AS speaks,
+        dir || '/' || CASE WHEN contains(ls[1], 'icense') THEN 'LICENSE' ELSE CAST(doc_id AS VARCHAR) || '.txt' END AS path FROM t),
+tpl AS (SELECT name, word, count(*) AS n FROM (SELECT name, unnest({_sql_words("notice")}) AS word
+        FROM (VALUES {_TEMPLATES}) AS x(name, notice)) GROUP BY ALL),
+total AS (SELECT count(*) AS n FROM f),
+df AS (SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct(ws)) AS word FROM f) SEMI JOIN tpl USING (word) GROUP BY word),
+idf AS (SELECT DISTINCT word, ln((1 + total.n) / (1 + coalesce(df, 0))) + 1 AS idf
+        FROM tpl LEFT JOIN df USING (word), total),
+vec AS (SELECT name, word, n * idf AS w FROM tpl JOIN idf USING (word)),
+norm AS (SELECT name, sqrt(sum(w * w)) AS len FROM vec GROUP BY name),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM f),
+lw AS (SELECT doc_id, i, word, count(*) AS n FROM (SELECT doc_id, i, unnest({_sql_words("line")}) AS word FROM l) GROUP BY ALL),
+ww AS (SELECT doc_id, i, word, lw.n * coalesce(idf, ln(1 + total.n) + 1) AS w FROM lw LEFT JOIN idf USING (word), total),
+ln AS (SELECT doc_id, i, sqrt(sum(w * w)) AS len FROM ww GROUP BY ALL),
+dot AS (SELECT doc_id, i, name, sum(ww.w * vec.w) AS dot FROM ww JOIN vec USING (word) GROUP BY ALL),
+near AS (SELECT doc_id, name, round(dot / ln.len / norm.len, 6) AS cosine
+         FROM dot JOIN ln USING (doc_id, i) JOIN norm USING (name)),
+best AS (SELECT doc_id, name, cosine FROM near WHERE cosine >= 0.7
+         QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, name) = 1),
+spoken AS (SELECT dir, name FROM f JOIN best USING (doc_id) WHERE speaks
+           QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, name) = 1)
+SELECT doc_id, path, best.name AS own_license, cosine,
+       CASE WHEN best.name IS NULL AND spoken.name IS NOT NULL THEN dir END AS from_directory,
+       coalesce(best.name, spoken.name) AS license
+FROM f LEFT JOIN best USING (doc_id) LEFT JOIN spoken USING (dir)
+""")
+def op6_license_scan(spark, d):
+    """Licence of every document, its own or that of the nearest directory above.
+
+    Documents lie in a directory of their source, language and number; one that opens with a
+    notice is the licence file of its directory.
+    """
+    first = F.element_at(F.split("text", "\n"), 1)
+    name = F.when(F.contains(first, F.lit("icense")), "LICENSE").otherwise(F.concat("doc_id", F.lit(".txt")))
+    number = F.floor(F.col("doc_id") / 50).cast("string")
+    docs = table(spark, d, "documents")
+    return license_scan.scan_licenses(docs, path=F.concat_ws("/", "source", "lang", number, name))
+
+
 @query(r"""
 WITH RECURSIVE t AS (
     SELECT doc_id, regexp_extract_all(
