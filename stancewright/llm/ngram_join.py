@@ -350,6 +350,9 @@ def light_links(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
 
 def _overlaps(queries: list[np.ndarray], members: list[np.ndarray]):
     """For each query the number of shingles shared with each member, by list scans."""
+    if not members:
+        yield from (np.zeros(0, np.int64) for _ in queries)
+        return
     owner = np.repeat(np.arange(len(members)), [len(m) for m in members])
     shingles = np.concatenate(members)
     order = np.argsort(shingles, kind="stable")
@@ -505,25 +508,15 @@ def link_sets(shared: DataFrame, percent: int) -> DataFrame:
     return links.union(found).union(light_links(shared, boundary, percent))
 
 
-def link_documents(
-    docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """One row per row of ``docs``: id, ``n_shingles``, ``component_id``.
+def _row_key(id_col: str, text_col: str):
+    return F.xxhash64(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
 
-    A-Z are lower-cased; a word is a run of bytes other than blank and control characters 9
-    to 13. The set of a text is its distinct windows of ``width`` words, or the whole word
-    sequence if it has fewer. Two texts link when 100 * intersection >= ``percent`` * union;
-    ``component_id`` is the smallest id reachable by links, the row's own included. Texts
-    that are NULL or hold no word have no shingles, link with nothing and keep their own id.
-    Repeated texts and ids are linked like any others; with a NULL id a row still links, and
-    its component is the smallest id that is not NULL. An empty table gives an empty one.
-    Other columns are not read. ``docs`` must give its rows in the same order when a task is
-    run again, as a table does.
-    """
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+
+def _linked(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """``key``, ``id``, ``n_shingles``, ``component_id`` of every row."""
     rows = docs.select(
-        F.col(f"`{id_col}`").cast("long").alias("id"),
-        F.xxhash64(F.col(f"`{id_col}`"), text).alias("key"), text.alias("text"),
+        F.col(f"`{id_col}`").cast("long").alias("id"), _row_key(id_col, text_col).alias("key"),
+        F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
     )
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     shown = int(size // BYTES_PER_WORD * (1 - percent / 100 + EXTRA))
@@ -556,16 +549,36 @@ def link_documents(
         "fp", F.coalesce("least", "class_id").alias("component_id")
     )
     return seen.join(by_class, "fp", "left").select(
-        F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id")
+        "key", "id", "n_shingles", F.coalesce("component_id", "id").alias("component_id")
     )
 
 
+def link_documents(
+    docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per row of ``docs``: id, ``n_shingles``, ``component_id``.
+
+    A-Z are lower-cased; a word is a run of bytes other than blank and control characters 9
+    to 13. The set of a text is its distinct windows of ``width`` words, or the whole word
+    sequence if it has fewer. Two texts link when 100 * intersection >= ``percent`` * union;
+    ``component_id`` is the smallest id reachable by links, the row's own included. Texts
+    that are NULL or hold no word have no shingles, link with nothing and keep their own id.
+    Repeated texts and ids are linked like any others; with a NULL id a row still links, and
+    its component is the smallest id that is not NULL. An empty table gives an empty one.
+    Other columns are not read. ``docs`` must give its rows in the same order when a task is
+    run again, as a table does.
+    """
+    linked = _linked(docs, width, percent, id_col, text_col)
+    return linked.select(F.col("id").alias(id_col), "n_shingles", "component_id")
+
+
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, all columns, reduced to the row of the smallest id of each component.
 
-    Rows that share an id and belong to one component are the same choice, and one of them
-    stays; a row without an id stays, as it cannot be named by another.
+    Rows of that id with different texts stay together, and so do rows repeated in full; a row
+    without an id stays, as no other can stand for it.
     """
-    linked = link_documents(docs, width, percent, id_col, text_col)
-    out = linked.where(F.col(f"`{id_col}`") != F.col("component_id")).select(F.col(f"`{id_col}`").alias("_out"))
-    return docs.join(out.distinct(), F.col(f"`{id_col}`").cast("long") == F.col("_out"), "left_anti")
+    linked = _linked(docs, width, percent, id_col, text_col).where("id != component_id")
+    # A 64-bit key of id and text: rows that share an id are told apart.
+    out = linked.select(F.col("key").alias("_out")).distinct()
+    return docs.join(out, _row_key(id_col, text_col) == F.col("_out"), "left_anti")

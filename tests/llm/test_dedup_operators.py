@@ -1,0 +1,245 @@
+"""Exact, substring, line and shingle deduplication against brute force, with odd rows."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from stancewright.llm import components, exact_dedup, line_dedup, ngram_join, substring_dedup
+from stancewright.llm.words import window_hashes
+
+SCHEMA = "doc_id long, text string, kept string, key long, text_sha256 string"
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def words(text):
+    return [w.decode() for w in WORD.findall((text or "").encode())]
+
+
+def odd_documents():
+    """NULLs, empty and blank texts, repeated rows and ids, ties, control characters, a long text."""
+    rng = random.Random(7)
+    prose = lambda n: " ".join(rng.choice("abcdefghijklmnop") + str(rng.randrange(40)) for _ in range(n))
+    base, passage = prose(120), prose(45)
+    near = base.split()
+    near[60] = "changed"
+    texts = [
+        base, base, base.upper(), " ".join(near), base + " " + prose(4), prose(30), None, "", "   ", "one two",
+        "one two", "One\ttwo", "a b c d", "A b c d", passage + " " + prose(10), prose(12) + "\n" + passage,
+        "same " * 200, "same " * 60, "x\x0by\x0cz w x\x0by\x0cz w", "é É ß 汉字 😀", prose(20_000),
+    ]
+    rows = [(i, t, "clash", -i, None) for i, t in enumerate(texts)]
+    return rows + [rows[0], rows[9], (5, base, "clash", 1, None), (None, "one two", None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(odd_documents(), SCHEMA).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def counted(rows):
+    return Counter(map(tuple, rows))
+
+
+@pytest.mark.parametrize("keep", ["min", "max"])
+def test_exact_copies(docs, keep):
+    groups = {}
+    for x, text, *_ in odd_documents():
+        groups.setdefault(text or "", []).append(x)
+    found = exact_dedup.mark_copies(docs, keep=keep).collect()
+    assert len(found) == len(odd_documents())
+    pick = min if keep == "min" else max
+    by_hash = {hashlib.sha256(t.encode()).hexdigest(): ids for t, ids in groups.items()}
+    for r in found:
+        ids = by_hash[r.text_sha256]
+        assert r.group_size == len(ids) and r.keep_id == pick(x for x in ids if x is not None)
+    kept = Counter(r.text_sha256 for r in found if r.kept)
+    assert set(kept) == set(by_hash) and set(kept.values()) == {1}
+    assert all(r.doc_id == r.keep_id for r in found if r.kept)
+
+
+def test_exact_copies_over_many_ranges(spark):
+    """One text in most rows is spread over ranges and still one group."""
+    rows = spark.range(3000).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 10 < 9, "hot").otherwise(F.concat(F.lit("t"), "id")).alias("text")
+    ).repartition(7)
+    found = exact_dedup.mark_copies(rows, keep="max")
+    parts = found.where("group_size > 1").agg(F.min("keep_id"), F.max("keep_id"), F.count("*"), F.sum(F.col("kept").cast("int"))).first()
+    assert tuple(parts) == (2998, 2998, 2700, 1)
+    assert found.where("group_size = 1 and kept").count() == 300
+
+
+def test_drop_copies_keeps_all_columns(docs):
+    left = exact_dedup.drop_copies(docs, keep="max")
+    assert left.schema == docs.schema
+    texts = [r.text or "" for r in left.collect()]
+    assert sorted(texts) == sorted({r[1] or "" for r in odd_documents()})
+
+
+def removed_by_brute_force(rows, window):
+    """Windows are counted row by row, so a row repeated in full is its own twin."""
+    lists = [words(r[1]) for r in rows]
+    seen = Counter(tuple(w[i : i + window]) for w in lists for i in range(len(w) - window + 1))
+    out = []
+    for row, w in zip(rows, lists):
+        gone = set()
+        for i in range(len(w) - window + 1):
+            if seen[tuple(w[i : i + window])] > 1:
+                gone.update(range(i, i + window))
+        kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+        out.append((row[0], len(w), len(gone), kept))
+    return out
+
+
+@pytest.mark.parametrize("window", [3, 35])
+def test_substrings(docs, window):
+    found = substring_dedup.remove_repeats(docs, window=window)
+    rows = [(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in found.collect()]
+    assert counted(rows) == counted(removed_by_brute_force(odd_documents(), window))
+
+
+def test_substrings_across_many_chunks(docs, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(substring_dedup.repeats, "BUCKET_KEYS", 500)
+    found = substring_dedup.remove_repeats(docs, window=5)
+    rows = [(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in found.collect()]
+    assert counted(rows) == counted(removed_by_brute_force(odd_documents(), 5))
+    assert all(s.start < s.end <= r.n_words for r in found.collect() for s in r.removed)
+
+
+def test_rolling_hash_equals_direct_hash():
+    values = np.random.default_rng(3).integers(0, 1 << 63, 50).astype(np.uint64)
+    rolled = window_hashes(values, 7)
+    assert len(rolled) == 44 and all(window_hashes(values[i : i + 7], 7)[0] == rolled[i] for i in range(44))
+
+
+def shingles(text, width):
+    w = [x.encode().lower() for x in words(text)]
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def components_by_brute_force(rows, width=5, percent=75):
+    sets = [shingles(r[1], width) for r in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    least = {}
+    for row, x in zip(rows, label):
+        if row[0] is not None:
+            least[x] = min(row[0], least.get(x, row[0]))
+    return [(r[0], len(s), least.get(x)) for r, s, x in zip(rows, sets, label)]
+
+
+def test_shingle_components(docs):
+    found = ngram_join.link_documents(docs)
+    assert counted(found.collect()) == counted(components_by_brute_force(odd_documents()))
+
+
+def family(seed, n=60, size=60, groups=6):
+    """Families of near copies that overlap about the threshold, short and long."""
+    rng = random.Random(seed)
+    rows = []
+    for g in range(groups):
+        base = [f"w{rng.randrange(10_000)}" for _ in range(size if g % 2 else 2 + g)]
+        for _ in range(n // groups):
+            own = list(base)
+            for _ in range(rng.randrange(3)):
+                own[rng.randrange(len(own))] = f"w{rng.randrange(10_000)}"
+            if rng.random() < 0.3:
+                own.insert(rng.randrange(len(own)), "extra")
+            rows.append((len(rows), " ".join(own)))
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("seed,small_blocks", [(1, False), (2, True)])
+def test_near_copies_about_the_threshold(spark, monkeypatch, seed, small_blocks):
+    if small_blocks:
+        monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 150)
+        monkeypatch.setattr(ngram_join, "CHUNK_DOCS", 7)
+        monkeypatch.setattr(ngram_join, "SET_CHUNK_SHINGLES", 200)
+        monkeypatch.setattr(ngram_join.repeats, "BUCKET_KEYS", 100)
+    rows = family(seed)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    expected = components_by_brute_force(rows)
+    assert counted(ngram_join.link_documents(docs).collect()) == counted(expected)
+    assert 1 < len({x for _, _, x in expected}) < len(rows)
+
+
+@pytest.mark.parametrize("boundary", [0, 4, 9, 16])
+def test_light_and_heavy_sides_agree(spark, monkeypatch, boundary):
+    """Wherever the boundary lies, the same sets are connected."""
+    monkeypatch.setattr(ngram_join, "_best_boundary", lambda *a: boundary)
+    rows = [(i, " ".join(t)) for i, t in enumerate(
+        [f"t{k}" for k in range(5 + n)] + ["z"] * (n % 2) for n in range(14) for _ in range(2)
+    )]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert counted(ngram_join.link_documents(docs).collect()) == counted(components_by_brute_force(rows))
+
+
+def test_demand_on_shown_hashes_holds():
+    """Two sets at the threshold share as many shown hashes as each is asked for."""
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        a, b = sorted(rng.integers(1, 60, 2))
+        both = ngram_join.pair_overlap(a, b, 75)
+        if both > a:
+            continue
+        pool = rng.permutation(1000)[: a + b - both]
+        x, y = np.sort(pool[:a]), np.sort(np.concatenate([pool[:both], pool[a:]]))
+        shown = [ngram_join._needed(int(n), 75) for n in (a, b)]
+        met = len(np.intersect1d(x[: shown[0][0]], y[: shown[1][0]]))
+        assert met >= max(shown[0][1], shown[1][1])
+
+
+def test_keep_one_of_each_component(docs):
+    left = ngram_join.keep_one(docs)
+    assert left.schema == docs.schema
+    rows = odd_documents()
+    stays = [r[:2] for r, (x, _, c) in zip(rows, components_by_brute_force(rows)) if x is None or x == c]
+    assert counted((r.doc_id, r.text) for r in left.collect()) == counted(stays)
+
+
+def test_components_of_a_path_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(100, 160)] + [(500, x) for x in range(501, 540)] + [(7, 7), (None, 3), (9, 8)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    found = {r.node: r.component for r in components.connected(frame).collect()}
+    assert found == {i: 100 for i in range(100, 161)} | {i: 500 for i in range(500, 540)} | {8: 8, 9: 8}
+    assert components.connected(frame.limit(0)).count() == 0
+
+
+def test_line_templates(spark):
+    shared = "visited page 17 at noon by alice"
+    rows = [(i, f"own line {chr(97 + i) * 3} here\nvisited page {i} at noon by {'bob' if i % 2 else 'alice'}\n\nend") for i in range(8)]
+    rows += [(8, shared), (9, None), (10, ""), (10, ""), (11, "own line zzz there\r\nrare words only in this one"), (12, "word " * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in line_dedup.drop_recurring_lines(docs, min_docs=5, min_share=0.3).collect()}
+    # The page number is a digit field, the name one that varies; "end" recurs in all.
+    assert found[0].n_lines == 4 and found[0].n_dropped == 2 and found[0].kept_text == "own line aaa here\n"
+    assert found[8].n_dropped == 1 and found[8].kept_text == ""
+    assert found[9].n_lines == 1 and found[9].kept_text == "" and found[10].n_dropped == 0
+    assert found[11].n_dropped == 0 and found[12].n_dropped == 0
+    # Lines whose own word is variable stay while that word is more than the share allowed.
+    strict = line_dedup.drop_recurring_lines(docs, min_docs=5, max_wild=0.0).where("doc_id < 8")
+    assert {r.n_dropped for r in strict.collect()} == {1}
+
+
+def test_empty_tables(nothing):
+    for df in (
+        exact_dedup.mark_copies(nothing), exact_dedup.drop_copies(nothing), substring_dedup.remove_repeats(nothing),
+        ngram_join.link_documents(nothing), ngram_join.keep_one(nothing), line_dedup.drop_recurring_lines(nothing),
+    ):
+        assert df.collect() == []
