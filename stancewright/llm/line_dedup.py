@@ -20,22 +20,13 @@ WILD = "<*>"
 
 def _tokens(line: Column) -> Column:
     """Pieces between blanks; other white space counts as a blank."""
-    plain = F.trim(F.regexp_replace(F.translate(line, "\t\r\x0b\x0c", "    "), " {2,}", " "))
-    return F.split(plain, " ")
+    return F.split(F.trim(F.translate(line, "\t\r\x0b\x0c", "    ")), " +")
 
 
 def _masked(token: Column) -> Column:
     return F.when(token.rlike("[0-9]"), F.lit(WILD)).otherwise(token)
 
 
-def _lines(docs: DataFrame, text: Column) -> DataFrame:
-    """Lines with a token: ``key``, ``line_no``, ``tokens``."""
-    rows = docs.select(F.col("key"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    return rows.select("key", "line_no", _tokens(F.col("line")).alias("tokens")).where(
-        F.get("tokens", F.lit(0)) != ""
-    )
-
-
 def _leaf(depth: int) -> Column:
     lead = [F.coalesce(_masked(F.get("tokens", F.lit(i))), F.lit("")) for i in range(depth)]
     return F.xxhash64(F.size("tokens"), *lead)
@@ -59,26 +50,42 @@ def drop_recurring_lines(
     rows = docs.select(
         F.col(f"`{id_col}`").alias("_id"), text.alias("text"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("key")
     )
-    lines = _lines(rows, F.col("text")).withColumn("leaf", _leaf(depth))
+    # What all lines leave behind is narrow; only lines in recurring leaves are read again.
+    split = rows.select("key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = written(
+        split.select("key", "line_no", _tokens(F.col("line")).alias("tokens"))
+        .where(F.get("tokens", F.lit(0)) != "").select("key", "line_no", _leaf(depth).alias("leaf")),
+        "line-leaves",
+    )
     leaves = (
         lines.select("leaf", "key").distinct().groupBy("leaf")
         .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf")
     )
-    members = written(lines.join(leaves, "leaf"), "leaf-lines")
+    wanted = lines.join(leaves, "leaf").groupBy("key").agg(F.collect_set(F.struct("line_no", "leaf")).alias("wanted"))
+    picked = rows.join(wanted, "key").select("key", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
+    members = written(
+        picked.select(
+            "key", "w.line_no", "w.leaf", _tokens(F.get("lines", F.col("w.line_no"))).alias("tokens")
+        ),
+        "leaf-lines",
+    )
     placed = members.select("leaf", F.posexplode("tokens").alias("place", "token")).withColumn(
         "token", _masked(F.col("token"))
     )
-    sizes = members.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines"))
+    sizes = members.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines"), F.first(F.size("tokens")).alias("length"))
     common = (
         placed.where(F.col("token") != WILD).groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") >= min_docs).join(sizes, "leaf").where(F.col("n") >= min_share * F.col("lines"))
-        .groupBy("leaf").agg(F.collect_set(F.concat_ws(" ", "place", "token")).alias("constant"))
+        .groupBy("leaf").agg(F.max("length").alias("length"), F.collect_list(F.struct("place", "token")).alias("found"))
+        # The constant tokens of each place, in the order of the places.
+        .select("leaf", F.transform(
+            F.sequence(F.lit(0), F.col("length") - 1),
+            lambda p: F.transform(F.filter("found", lambda x: x["place"] == p), lambda x: x["token"]),
+        ).alias("constant"))
     )
     wild = F.transform(
         "tokens",
-        lambda t, i: F.when(
-            F.array_contains("constant", F.concat_ws(" ", i.cast("string"), t)), t
-        ).otherwise(F.lit(WILD)),
+        lambda t, i: F.when(F.array_contains(F.get("constant", i), t), t).otherwise(F.lit(WILD)),
     )
     templated = members.join(common, "leaf").select("key", "line_no", wild.alias("template"))
     n_wild = F.size(F.filter("template", lambda t: t == WILD))
