@@ -512,7 +512,7 @@ def _row_key(id_col: str, text_col: str):
     return F.xxhash64(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
 
 
-def _linked(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def _components(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """``key``, ``id``, ``n_shingles``, ``component_id`` of every row."""
     rows = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("id"), _row_key(id_col, text_col).alias("key"),
@@ -568,7 +568,7 @@ def link_documents(
     Other columns are not read. ``docs`` must give its rows in the same order when a task is
     run again, as a table does.
     """
-    linked = _linked(docs, width, percent, id_col, text_col)
+    linked = _components(docs, width, percent, id_col, text_col)
     return linked.select(F.col("id").alias(id_col), "n_shingles", "component_id")
 
 
@@ -578,7 +578,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "
     Rows of that id with different texts stay together, and so do rows repeated in full; a row
     without an id stays, as no other can stand for it.
     """
-    linked = _linked(docs, width, percent, id_col, text_col).where("id != component_id")
+    linked = _components(docs, width, percent, id_col, text_col).where("id != component_id")
     # A 64-bit key of id and text: rows that share an id are told apart.
     out = linked.select(F.col("key").alias("_out")).distinct()
     return docs.join(out, _row_key(id_col, text_col) == F.col("_out"), "left_anti")
