@@ -25,7 +25,9 @@ HEADLINE = [
     "log_loss", "evaluate_labels", "argmax_top_prob", "best_epoch", "key_split",
     "exact_split", "stratified_folds", "class_weights", "pos_weights", "score_summary",
     "summarise_splits", "embed_documents", "embed_with_function", "pca_project",
-    "predict_coverage",
+    "predict_coverage", "train_and_score", "cross_validation", "epoch_log", "text_classifier",
+    "classified_posts", "embed_missing", "posts_csv_round_trip", "labelled_csv_round_trip",
+    "embedding_store_round_trip", "score_table_round_trip", "stream_scores", "months_of_mixed_dates",
 ]
 
 

@@ -1,14 +1,40 @@
-"""Date expressions."""
+"""Date expressions. Months follow the session time zone."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Tried in this order after ISO text; where day and month could be either, the month is first.
+COMMON_FORMATS = (
+    "M/d/yyyy", "d/M/yyyy", "d.M.yyyy", "yyyy/M/d", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy",
+    "M/d/yyyy H:mm", "EEE MMM dd HH:mm:ss Z yyyy",
+)
+
+
+def parse_date(
+    value: Column, formats: Iterable[str] = COMMON_FORMATS, unreadable: str = "null"
+) -> Column:
+    """Timestamp from a text or timestamp column, by the first form that fits.
+
+    Text that no form fits is NULL, or fails the running job with ``unreadable='fail'``.
+    """
+    if unreadable not in ("null", "fail"):
+        raise ValueError(f"unreadable must be 'null' or 'fail', not {unreadable!r}")
+    text = value.cast("string")
+    found = F.coalesce(value.try_cast("timestamp"), *[_by_format(text, f) for f in formats])
+    if unreadable == "null":
+        return found
+    failure = F.raise_error(F.concat(F.lit("unreadable date: "), text)).cast("timestamp")
+    return F.when(found.isNull() & value.isNotNull(), failure).otherwise(found)
+
 
-def parse_date(value: Column) -> Column:
-    """Timestamp from a text or timestamp column; NULL if it cannot be read."""
-    return value.try_cast("timestamp")
+def _by_format(text: Column, form: str) -> Column:
+    # Day names are not accepted when parsing; the date does not need them.
+    bare = F.regexp_replace(text, "^[A-Za-z]+ ", "") if form.startswith("EEE ") else text
+    return F.try_to_timestamp(bare, F.lit(form.removeprefix("EEE ")))
 
 
 def month_of(value: Column, calendar: str = "month") -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,29 +40,37 @@ def training_view(
     return df.select(col(key), col(text), *[col(n) for n in names])
 
 
+def _single_fix(name: str) -> Column:
+    """The correction of one column as a struct, which is NULL where there is none."""
+    # A struct compares its NULL fields, so corrections to NULL and to a value contradict too.
+    fix = F.when(col("column") == name, F.struct(col("value").alias("value")))
+    message = F.concat(F.lit(f"contradictory corrections of {name}: "), F.to_json(F.min(fix)), F.to_json(F.max(fix)))
+    return F.when(F.min(fix) == F.max(fix), F.max(fix)).when(
+        F.min(fix).isNotNull(), F.raise_error(message).cast("struct<value:int>")
+    )
+
+
 def apply_corrections(
     df: DataFrame, corrections: DataFrame, columns: Iterable[str], key: str = "code"
 ) -> DataFrame:
     """Cells replaced by the corrections ``(code, column, value)``.
 
     Corrections are first folded to one row per code with one field per column, so the
-    join stays one to one. Spark broadcasts that side when its measured size allows.
-    At most one correction per cell: ``duplicate_corrections`` lists the rest.
+    join stays one to one. Spark broadcasts that side when its measured size allows. A
+    correction to NULL empties the cell. Corrections of one cell that contradict each other
+    fail the running job; ``duplicate_corrections`` lists the cells.
     """
     names = list(columns)
     types = {f.name: f.dataType for f in df.schema.fields}
     folded = (
         corrections.filter(col("column").isin(names))
         .groupBy(col("code").alias("_patched"))
-        .agg(
-            *[
-                F.max(F.when(col("column") == name, col("value"))).alias(f"_fix{i}")
-                for i, name in enumerate(names)
-            ]
-        )
+        .agg(*[_single_fix(name).alias(f"_fix{i}") for i, name in enumerate(names)])
     )
     fixed = {
-        name: F.coalesce(col(f"_fix{i}").cast(types[name]), col(name))
+        name: F.when(col(f"_fix{i}").isNull(), col(name)).otherwise(
+            col(f"_fix{i}")["value"].cast(types[name])
+        )
         for i, name in enumerate(names)
     }
     return (

@@ -15,6 +15,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer, StandardScaler
 from pyspark.ml.functions import vector_to_array
@@ -23,9 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stancewright.functions import to_vector
-from stancewright.operators.keys import wanted_rows
+from stancewright.operators.keys import missing_keys
 from stancewright.schemas import col
-from stancewright.session import spread
 
 Factory = Callable[[], Callable[[list[str]], Sequence[Sequence[float]]]]
 Embedder = str | Factory | PipelineModel
@@ -49,16 +50,23 @@ def _hashing(dim: int) -> PipelineModel:
     return PipelineModel([*_hashed_terms(dim), unit])
 
 
-def fit_tfidf(df: DataFrame, text: str = "post", dim: int = 256) -> PipelineModel:
+def fit_tfidf(
+    df: DataFrame, text: str = "post", dim: int = 256, partitions: int | None = None
+) -> PipelineModel:
     """An embedder that weighs hashed terms by their rarity in this corpus.
 
     Fit it once, save it, and use it for training, for later posts and on streams.
+    ``partitions`` deals the texts anew, see ``embed_text``.
     """
     rarity = IDF(inputCol="_counts", outputCol="_vector")
-    texts = _text_column(spread(df.select(col(text))), text)
+    texts = _text_column(_dealt(df.select(col(text)), partitions), text)
     return Pipeline(stages=[*_hashed_terms(dim), rarity]).fit(texts)
 
 
+def _dealt(df: DataFrame, partitions: int | None) -> DataFrame:
+    return df if partitions is None else df.repartition(partitions)
+
+
 def _called(df: DataFrame, embedder: Factory, key: str, batch_size: int) -> DataFrame:
     schema = T.StructType(
         [
@@ -67,20 +75,26 @@ def _called(df: DataFrame, embedder: Factory, key: str, batch_size: int) -> Data
         ]
     )
 
-    def embed_batches(frames):
+    def embed_batches(batches):
         encode = embedder()
-        for frame in frames:
-            for start in range(0, len(frame), batch_size):
-                part = frame.iloc[start : start + batch_size]
-                vectors = encode(part["_text"].tolist())
-                if len(vectors) != len(part):
+        for batch in batches:
+            for start in range(0, batch.num_rows, batch_size):
+                part = batch.slice(start, batch_size)
+                vectors = encode(part.column(1).to_pylist())
+                if len(vectors) != part.num_rows:
                     raise ValueError("an embedder must return one vector per text")
-                out = part[[key]].copy()
-                out["embedding"] = [[float(x) for x in vector] for vector in vectors]
-                yield out
+                yield pa.RecordBatch.from_arrays([part.column(0), _vector_column(vectors)], [key, "embedding"])
 
     texts = _text_column(df, "_source").select(col(key), "_text")
-    return texts.mapInPandas(embed_batches, schema)
+    return texts.mapInArrow(embed_batches, schema)
+
+
+def _vector_column(vectors) -> pa.Array:
+    """A list column from one block of numbers, or vector by vector if lengths differ."""
+    vectors = [np.asarray(v, np.float32) for v in vectors]
+    offsets = np.cumsum([0, *map(len, vectors)]).astype(np.int32)
+    values = np.concatenate(vectors) if vectors else np.empty(0, np.float32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
 def embed_text(
@@ -90,19 +104,20 @@ def embed_text(
     key: str = "code",
     dim: int = 256,
     batch_size: int = 1000,
+    partitions: int | None = None,
 ) -> DataFrame:
     """``(key, embedding)`` for each row.
 
     ``dim`` is the vector length of ``'hashing'``; a factory is handed at most
-    ``batch_size`` texts at a time. A missing text counts as an empty one.
+    ``batch_size`` texts at a time. A missing text counts as an empty one. By default the
+    texts are embedded where they are read; ``partitions`` deals them out to so many tasks
+    first, which pays for a slow embedder over few file splits.
     """
     if embedder == "hashing":
         embedder = _hashing(dim)
     if not callable(embedder) and not isinstance(embedder, PipelineModel):
         raise ValueError(f"embedder must be 'hashing', a factory or a model, not {embedder!r}")
-    texts = df.select(col(key), col(text).alias("_source"))
-    if not texts.isStreaming:
-        texts = spread(texts)
+    texts = _dealt(df.select(col(key), col(text).alias("_source")), partitions)
     if isinstance(embedder, PipelineModel):
         vectors = embedder.transform(_text_column(texts, "_source"))
         return vectors.select(col(key), vector_to_array("_vector", "float32").alias("embedding"))
@@ -118,15 +133,15 @@ def embed_missing(
     **options,
 ) -> DataFrame:
     """Embeddings of the posts the store lacks, one per key; append these to the store."""
-    present = wanted_rows(store.select(col(key)), posts, key).distinct()
-    # Copies of a post are combined before the join, which the same shuffle serves.
-    new = one_text_per_key(posts, text, key).join(present, key, "left_anti")
+    # Keys alone tell what is new; then only the texts of new posts move, if few by broadcast.
+    wanted = missing_keys(posts, store, key)
+    new = one_text_per_key(posts.join(wanted, key, "left_semi"), text, key)
     return embed_text(new, embedder, text, key, **options)
 
 
 def one_text_per_key(posts: DataFrame, text: str = "post", key: str = "code") -> DataFrame:
-    """``(key, text)`` once per key; of several texts the first in order, in every run."""
-    return posts.groupBy(col(key)).agg(F.min(col(text)).alias(text))
+    """``(key, text)`` once per key; of several texts the first by digest, in every run."""
+    return posts.groupBy(col(key)).agg(F.min_by(col(text), F.xxhash64(col(text))).alias(text))
 
 
 def vector_lengths(df: DataFrame, vector: str = "embedding") -> DataFrame:

@@ -11,6 +11,9 @@ from stancewright.functions import sequence_code
 from stancewright.operators.ordering import with_position
 from stancewright.schemas import col
 
+#: Keys named in an error.
+SHOWN = 5
+
 
 def duplicate_keys(df: DataFrame, key: str = "code") -> DataFrame:
     """Keys that occur more than once, with their number of rows."""
@@ -19,7 +22,7 @@ def duplicate_keys(df: DataFrame, key: str = "code") -> DataFrame:
 
 def assert_unique(df: DataFrame, key: str = "code") -> DataFrame:
     """The same table, after checking that the key is unique."""
-    found = duplicate_keys(df, key).limit(5).collect()
+    found = duplicate_keys(df, key).limit(SHOWN).collect()
     if found:
         raise ValueError(f"{key} is not unique, for example {[row[0] for row in found]}")
     return df
@@ -45,10 +48,10 @@ def wanted_rows(df: DataFrame, keys: DataFrame, key: str = "code") -> DataFrame:
 
 
 def _looked_up(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Each key of ``left`` once, with ``_found`` true if ``right`` has it, else NULL."""
+    """Each key of ``left`` once, with ``_found``, its number of rows in ``right``, or NULL."""
     wanted = left.select(col(key)).distinct()
-    present = wanted_rows(right.select(col(key)), wanted, key).distinct()
-    return wanted.join(present.withColumn("_found", F.lit(True)), key, "left")
+    present = wanted_rows(right.select(col(key)), wanted, key).groupBy(col(key))
+    return wanted.join(present.agg(F.count(F.lit(1)).alias("_found")), key, "left")
 
 
 def missing_keys(left: DataFrame, right: DataFrame, key: str = "code") -> DataFrame:
@@ -56,19 +59,26 @@ def missing_keys(left: DataFrame, right: DataFrame, key: str = "code") -> DataFr
     return _looked_up(left, right, key).filter(col("_found").isNull()).drop("_found")
 
 
-def _strict_join(left: DataFrame, right: DataFrame, key: str, what: str) -> DataFrame:
-    """Inner join that fails the running job if a row of ``left`` finds no partner.
+def assert_matched(left: DataFrame, right: DataFrame, key: str, what: str) -> None:
+    """Fails at once unless every key of ``left`` has exactly one row in ``right``.
 
-    The check is a second, narrow branch of the same job which yields no rows: the join
-    itself stays an inner one, in which Spark may broadcast either side or split hot keys.
+    The check reads keys only, and is a job of its own, so nothing that is done with the join
+    afterwards can remove it. What comes to the driver is a few keys for the message.
     """
-    joined = left.join(right, key)
-    shown = F.coalesce(col(key).cast("string"), F.lit("NULL"))
-    failure = F.raise_error(F.concat(F.lit(f"no {what} for {key} "), shown)).cast("boolean")
-    # Both sides of the lookup occur in the condition, so it cannot move below the join.
-    none = _looked_up(left, right, key).filter(F.when(col("_found"), False).otherwise(failure))
-    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in joined.schema.fields]
-    return joined.unionAll(none.select(*nothing))
+    faults = _looked_up(left, right, key).filter("_found is null or _found > 1")
+    found = faults.limit(SHOWN).collect()
+    if not found:
+        return
+    missing = [r[0] for r in found if r["_found"] is None]
+    if missing:
+        raise LookupError(f"no {what} for {key} {missing}")
+    raise LookupError(f"more than one {what} for {key} {[r[0] for r in found]}")
+
+
+def _strict_join(left: DataFrame, right: DataFrame, key: str, what: str) -> DataFrame:
+    """Inner join of which every row of ``left`` is known to have one partner."""
+    assert_matched(left, right, key, what)
+    return left.join(right, key)
 
 
 def attach_embeddings(
@@ -80,20 +90,21 @@ def attach_embeddings(
 ) -> DataFrame:
     """Posts with their embedding.
 
-    ``strict`` makes a post without one an error; otherwise such posts are left out. The
-    store has one row per key.
+    ``strict`` makes a post without one an error, and a post with several; it is checked
+    before the plan is made (``assert_matched``). Otherwise posts without one are left out,
+    and the store is taken to have one row per key.
     """
     store = embeddings.select(col(key), *[col(n) for n in columns])
     return _strict_join(posts, store, key, "embedding") if strict else posts.join(store, key)
 
 
 def verify_text(
-    posts: DataFrame, store: DataFrame, key: str = "code", text: str = "post"
+    posts: DataFrame, store: DataFrame, key: str = "code", text: str = "post", strict: bool = False
 ) -> DataFrame:
-    """Keys whose stored text differs from the text of the post.
+    """Keys whose stored text differs from the text of the post, or that the store lacks.
 
-    The whole texts are compared through their SHA-256, computed before the shuffle: a
-    row then moves 32 bytes instead of its text.
+    The whole texts are compared through their SHA-256, computed before the shuffle: a row
+    then moves 32 bytes instead of its text. ``strict`` makes any such key an error.
     """
 
     def digests(df: DataFrame, name: str) -> DataFrame:
@@ -103,14 +114,23 @@ def verify_text(
             F.length(col(text)).alias(f"{name}_chars"),
         )
 
-    both = digests(posts, "post").join(digests(store, "stored"), key)
-    return both.filter(~col("post").eqNullSafe(col("stored"))).select(
+    stored = wanted_rows(digests(store, "stored").withColumn("in_store", F.lit(True)), posts, key)
+    both = digests(posts, "post").join(stored, key, "left").withColumn(
+        "in_store", F.coalesce("in_store", F.lit(False))
+    )
+    differing = both.filter(~col("in_store") | ~col("post").eqNullSafe(col("stored"))).select(
         col(key),
         F.lower(F.hex("post")).alias("post_digest"),
         F.lower(F.hex("stored")).alias("stored_digest"),
         "post_chars",
         "stored_chars",
+        "in_store",
     )
+    if strict:
+        found = differing.limit(SHOWN).collect()
+        if found:
+            raise LookupError(f"text differs from the store or is absent for {key} {[r[0] for r in found]}")
+    return differing
 
 
 def align_predictions(

@@ -20,17 +20,22 @@ def with_position(df: DataFrame, key: str, name: str = "position") -> DataFrame:
     Only the key is sorted. The numbered keys are checkpointed, because their slices are
     read twice (to add up the slice sizes, and to number) and both readings must see the
     same slice bounds even if an executor is lost in between. A repeated key is an error:
-    its copies meet in one slice, next to each other.
+    its copies meet in one slice, next to each other. So is a NULL key, which has no place.
     """
     inside = Window.partitionBy("_slice").orderBy(col(key))
     repeated = F.lag(col(key)).over(inside) == col(key)
     message = F.concat(F.lit(f"{key} is not unique: "), col(key).cast("string"))
+    fault = (
+        F.when(col(key).isNull(), F.raise_error(F.lit(f"{key} is NULL")).cast("boolean"))
+        .when(col("_repeated"), F.raise_error(message).cast("boolean"))
+        .otherwise(True)
+    )
     placed = materialise(
         df.select(col(key))
         .repartitionByRange(col(key))
         .withColumn("_slice", F.spark_partition_id())
         .withColumns({"_at": F.row_number().over(inside) - 1, "_repeated": repeated})
-        .filter(F.when(col("_repeated"), F.raise_error(message).cast("boolean")).otherwise(True))
+        .filter(fault)
         .drop("_repeated")
     )
     earlier = Window.partitionBy(F.lit(0)).orderBy("_slice").rowsBetween(

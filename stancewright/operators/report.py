@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from stancewright import schemas
 from stancewright.functions import (
+    COMMON_FORMATS,
     month_of,
     parse_date,
     percent_text,
@@ -21,9 +22,12 @@ from stancewright.functions import (
 )
 from stancewright.schemas import col
 
+#: Month of posts whose date is missing or cannot be read.
+UNREADABLE = "unreadable"
 
-def _date(df: DataFrame, name: str) -> Column:
-    return parse_date(col(name)) if dict(df.dtypes)[name] == "string" else col(name)
+
+def _date(df: DataFrame, name: str, formats: Iterable[str] = COMMON_FORMATS) -> Column:
+    return parse_date(col(name), formats) if dict(df.dtypes)[name] == "string" else col(name)
 
 
 def _sums(labels: Sequence[str]) -> list[Column]:
@@ -84,11 +88,16 @@ def monthly_counts(
     labels: Iterable[str] = tuple(schemas.REPORT_LABELS),
     date: str = "date",
     calendar: str = "month",
+    formats: Iterable[str] = COMMON_FORMATS,
 ) -> DataFrame:
-    """Positives per month and label; posts without a readable date belong to no month."""
+    """Positives per month and label.
+
+    Posts without a readable date are counted under a NULL month, so that months add up to all
+    posts.
+    """
     names = list(labels)
-    month = month_of(_date(df, date), calendar)
-    wide = df.filter(month.isNotNull()).groupBy(month.alias("month")).agg(*_sums(names))
+    month = month_of(_date(df, date, formats), calendar)
+    wide = df.groupBy(month.alias("month")).agg(*_sums(names))
     return _long(wide, ["month"], names)
 
 
@@ -97,27 +106,30 @@ def monthly_share(
     labels: Iterable[str] = tuple(schemas.REPORT_LABELS),
     date: str = "date",
     calendar: str = "month",
+    formats: Iterable[str] = COMMON_FORMATS,
 ) -> DataFrame:
-    """How the positives of each label spread over the months; sums to 1 per label."""
+    """How the positives of each label spread over the months; sums to 1 per label.
+
+    The part of posts without a readable date stands under a NULL month.
+    """
     total = F.sum("positives").over(Window.partitionBy("label"))
-    return monthly_counts(df, labels, date, calendar).withColumn(
+    return monthly_counts(df, labels, date, calendar, formats).withColumn(
         "share", _share(col("positives"), total)
     )
 
 
-def months_with_total(df: DataFrame, date: str = "date") -> DataFrame:
-    """Rows per month in order, with an 'All' row at the end."""
-    months = df.select(month_of(_date(df, date)).alias("_month"))
+def months_with_total(
+    df: DataFrame, date: str = "date", formats: Iterable[str] = COMMON_FORMATS
+) -> DataFrame:
+    """Rows per month in order, then those without a readable date, and an 'All' row at the end."""
+    months = df.select(month_of(_date(df, date, formats)).alias("_month"))
+    name = F.coalesce(col("_month").cast("string"), F.lit(UNREADABLE))
     return (
         months.rollup("_month")
         .agg(F.count(F.lit(1)).alias("n_posts"), F.grouping("_month").alias("_total"))
-        .filter("_total = 1 or _month is not null")
-        .coalesce(1)  # thirteen rows at most
-        .orderBy("_total", "_month")
-        .select(
-            F.when(col("_total") == 1, "All").otherwise(col("_month").cast("string")).alias("month"),
-            "n_posts",
-        )
+        .coalesce(1)  # fourteen rows at most
+        .orderBy("_total", F.asc_nulls_last("_month"))
+        .select(F.when(col("_total") == 1, "All").otherwise(name).alias("month"), "n_posts")
     )
 
 

@@ -22,22 +22,34 @@ from stancewright.operators.embed import embedding_dim
 from stancewright.operators.metrics import evaluate, log_loss
 from stancewright.operators.sampling import class_weights, training_frame
 from stancewright.schemas import col
-
-
-MAX_CLASSES = 10_000
-
-
-def mlp_layers(dim: int, hidden: int, n_classes: int) -> list[int]:
-    """Layer widths: the hidden width halves three times before the output."""
-    return [dim, hidden, hidden // 2, hidden // 4, hidden // 8, n_classes]
-
-
-def _weights_by_label(df: DataFrame, labels: Sequence[str]) -> dict[str, list[tuple]]:
-    """Class weights of every label in one job; a handful of rows per label."""
+from stancewright.session import materialise
+
+def mlp_layers(dim: int, hidden: int, n_classes: int, shape: str = "deep") -> list[int]:
+    """Layer widths. A deep network halves its hidden width three times, a shallow one has one."""
+    if shape == "shallow":
+        layers = [dim, hidden, n_classes]
+    elif shape == "deep":
+        layers = [dim, hidden, hidden // 2, hidden // 4, hidden // 8, n_classes]
+    else:
+        raise ValueError(f"shape must be 'deep' or 'shallow', not {shape!r}")
+    if min(layers) < 1:
+        raise ValueError(f"layer widths {layers} are not all positive; a deep network needs hidden >= 8")
+    return layers
+
+
+def weights_by_label(
+    df: DataFrame, labels: Sequence[str], max_classes: int = 10_000
+) -> dict[str, list[tuple]]:
+    """(class, weight) pairs of every label, counted in one job.
+
+    They are brought to the driver, so the labels may have ``max_classes`` classes each on
+    average; more is an error, as such columns are not labels.
+    """
     found: dict[str, list[tuple]] = {name: [] for name in labels}
-    rows = class_weights(df, labels).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"over {MAX_CLASSES} classes: {labels} are not label columns")
+    most = max_classes * len(found)
+    rows = class_weights(df, labels).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {max_classes} classes each: {labels} are not label columns")
     for row in rows:
         found[row["label"]].append((row["class"], row["weight"]))
     empty = [name for name, classes in found.items() if not classes]
@@ -58,11 +70,11 @@ def oversample(df: DataFrame, weights: Sequence[tuple]) -> DataFrame:
     return df.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).drop("_copy")
 
 
-def _estimator(kind: str, dim: int, n_classes: int, hidden: int, max_iter: int, seed: int):
+def _estimator(kind: str, dim: int, n_classes: int, hidden: int, shape: str, max_iter: int, seed: int):
     if kind == "logistic":
         return LogisticRegression(maxIter=max_iter, weightCol="weight", aggregationDepth=3)
     if kind == "mlp":
-        layers = mlp_layers(dim, hidden, n_classes)
+        layers = mlp_layers(dim, hidden, n_classes, shape)
         return MultilayerPerceptronClassifier(layers=layers, maxIter=max_iter, seed=seed)
     raise ValueError(f"estimator must be 'logistic' or 'mlp', not {kind!r}")
 
@@ -76,13 +88,19 @@ def train_labels(
     hidden: int = 64,
     max_iter: int = 50,
     seed: int = 42,
+    shape: str = "deep",
+    max_classes: int = 10_000,
 ) -> dict:
-    """A fitted, class-balanced model per label."""
+    """A fitted, class-balanced model per label.
+
+    ``hidden`` and ``shape`` are those of ``estimator='mlp'`` (``mlp_layers``);
+    ``max_classes`` is explained at ``weights_by_label``.
+    """
     names = list(labels)
     data = df.select(col(key), col(features), *[col(n) for n in names])
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        weights = _weights_by_label(data, names)
+        weights = weights_by_label(data, names, max_classes)
         dim = embedding_dim(data, features) if estimator == "mlp" else 0
         models = {}
         for name in names:
@@ -90,7 +108,7 @@ def train_labels(
             if estimator == "mlp":
                 frame = oversample(frame, weights[name])
             width = max(2, max(c for c, _ in weights[name]) + 1)
-            models[name] = _estimator(estimator, dim, width, hidden, max_iter, seed).fit(frame)
+            models[name] = _estimator(estimator, dim, width, hidden, shape, max_iter, seed).fit(frame)
     finally:
         data.unpersist()
     return models
@@ -173,8 +191,15 @@ def predict_wide(
 def score_models(
     df: DataFrame, models: Mapping, features: str = "embedding", key: str = "code"
 ) -> DataFrame:
-    """Scores of all models on a labelled table, for instance the test split."""
-    return evaluate(predict_labels(df, models, features, key))
+    """Scores of all models on a labelled table, for instance the test split.
+
+    The predictions are computed once, without the vectors, and read back for every score.
+    """
+    return evaluate(materialise(_to_score(predict_labels(df, models, features, key))))
+
+
+def _to_score(preds: DataFrame, *keep: str) -> DataFrame:
+    return preds.select(*keep, "label", "ground_truth", "prediction", "probs")
 
 
 @dataclass
@@ -198,15 +223,19 @@ def fit_epochs(
     hidden: int = 64,
     metric: str = "accuracy",
     seed: int = 42,
+    shape: str = "deep",
 ) -> EpochRun:
     """Trains a network in steps, scores each step, keeps the best and the latest model.
 
-    Every ``every`` iterations the weights so far start the next step. The best step has
-    the largest validation ``metric``, the earliest one winning ties.
+    Every ``every`` iterations the weights so far start the next step; a last, shorter step
+    makes up ``epochs``. The best step has the largest validation ``metric``, the earliest
+    one winning ties.
     """
-    weights = _weights_by_label(train, [label])[label]
+    if epochs < 1 or every < 1:
+        raise ValueError("epochs and every must be at least 1")
+    weights = weights_by_label(train, [label])[label]
     width = max(2, max(c for c, _ in weights) + 1)
-    layers = mlp_layers(embedding_dim(train, features), hidden, width)
+    layers = mlp_layers(embedding_dim(train, features), hidden, width, shape)
     # A row keeps its class weight in validation too, so both losses are comparable.
     parts = [
         training_frame(part, label, features, key, weights).withColumn("split", F.lit(name))
@@ -216,8 +245,9 @@ def fit_epochs(
     fit_on = oversample(both.filter("split = 'train'"), weights).persist()
     rows, model, best = [], None, (None, float("-inf"), None)
     try:
-        for epoch in range(every, epochs + 1, every):
-            net = MultilayerPerceptronClassifier(layers=layers, maxIter=every, seed=seed)
+        for start in range(0, epochs, every):
+            epoch = min(start + every, epochs)
+            net = MultilayerPerceptronClassifier(layers=layers, maxIter=epoch - start, seed=seed)
             if model is not None:
                 net.setInitialWeights(model.weights)
             model = net.fit(fit_on)
@@ -234,14 +264,14 @@ def fit_epochs(
 
 
 def _epoch_scores(scored: DataFrame) -> list[tuple]:
-    """(split, metric, value) of both splits, in one job."""
+    """(split, metric, value) of both splits; the network is applied once."""
     preds = scored.select(
         "split",
         col("label").cast("int").alias("ground_truth"),
         col("prediction").cast("int").alias("prediction"),
         vector_to_array("probability").alias("probs"),
         "weight",
-    )
+    ).persist(StorageLevel.MEMORY_AND_DISK)
     metrics = evaluate(preds, ["split"]).select(
         "split", "accuracy", col("f1_weighted").alias("f1"), col("roc_auc").alias("rocauc")
     )
@@ -249,5 +279,8 @@ def _epoch_scores(scored: DataFrame) -> list[tuple]:
     names = ["accuracy", "f1", "rocauc", "loss"]
     together = metrics.unionByName(loss, allowMissingColumns=True)
     long = together.unpivot(["split"], names, "metric", "value").filter(col("value").isNotNull())
-    found = {(r["split"], r["metric"]): r["value"] for r in long.collect()}
+    try:
+        found = {(r["split"], r["metric"]): r["value"] for r in long.collect()}
+    finally:
+        preds.unpersist()
     return [(s, m, found.get((s, m))) for s in ("train", "val") for m in names]

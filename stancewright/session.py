@@ -61,14 +61,10 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores, for CPU-bound steps on a table of few file splits.
-
-    Only a table small enough that its scan cannot occupy every core is redistributed;
-    the scan of a large one already yields a task per split.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores) if int(str(size)) < cores * split else df
+def drop_scratch(spark: SparkSession, path: str) -> bool:
+    """Removes one scratch table, once what was made from it is stored elsewhere."""
+    if not path.startswith(shared_dir(spark) + "/"):
+        raise ValueError(f"{path} is not in the scratch folder")
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -90,10 +90,15 @@ def read_classified(
     spark: SparkSession, all_path: str, relevant_path: str | None = None,
     relevant_only: bool = False,
 ) -> DataFrame:
-    """Classified posts: the whole corpus, or the part kept as relevant."""
+    """Classified posts: the whole corpus, or the part kept as relevant.
+
+    Declared columns that are there are cast to their types, NaN labels become NULL.
+    """
     if relevant_only and relevant_path is None:
         raise ValueError("relevant_only needs the path of the relevant posts")
-    return spark.read.parquet(relevant_path if relevant_only else all_path)
+    found = spark.read.parquet(relevant_path if relevant_only else all_path)
+    declared = [f for f in schemas.CLASSIFIED.fields if f.name in found.columns]
+    return conform(found, T.StructType(declared), keep_extra=True)
 
 
 def read_embeddings(
@@ -121,13 +126,14 @@ def write_embeddings(df: DataFrame, path: str, mode: str = "error") -> None:
 
 
 def save_bucketed(
-    df: DataFrame, table: str, key: str = "code", buckets: int = 200, path: str | None = None
+    df: DataFrame, table: str, key: str = "code", buckets: int = 200, path: str | None = None,
+    mode: str = "error",
 ) -> None:
     """Table bucketed and sorted by its key, below ``path`` or in the warehouse.
 
     Two tables saved with the same bucket count join on the key without a shuffle.
     """
-    writer = df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    writer = df.write.mode(mode).bucketBy(buckets, key).sortBy(key)
     (writer.option("path", path) if path else writer).saveAsTable(table)
 
 

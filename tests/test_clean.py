@@ -65,6 +65,18 @@ def test_correction_checks(spark):
     assert [r["column"] for r in clean.unmatched_corrections(df, fixes).collect()] == ["zzz"]
 
 
+def test_contradictory_corrections_fail(spark, rows):
+    df = spark.createDataFrame([("0", 1, 1), ("1", 1, 0)], "code string, a int, b int")
+    one = [("0", "a", 0), ("0", "a", 0), ("1", "b", None), ("1", "a", None)]
+    kind = "code string, column string, value int"
+    fixes = spark.createDataFrame(one, kind)
+    assert rows(clean.apply_corrections(df, fixes, ["a", "b"])) == [("0", 0, 1), ("1", None, None)]
+    for second in (1, None):
+        wrong = spark.createDataFrame([*one, ("0", "a", second)], kind)
+        with pytest.raises(Exception, match="contradictory corrections of a"):
+            clean.apply_corrections(df, wrong, ["a", "b"]).collect()
+
+
 def test_canonical_labels(spark):
     df = spark.createDataFrame([(1, 0)], "`Pro peace,` int, `Pro War` int")
     assert clean.canonical_labels(df).columns == ["pro peace", "pro war"]

@@ -68,6 +68,13 @@ def test_argmax_takes_the_first_of_equals(spark, values, at):
 def test_dates(spark):
     assert one(spark, fn.parse_date(F.lit("2023-04-15 10:00:00"))).month == 4
     assert one(spark, fn.parse_date(F.lit("no date"))) is None
+    for text in ("15 Apr 2023", "4/15/2023", "15.4.2023", "April 15, 2023", "Sat Apr 15 08:30:00 +0000 2023"):
+        found = one(spark, fn.parse_date(F.lit(text)))
+        assert (found.month, found.day) == (4, 15)
+    assert one(spark, fn.parse_date(F.lit("2023|15|04"), ["yyyy|dd|MM"])).month == 4
+    with pytest.raises(Exception, match="unreadable date: no date"):
+        one(spark, fn.parse_date(F.lit("no date"), unreadable="fail"))
+    assert one(spark, fn.parse_date(F.lit(None).cast("string"), unreadable="fail")) is None
     day = F.lit("2023-04-15").cast("date")
     assert one(spark, fn.month_of(day)) == 4
     assert one(spark, fn.month_of(day, "year-month")) == datetime.date(2023, 4, 1)

@@ -24,17 +24,19 @@ def test_attach(posts, store, rows):
     some = store.filter("code <> 'b'")
     assert rows(keys.attach_embeddings(posts, some), "code") == [("a",), ("c",)]
     assert keys.attach_embeddings(posts, store, strict=True).count() == 3
-    with pytest.raises(Exception, match="no embedding for code b"):
-        keys.attach_embeddings(posts, some, strict=True).collect()
-    # The check also runs when no column of the store is used.
-    with pytest.raises(Exception, match="no embedding for code b"):
-        keys.attach_embeddings(posts, some, strict=True).count()
+    # Nothing has to be read from the join: no consumer can remove the check.
+    with pytest.raises(LookupError, match="no embedding for code .'b'"):
+        keys.attach_embeddings(posts, some, strict=True)
+    with pytest.raises(LookupError, match="more than one embedding for code .'a'"):
+        keys.attach_embeddings(posts, store.union(store.filter("code = 'a'")), strict=True)
+    extra = store.union(store.selectExpr("'zz'", *store.columns[1:])).union(store.selectExpr("'zz'", *store.columns[1:]))
+    assert keys.attach_embeddings(posts, extra, strict=True).count() == 3
 
 
 def test_strict_fails_on_a_null_key(spark, store):
     posts = spark.createDataFrame([(None,)], "code string")
-    with pytest.raises(Exception, match="no embedding for code NULL"):
-        keys.attach_embeddings(posts, store, strict=True).collect()
+    with pytest.raises(LookupError, match="no embedding for code .None"):
+        keys.attach_embeddings(posts, store, strict=True)
 
 
 def test_missing_keys(posts, store, rows):
@@ -44,6 +46,11 @@ def test_missing_keys(posts, store, rows):
 def test_verify_text(posts, store, rows):
     assert rows(keys.verify_text(posts, store), "code") == [("b",), ("c",)]
     assert keys.verify_text(store, store).count() == 0
+    absent = keys.verify_text(posts, store.filter("code <> 'a'"))
+    assert rows(absent, "code", "in_store") == [("a", False), ("b", True), ("c", True)]
+    with pytest.raises(LookupError, match="for code"):
+        keys.verify_text(posts, store, strict=True)
+    keys.verify_text(store, store, strict=True)
 
 
 def test_unique(posts):
@@ -58,8 +65,8 @@ def test_align(spark, rows):
     assert rows(keys.align_predictions(truth, preds, ["war"], strict=False)) == [
         ("a", 1, 0), ("b", 0, None),
     ]
-    with pytest.raises(Exception, match="no prediction for code b"):
-        keys.align_predictions(truth, preds, ["war"]).collect()
+    with pytest.raises(LookupError, match="no prediction for code .'b'"):
+        keys.align_predictions(truth, preds, ["war"])
 
 
 def test_pick(posts, rows):
@@ -83,6 +90,11 @@ def test_position_needs_a_unique_key(spark):
         ordering.with_position(df, "id")
 
 
+def test_position_needs_a_key(spark):
+    with pytest.raises(Exception, match="id is NULL"):
+        ordering.with_position(spark.range(5).union(spark.sql("SELECT CAST(NULL AS BIGINT)")), "id")
+
+
 def test_position_over_text_keys(spark):
     words = [f"w{i}" for i in range(500)]
     df = spark.createDataFrame([(w,) for w in words], "k string")

@@ -11,7 +11,7 @@ from stancewright.operators import clean, keys, metrics, report, sampling, train
 
 TRAINED = {
     "train_and_score", "cross_validation", "predict_coverage", "epoch_log", "classified_posts",
-    "text_classifier", "training_frame",
+    "text_classifier", "training_frame", "stream_scores", "pca_project",
 }
 PYTHON = {"embed_with_function"}
 
@@ -38,7 +38,7 @@ def test_no_cross_join_and_no_python(spark, no_broadcast, name):
     text = plan(QUERIES[name](spark, SF))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert "PythonUDF" not in text
-    assert ("MapInPandas" in text) == (name in PYTHON)
+    assert ("MapInArrow" in text) == (name in PYTHON)
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - TRAINED))
@@ -170,3 +170,37 @@ def test_binary_evaluation_has_one_aggregate_over_the_rows(spark):
     counts = metrics.confusion_wide(df, {"a": ("a", "pa"), "b": ("b", "pb")})
     text = plan(metrics.binary_scores(counts))
     assert shuffles(counts) == 0 and text.index("Generate") < text.index("HashAggregate")
+
+
+def test_scoring_applies_the_models_once(spark):
+    """The plan of the scores starts from stored predictions: no model, no vector in it."""
+    data = spark.read.parquet(f"{SF}/embeddings.parquet").withColumnRenamed("vec_id", "code")
+    models = train.train_labels(data, ["label"], max_iter=2)
+    text = plan(train.score_models(data, models))
+    assert "UDF(" not in text and "FileScan" not in text
+
+
+def test_cross_validation_stores_what_it_scores(spark):
+    from stancewright.plans.training import cross_validate
+
+    data = spark.read.parquet(f"{SF}/embeddings.parquet").withColumnRenamed("vec_id", "code")
+    text = plan(cross_validate(data, "label", k=2, max_iter=2))
+    assert "UDF(" not in text and "FileScan" not in text and "InMemory" not in text
+
+
+def test_only_texts_of_new_posts_move(spark, no_broadcast):
+    from stancewright.operators import embed
+
+    posts = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    store = spark.read.parquet(f"{SF}/embeddings.parquet").withColumnRenamed("vec_id", "doc_id")
+    text = plan(embed.embed_missing(posts, store, "hashing", "text", "doc_id"))
+    # The anti join on keys is below the only exchange of texts.
+    assert "LeftSemi" in text and "LeftAnti" not in text.split("LeftSemi")[0]
+
+
+def test_an_embedder_is_in_the_plan_of_a_strict_lookup_once(spark):
+    from stancewright.operators import embed
+
+    posts = spark.createDataFrame([("a", "x"), ("b", "y")], "code string, post string")
+    vectors = embed.embed_text(posts, lambda: lambda texts: [[1.0] for _ in texts])
+    assert plan(keys.attach_embeddings(posts, vectors, strict=True)).count("MapInArrow") == 1

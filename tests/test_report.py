@@ -51,9 +51,15 @@ def test_months_in_order_with_total(posts):
     assert got == [("1", 3), ("3", 1), ("All", 4)]
 
 
-def test_unreadable_dates_have_no_month(spark):
-    df = spark.createDataFrame([("nope",), ("2023-02-01",)], "date string")
-    assert [tuple(r) for r in report.months_with_total(df).collect()] == [("2", 1), ("All", 2)]
+def test_unreadable_dates_are_shown(spark, rows):
+    texts = ["nope", "2023-02-01", "15 Apr 2023", "04/16/2023", None]
+    df = spark.createDataFrame([(t, 1) for t in texts], "date string, x int")
+    assert [tuple(r) for r in report.months_with_total(df).collect()] == [
+        ("2", 1), ("4", 2), ("unreadable", 2), ("All", 5),
+    ]
+    assert rows(report.monthly_counts(df, ["x"])) == [(2, "x", 1), (4, "x", 2), (None, "x", 2)]
+    shares = report.monthly_share(df, ["x"]).agg(F.sum("share"), F.sum("positives")).first()
+    assert tuple(shares) == (1.0, 5)
 
 
 def test_preview(posts):
@@ -62,13 +68,13 @@ def test_preview(posts):
 
 def test_score_summary(spark, rows):
     cells = spark.createDataFrame(
-        [("RSF", "0.92±0.07", "0.73±0.02", "0.98±0.02", "n/a")],
+        [("RSF", "0.61±0.11", "0.52±0.12", "0.43±0.13", "n/a")],
         "Label string, `Train F1` string, `Validation F1` string, `Train ROC AUC` string, "
         "`Validation ROC AUC` string",
     )
     assert rows(report.score_summary(cells)) == [
-        ("RSF", "Train", "F1", 0.92, 0.07), ("RSF", "Train", "ROC AUC", 0.98, 0.02),
-        ("RSF", "Validation", "F1", 0.73, 0.02), ("RSF", "Validation", "ROC AUC", None, None),
+        ("RSF", "Train", "F1", 0.61, 0.11), ("RSF", "Train", "ROC AUC", 0.43, 0.13),
+        ("RSF", "Validation", "F1", 0.52, 0.12), ("RSF", "Validation", "ROC AUC", None, None),
     ]
 
 

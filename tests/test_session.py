@@ -2,7 +2,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from stancewright.session import materialise, scratch_path, shared_dir, spread
+from stancewright.session import drop_scratch, materialise, scratch_path, shared_dir
 
 
 def fake(master, folder=None):
@@ -33,8 +33,9 @@ def test_materialise_cuts_the_lineage(spark, rows):
     assert "Range" not in df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_spread_only_touches_small_tables(spark):
-    small = spark.range(10).coalesce(1)
-    assert spread(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    large = spark.range(10**10)
-    assert spread(large) is large
+def test_scratch_tables_can_be_dropped(spark):
+    path = scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert drop_scratch(spark, path) and not drop_scratch(spark, path)
+    with pytest.raises(ValueError, match="not in the scratch folder"):
+        drop_scratch(spark, "/tmp")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from conftest import SF
 from stancewright import sources
 from stancewright.operators import metrics, train
-from stancewright.plans.training import cross_validate, train_and_test
+from stancewright.plans.training import cross_validate, train_and_test, train_epochs
 
 
 @pytest.fixture(scope="module")
@@ -97,10 +97,43 @@ def test_epochs(data, tmp_path):
         assert list(back.weights) == list(model.weights)
 
 
+@pytest.mark.parametrize("epochs,every,steps", [(7, 3, [3, 6, 7]), (2, 5, [2]), (1, 1, [1])])
+def test_every_requested_epoch_is_trained(data, epochs, every, steps):
+    run = train.fit_epochs(data, data, "Sudanese", epochs=epochs, every=every, hidden=8)
+    assert sorted({r["epoch"] for r in run.log.collect()}) == steps
+    assert run.latest is not None and run.best is not None
+
+
+def test_layer_shapes():
+    assert train.mlp_layers(64, 128, 2, "shallow") == [64, 128, 2]
+    assert train.mlp_layers(64, 16, 3) == [64, 16, 8, 4, 2, 3]
+    for bad in ({"hidden": 4}, {"hidden": 8, "shape": "wide"}):
+        with pytest.raises(ValueError):
+            train.mlp_layers(64, n_classes=2, **bad)
+
+
+def test_too_many_classes(data):
+    with pytest.raises(ValueError, match="over 1 classes"):
+        train.weights_by_label(data, ["RSF"], max_classes=1)
+
+
+def test_train_epochs(data, tmp_path):
+    runs, log, scores = train_epochs(
+        data, ["RSF", "Sudanese"], model_root=str(tmp_path / "e"), epochs=4, every=3, shape="shallow", hidden=8
+    )
+    assert {(r["label"], r["epoch"]) for r in log.collect()} == {(n, e) for n in runs for e in (3, 4)}
+    assert {(r["split"], r["label"]) for r in scores.collect()} == {
+        (s, n) for s in ("train", "val", "test") for n in runs
+    }
+    for kind in ("best", "latest"):
+        assert sources.load_model(str(tmp_path / "e"), "RSF", kind=kind) is not None
+
+
 def test_train_and_test(data, tmp_path):
     models, scores = train_and_test(data, ["RSF"], model_root=str(tmp_path / "m"), max_iter=10)
-    row = scores.first()
-    assert row["label"] == "RSF" and 0 < row["n_rows"] < 100
+    found = {r["split"]: r for r in scores.collect()}
+    assert set(found) == {"train", "val", "test"}
+    assert sum(r["n_rows"] for r in found.values()) == data.filter("RSF is not null").count()
     assert sources.load_model(str(tmp_path / "m"), "RSF").numClasses == 3
 
 
