@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ from stancewright.llm.words import mixed
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BYTE_PENALTY = 10.0
 #: Characters of the texts that are worked on together; a longer text is a batch of its own.
-BATCH_CHARS = 1_500_000
+BATCH_CHARS = 300_000
 _SPACE = "▁"
 _ATOM = re.compile(r"\n| *[^ \n]+| +")
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -421,16 +422,16 @@ def row_seeds(keys: list, seed: int) -> np.ndarray:
     )
 
 
-def _batches(texts: list[str]):
-    """Ranges of texts of at most ``BATCH_CHARS``, or of one text."""
+def _ranges(lengths: list[int]):
+    """Ranges of rows with at most ``BATCH_CHARS`` characters, or of one row."""
     start = size = 0
-    for i, text in enumerate(texts):
-        if i > start and size + len(text) > BATCH_CHARS:
+    for i, n in enumerate(lengths):
+        if i > start and size + n > BATCH_CHARS:
             yield start, i
             start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+        size += n
+    if start < len(lengths):
+        yield start, len(lengths)
 
 
 def sample(
@@ -455,17 +456,18 @@ def sample(
 
     def segment(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            seeds = row_seeds(batch.column(0).to_pylist(), seed)
-            for a, b in _batches(texts):
-                found = sample_batch(texts[a:b], seeds[a:b], known, k)
-                rows = [(n, s, *x) for n, f in enumerate(found, a) for s, x in enumerate(f, 1)]
+            lengths = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist()
+            for a, b in _ranges(lengths):
+                part = batch.slice(a, b - a)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                found = sample_batch(texts, row_seeds(part.column(0).to_pylist(), seed), known, k)
+                rows = [(n, s, *x) for n, f in enumerate(found) for s, x in enumerate(f, 1)]
                 source, number, ids, log_prob, inclusion = zip(*rows)
                 sizes = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
                 flat = np.concatenate(ids).astype(np.int32)
                 at = pa.array(source)
                 yield pa.RecordBatch.from_arrays(
-                    [*(c.take(at) for c in batch.columns[2:]), pa.array(number, pa.int32()),
+                    [*(c.take(at) for c in part.columns[2:]), pa.array(number, pa.int32()),
                      pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat)),
                      pa.array(log_prob), pa.array(inclusion)],
                     names=[*kept, *results],
