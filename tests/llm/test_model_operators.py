@@ -303,13 +303,13 @@ TOY = sp_sampling.Pieces.from_list(
 
 def toy_segmentations(text):
     """All ways to cut a text into toy pieces, with normalised log probabilities."""
-    names = [p.decode() for p in TOY.surface]
+    names = {i: TOY.surface[i].decode() for i in range(256, len(TOY.surface))}
     def cut(rest):
         if not rest:
             yield ()
-        for i in range(256, len(names)):
-            if rest.startswith(names[i]):
-                yield from ((i, *more) for more in cut(rest[len(names[i]):]))
+        for i, name in names.items():
+            if rest.startswith(name):
+                yield from ((i, *more) for more in cut(rest[len(name):]))
     ways = {w: sum(TOY.weight[i] for i in w) for w in cut(" " + text)}
     total = math.log(sum(math.exp(x) for x in ways.values()))
     return {w: x - total for w, x in ways.items()}
