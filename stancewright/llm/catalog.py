@@ -42,6 +42,10 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+#: Words in SQL: runs of anything but blank and the control characters 9 to 13.
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
 def topic(text: Column) -> Column:
     """What a text is mostly about, by what it holds; tested on the whole text, in this order."""
     return (
@@ -72,10 +76,6 @@ def toxic_categories() -> dict[str, Column]:
     }
 
 
-#: Words in SQL: runs of anything but blank and the control characters 9 to 13.
-WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
-
-
 @query(r"""
 WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM t),
@@ -107,10 +107,35 @@ def op1_line_dedup(spark, d):
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-@query()
+_RAKED = "sum(m) OVER (PARTITION BY {0})"
+
+
+@query(rf"""
+WITH RECURSIVE t AS (
+    SELECT doc_id, coalesce(source, '<none>') AS s, coalesce(lang, '<none>') AS l,
+           CASE WHEN contains(text, 'icense') OR contains(text, 'icence') THEN 'licence' WHEN contains(text, '@') THEN 'contact'
+                WHEN contains(text, ' | ') THEN 'table' ELSE 'prose' END AS c, CAST(len({WORDS}) AS BIGINT) AS n FROM documents),
+cell AS (SELECT s, l, c, CAST(sum(n) AS DOUBLE) AS n FROM t GROUP BY ALL),
+share AS (SELECT s, l, c, n, pow(sum(n) OVER (PARTITION BY s), 0.9) AS ps, pow(sum(n) OVER (PARTITION BY l), 0.9) AS pl,
+                 pow(sum(n) OVER (PARTITION BY c), 0.9) AS pc FROM cell),
+target AS (SELECT s, l, c, n, (SELECT sum(n) FROM cell) AS total,
+        ps / (SELECT sum(ps) FROM (SELECT s, max(ps) AS ps FROM share GROUP BY s)) AS ts,
+        pl / (SELECT sum(pl) FROM (SELECT l, max(pl) AS pl FROM share GROUP BY l)) AS tl,
+        pc / (SELECT sum(pc) FROM (SELECT c, max(pc) AS pc FROM share GROUP BY c)) AS tc FROM share),
+r AS (SELECT 0 AS i, s, l, c, n, total, ts, tl, tc, n AS m FROM target
+      UNION ALL SELECT i + 1, s, l, c, n, total, ts, tl, tc, m * tc * total / {_RAKED.format("c")}
+      FROM (SELECT * REPLACE (m * tl * total / {_RAKED.format("l")} AS m)
+            FROM (SELECT * REPLACE (m * ts * total / {_RAKED.format("s")} AS m) FROM r WHERE i < 80))),
+w AS (SELECT s, l, c, CASE WHEN n > 0 THEN m / n ELSE 1 END AS w, n FROM r WHERE i = 80),
+p AS (SELECT s, l, c, w, least(1, w / (SELECT max(w) FROM w WHERE n > 0)) AS p FROM w)
+SELECT doc_id, n AS n_tokens, round(w, 6) AS weight, round(p, 6) AS probability,
+       CAST('0x' || substr(md5('2:' || doc_id), 1, 12) AS BIGINT) / 281474976710656.0 < p AS kept
+FROM t JOIN p USING (s, l, c)
+""")
 def op2_source_mixing(spark, d):
     """Documents drawn so that source, language and topic come nearer to equal shares of the tokens."""
-    return mixing.mix(table(spark, d, "documents"), margins(), power=0.9, seed=2)
+    drawn = mixing.mix(table(spark, d, "documents"), margins(), power=0.9, seed=2)
+    return drawn.withColumns({n: F.round(n, 6) for n in ("weight", "probability")})
 
 
 @query()
@@ -118,7 +143,7 @@ def op3_toxicity_chain(spark, d):
     """Category probabilities of every document by a chain fitted on the labelled ones."""
     docs = table(spark, d, "documents")
     chain = toxicity.train_chain(docs, table(spark, d, "labels"), toxic_categories())
-    return toxicity.score(docs, chain)
+    return toxicity.score(docs, chain).withColumnRenamed("rejected", "toxic")
 
 
 @query(f"""
