@@ -44,7 +44,7 @@ class Rows:
 
     def __init__(self, features: list[np.ndarray]) -> None:
         self.n = len(features)
-        self.row = np.repeat(np.arange(self.n), [len(f) for f in features])
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(f) for f in features])
         self.column = np.concatenate([np.empty(0, np.int32), *features])
 
     def only(self, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,16 +148,15 @@ def fit_chain(features: list[np.ndarray], truths: Mapping[str, np.ndarray], fold
         raise ValueError("no labelled row to fit the chain on")
     n = len(features)
     fold = np.arange(n) % min(folds, n)
-    parts = [(Rows([features[i] for i in np.flatnonzero(fold != f)]), np.flatnonzero(fold != f),
-              Rows([features[i] for i in np.flatnonzero(fold == f)]), np.flatnonzero(fold == f))
-             for f in range(min(folds, n))] if n > 1 else []
     whole, chain, earlier = Rows(features), Chain(list(truths)), np.zeros((n, 0))
     for truth in truths.values():
         truth = np.asarray(truth, float)
         chain.models.append(fit_linear(whole, earlier, truth))
         out = np.full(n, truth.mean())
-        for rows, inside, held, outside in parts:
-            out[outside] = fit_linear(rows, earlier[inside], truth[inside]).predict(held, earlier[outside])
+        for f in range(min(folds, n)) if n > 1 else ():
+            inside, outside = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+            model = fit_linear(Rows([features[i] for i in inside]), earlier[inside], truth[inside])
+            out[outside] = model.predict(Rows([features[i] for i in outside]), earlier[outside])
         earlier = np.column_stack([earlier, out])
         last = (out, truth)
     chain.cut = best_cut(*last)
