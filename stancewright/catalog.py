@@ -816,6 +816,32 @@ def evaluate_labels(spark, d):
     return rounded(metrics.evaluate(preds), "accuracy", "f1_weighted", "roc_auc", "roc_auc_scores")
 
 
+@query(
+    f"""
+    WITH r AS (SELECT toxic AS t, round(n_chars / (n_chars + 2000.0), 6) AS s FROM {LABELLED}),
+         k AS (SELECT t, CAST(s > 0.5 AS INTEGER) AS p,
+                      rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS rk FROM r),
+         f AS (SELECT count(*) AS n, count(*) FILTER (t = 1) AS n1, count(*) FILTER (t = 0) AS n0,
+                      count(*) FILTER (p = 1) AS p1, count(*) FILTER (t = 1 AND p = 1) AS tp,
+                      count(*) FILTER (t = 0 AND p = 0) AS tn, sum(rk) FILTER (t = 1) AS sr FROM k)
+    SELECT 'toxic' AS label, n AS n_rows, CAST(2 AS BIGINT) AS n_classes, round((tp + tn) / n, 6) AS accuracy,
+           round((n1 * coalesce(2 * tp / nullif(n1 + p1, 0), 0)
+                  + n0 * coalesce(2 * tn / nullif(n0 + n - p1, 0), 0)) / n, 6) AS f1_weighted,
+           round((tp / n1 + tn / n0) / 2, 6) AS roc_auc,
+           round(CAST((sr - n1 * (n1 + 1) / 2) / (n1 * n0) AS DOUBLE), 6) AS roc_auc_scores
+    FROM f
+    """
+)
+def evaluate_two_classes(spark, d):
+    """A label with two classes, whose area is that of the hard predictions."""
+    n = col("n_chars").cast("double")
+    s = F.round(n / (n + 2000), 6)
+    preds = labelled(spark, d).select(
+        F.lit("toxic").alias("label"), col("toxic").alias("ground_truth"), F.array(1 - s, s).alias("probs")
+    ).withColumn("prediction", argmax(col("probs")))
+    return rounded(metrics.evaluate(preds), "accuracy", "f1_weighted", "roc_auc", "roc_auc_scores")
+
+
 @query(
     """
     SELECT vec_id, CAST(list_position(e, list_max(e)) - 1 AS INTEGER) AS prediction,
