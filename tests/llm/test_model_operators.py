@@ -8,13 +8,14 @@ from collections import Counter
 from itertools import product
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stancewright.llm import license_scan, mixing, sp_sampling, toxicity, url_filter, vector_dedup
-from stancewright.llm.catalog import URL_RULES, margins, topic, toxic_categories
+from stancewright.llm.catalog import ORACLES, URL_RULES, margins, topic, toxic_categories
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -77,6 +78,24 @@ def test_values_beyond_the_named_are_raked_together(spark):
     assert {r[0] for r in mixture.cells.collect()} == {"s0", "s1", "s2", mixing.OTHER}
 
 
+@pytest.mark.parametrize("cells_here", [mixing.CELLS_HERE, 10])
+def test_each_of_many_sources_keeps_its_share(spark, monkeypatch, cells_here):
+    monkeypatch.setattr(mixing, "CELLS_HERE", cells_here)
+    rng = random.Random(3)
+    rows = [
+        (i, " ".join([rng.choice(["w", "@", "licence"])] + ["w"] * rng.randrange(40)), f"s{i % 200}", rng.choice("xy"))
+        for i in range(6000)
+    ] + [(6000, None, "s1", "x"), (6001, "w w", None, "x")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR, lang VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?)", rows)
+    expected = sorted(con.execute(ORACLES["op2_source_mixing"]).fetchall())
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    drawn = mixing.mix(docs, margins(), power=0.9, seed=2)
+    found = sorted(tuple(r) for r in drawn.withColumns({n: F.round(n, 6) for n in ("weight", "probability")}).collect())
+    assert found == expected and len({r[2] for r in found}) > 200
+
+
 # Toxicity
 
 
