@@ -136,6 +136,29 @@ def decode(ids, pieces: Pieces) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
+def decode_batch(ids: pa.ListArray, pieces: Pieces) -> pa.Array:
+    """``decode`` of every list, NULL for NULL."""
+    bounds = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)))
+    lengths = np.fromiter(map(len, pieces.surface), np.int64, len(pieces.surface))
+    flat = ids.flatten().to_numpy(zero_copy_only=False)
+    ends = np.append(0, np.cumsum(lengths[flat]))[bounds]
+    data = np.frombuffer(b"".join([pieces.surface[i] for i in flat.tolist()]), np.uint8)
+    # The blank that ``sample`` sets before each text goes.
+    first = ends[:-1][ends[:-1] < ends[1:]]
+    first = first[data[first] == ord(" ")]
+    ends -= np.searchsorted(first, ends)
+    data = np.delete(data, first)
+    found = pa.Array.from_buffers(
+        pa.binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)]
+    )
+    try:
+        text = found.cast(pa.string())
+    except pa.ArrowInvalid:
+        # Lists that no segmentation has.
+        text = pa.array([t.decode("utf-8", "replace") for t in found.to_pylist()], pa.string())
+    return pc.if_else(ids.is_valid(), text, pa.scalar(None, pa.string()))
+
+
 def _uniform(seeds: np.ndarray, path: int, place: np.ndarray) -> np.ndarray:
     """In (0, 1), by row seed, path number and place in the row."""
     salt = np.uint64(path * 0xD1B54A32D192ED03 & (1 << 64) - 1)
@@ -434,6 +457,33 @@ def _ranges(lengths: list[int]):
         yield start, len(lengths)
 
 
+def decode_table(
+    df: DataFrame, model_file: str = MODEL, ids_col: str = "ids", into: str = "decoded",
+    pieces: Pieces | None = None,
+) -> DataFrame:
+    """``df`` with the text of each list of ids as column ``into``.
+
+    Exact for every segmentation that ``sample`` gives. NULL stays NULL; no ids are an empty text.
+    An empty table gives an empty one; a column named ``into`` is replaced.
+    """
+    known = pieces or Pieces.load(model_file)
+    kept = [c for c in df.columns if c != into]
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+
+    def decoded(batches):
+        for batch in batches:
+            lengths = pc.fill_null(pc.list_value_length(batch.column(0)), 0).to_pylist()
+            for a, b in _ranges(lengths):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[1:], decode_batch(part.column(0), known)], names=[*kept, into]
+                )
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), f"`{into}` string"])
+    ids = F.col(f"`{ids_col}`").cast("array<int>").alias("_ids")
+    return df.select(ids, *[F.col(f"`{c}`") for c in kept]).mapInArrow(decoded, schema)
+
+
 def sample(
     docs: DataFrame, k: int = 2, seed: int = 0, model_file: str = MODEL, id_col: str = "doc_id",
     text_col: str = "text", pieces: Pieces | None = None, with_row: bool = False,

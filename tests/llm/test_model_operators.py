@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stancewright.llm import license_scan, mixing, sp_sampling, toxicity, url_filter, vector_dedup
-from stancewright.llm.catalog import ORACLES, URL_RULES, margins, topic, toxic_categories
+from stancewright.llm.catalog import ORACLES, QUERIES, URL_RULES, margins, topic, toxic_categories
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -411,6 +411,29 @@ def test_segmentation_tables(spark, pieces):
     assert sp_sampling.sample(docs.limit(0), pieces=pieces).collect() == []
 
 
+def test_tables_of_ids_are_decoded(spark, pieces):
+    texts = ["", None, " two  blanks ", "c▁d é\t😀", "\n", "word " * 200_000, "汉字" * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    drawn = sp_sampling.sample(docs, k=2, pieces=pieces, with_row=True)
+    found = sp_sampling.decode_table(drawn, pieces=pieces)
+    assert found.columns == ["doc_id", "text", "sample", "ids", "log_prob", "log_inclusion", "decoded"]
+    assert found.where("decoded is null or decoded <> coalesce(text, '')").count() == 0
+    assert found.count() == drawn.count() >= len(texts)
+    odd = [None, [], pieces.byte_ids[[0xFF, 0x41]].tolist()]
+    lists = spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "n int, ids array<int>")
+    assert sorted(tuple(r) for r in sp_sampling.decode_table(lists.select("n", "ids"), pieces=pieces).select("n", "decoded").collect()) == [
+        (0, None), (1, ""), (2, "\ufffdA")
+    ]
+    assert sp_sampling.decode_table(lists.limit(0), pieces=pieces).collect() == []
+
+
+def test_query_decodes_every_document(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    found = QUERIES["op10_sentencepiece_sampling"](spark, SMALL).groupBy("doc_id", "decoded_sha256").count()
+    expected = docs.selectExpr("doc_id", "sha2(cast(coalesce(text, '') as binary), 256) as decoded_sha256")
+    assert found.count() == docs.count() == found.join(expected, ["doc_id", "decoded_sha256"]).count()
+
+
 # Pipeline
 
 
