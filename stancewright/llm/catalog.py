@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from stancewright.llm import (
     exact_dedup,
+    html_extract,
     license_scan,
     line_dedup,
     mixing,
     ngram_join,
+    periodic_runs,
     sp_sampling,
+    spelling_variants,
     substring_dedup,
     toxicity,
     url_filter,
@@ -292,3 +295,116 @@ def op10_sentencepiece_sampling(spark, d):
     found = sp_sampling.sample(table(spark, d, "documents"), k=2, seed=10, pieces=pieces)
     digest = F.sha2(F.col("decoded").cast("binary"), 256)
     return sp_sampling.decode_table(found, pieces=pieces).withColumn("decoded_sha256", digest).drop("decoded")
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The table of CRC-32 in SQL, and the checksum of the UTF-8 bytes of a string with it.
+_CRC_TABLE = """crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS tab)"""
+
+
+def _sql_crc32(text: str) -> str:
+    codes = f"list_transform(range(1, 2 * octet_length(encode({text})), 2), lambda k: CAST('0x' || substr(hex({text}), k, 2) AS BIGINT))"
+    return (
+        f"xor(list_reduce(list_prepend(4294967295, {codes}), "
+        "lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+    )
+
+
+def _garbled_words(docs: DataFrame) -> DataFrame:
+    """Runs of letters of all texts in lower case; one in 31 pairs of document and run has lost a letter."""
+    runs = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z\u00C0-\u00FF]{7,}"), 0)).alias("run"))
+    low = runs.select("doc_id", F.translate("run", _UPPER, _LOWER).alias("run"))
+    h = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("run")).cast("binary"))
+    at = F.pmod(h, F.length("run")).cast("int")
+    cut = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    return low.select(F.when(h % 31 == 0, cut).otherwise(F.col("run")).alias("word"))
+
+
+@query(rf"""
+WITH RECURSIVE {_CRC_TABLE},
+run AS (SELECT doc_id, translate(r, '{_UPPER}', '{_LOWER}') AS r, count(*) AS k
+        FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS r FROM documents)
+        WHERE length(r) >= 7 GROUP BY ALL),
+hashed AS (SELECT r, k, {_sql_crc32("(doc_id || ':' || r)")} AS h FROM run, crc),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN r[:h % length(r)] || r[h % length(r) + 2:] ELSE r END AS word, k FROM hashed),
+word AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+cut AS (SELECT word, i, word[:i - 1] || word[i + 1:] AS v FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM word)),
+half AS (SELECT DISTINCT cut.word AS a, word.word AS b FROM cut JOIN word ON cut.v = word.word
+         UNION SELECT a.word, b.word FROM cut a JOIN cut b ON a.v = b.v AND a.i = b.i AND a.word < b.word),
+near AS (SELECT a AS word, b AS other FROM half UNION SELECT b, a FROM half),
+best AS (SELECT near.word, other, o.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near
+         FROM near JOIN word o ON o.word = other QUALIFY row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, other) = 1),
+found AS (SELECT word.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * n THEN other END AS form,
+                 CASE WHEN other_n >= 10 * n THEN other_n END AS form_n FROM word LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS last_word, form AS onward FROM found
+         UNION ALL SELECT walk.word, found.word, found.form FROM walk JOIN found ON found.word = walk.onward)
+SELECT found.*, last_word AS root FROM found JOIN walk USING (word) WHERE onward IS NULL
+""")
+def op11_spelling_variants(spark, d):
+    """Words of seven letters or more with the ten times more frequent word that they are one edit away from."""
+    words = spelling_variants.count_words(_garbled_words(table(spark, d, "documents")), min_length=7, min_count=2)
+    return spelling_variants.group_variants(words, min_ratio=10)
+
+
+def _looped(docs: DataFrame) -> DataFrame:
+    """Documents of which one in ten goes round in a circle from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    n = F.size("words")
+    looped = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g")).withColumn(
+        "words", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0))
+    )
+    looped = looped.withColumn("a", F.when(n > 0, F.col("g") % n).cast("int"))
+    looped = looped.withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    circle = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil((n - F.col("a")) / F.col("p")).cast("int")))
+    changed = F.slice(F.concat(F.slice("words", F.lit(1), F.col("a")), circle), F.lit(1), n)
+    return looped.select("doc_id", F.when(F.col("p").isNotNull(), F.array_join(changed, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query(rf"""
+WITH {_CRC_TABLE},
+t AS (SELECT doc_id, {WORDS} AS w, {_sql_crc32("CAST(doc_id AS VARCHAR)")} AS h FROM documents, crc),
+g AS (SELECT doc_id, w, len(w) AS n, h, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a, 3 + (h // 10) % 8 AS d FROM t),
+v AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+             THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // d) END]) ELSE w END AS w FROM g),
+pos AS (SELECT doc_id, n, unnest(w) AS x, unnest(range(n)) AS i FROM v),
+pairs AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM pos x JOIN pos y ON x.doc_id = y.doc_id AND x.x = y.x AND x.i < y.i AND 4 * (y.i - x.i) <= x.n),
+part AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM pairs),
+every_run AS (SELECT doc_id, min(i) AS s, count(*) + q AS len, q FROM part GROUP BY doc_id, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+run AS (SELECT doc_id, s, len, min(q) AS q FROM every_run GROUP BY ALL),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM run),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM pos ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+sums AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS listed FROM run GROUP BY doc_id),
+best AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY len / q DESC, s, q) = 1)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, len AS length, q AS period, 1000 * len // q AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM v LEFT JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id) LEFT JOIN best USING (doc_id)
+""")
+def op12_periodic_runs(spark, d):
+    """Stretches of words that repeat four times or more, and the digest of the texts without the repetitions."""
+    found = periodic_runs.periodic_runs(_looped(table(spark, d, "documents")), min_length=6, min_times=4)
+    # Quotients of two numbers below 2 ** 26 differ as doubles whenever they differ.
+    best = F.array_max(F.transform(
+        "runs", lambda r: F.struct((r["length"] / r["period"]).alias("e"), (-r["start"]).alias("s"), (-r["period"]).alias("p"), r["length"].alias("n"))
+    ))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.s")).alias("start"), F.col("best.n").alias("length"),
+        (-F.col("best.p")).alias("period"), F.floor(1000 * F.col("best.n") / -F.col("best.p")).alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed_text").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+# The SQL reads the one kind of markup that these pages have for their articles.
+@query(r"""
+WITH t AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS a FROM pages),
+b AS (SELECT page_id, url, list_filter(list_transform(
+        regexp_split_to_array(regexp_replace(replace(a, '<br>', ' '), '</?b>', '', 'g'), '</?(p|h1)>'),
+        lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'),
+                                                     '&amp;?', '&', 'g'), '\s+', ' ', 'g'), ' ')), lambda x: x <> '') AS bs FROM t)
+SELECT page_id, url, array_to_string(bs, ' ') AS text, length(array_to_string(bs, ' ')) AS n_chars FROM b
+""")
+def op13_html_extraction(spark, d):
+    """Main text of every page by the template of its host."""
+    found = html_extract.extract_text(table(spark, d, "pages"))
+    return found.select("page_id", "url", F.col("extracted").alias("text"), F.length("extracted").cast("long").alias("n_chars"))
