@@ -9,7 +9,7 @@ from stancewright.functions.arrays import (
     to_vector,
     top_probability,
 )
-from stancewright.functions.dates import COMMON_FORMATS, month_of, parse_date
+from stancewright.functions.dates import COMMON_FORMATS, day_first, formats_of, month_of, parse_date
 from stancewright.functions.text import (
     last_segment,
     percent_text,
@@ -21,7 +21,7 @@ from stancewright.functions.text import (
 )
 
 __all__ = [
-    "COMMON_FORMATS", "argmax", "last_segment", "month_of", "nan_to_null", "parse_date", "percent_text",
-    "polarity_text", "score_mean", "score_spread", "sequence_code", "sigmoid", "softmax",
+    "COMMON_FORMATS", "argmax", "day_first", "formats_of", "last_segment", "month_of", "nan_to_null",
+    "parse_date", "percent_text", "polarity_text", "score_mean", "score_spread", "sequence_code", "sigmoid", "softmax",
     "stance_name", "threshold", "to_vector", "top_probability",
 ]

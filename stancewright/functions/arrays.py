@@ -2,16 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row.
+
+    A column named inside a lambda is computed anew for every element; a lambda's own variable is not.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def softmax(logits: Column) -> Column:
     """Class probabilities, shifted by the largest logit so that exp cannot overflow."""
-    powers = F.transform(logits, lambda z: F.exp(z - F.array_max(logits)))
-    total = F.aggregate(powers, F.lit(0.0), lambda acc, p: acc + p)
-    return F.transform(powers, lambda p: p / total)
+
+    def shifted(z: Column) -> Column:
+        return _bound(F.array_max(z), lambda top: F.transform(z, lambda x: F.exp(x - top)))
+
+    def normed(powers: Column) -> Column:
+        total = F.aggregate(powers, F.lit(0.0), lambda acc, p: acc + p)
+        return _bound(total, lambda t: F.transform(powers, lambda p: p / t))
+
+    return _bound(logits, lambda z: _bound(shifted(z), normed))
 
 
 def sigmoid(x: Column) -> Column:

@@ -4,21 +4,51 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Tried in this order after ISO text; where day and month could be either, the month is first.
-COMMON_FORMATS = (
-    "M/d/yyyy", "d/M/yyyy", "d.M.yyyy", "yyyy/M/d", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy",
-    "M/d/yyyy H:mm", "EEE MMM dd HH:mm:ss Z yyyy",
+# Forms in which day and month are both numbers that could be either.
+MONTH_FIRST = ("M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "M-d-yyyy")
+DAY_FIRST = ("d/M/yyyy", "d/M/yyyy H:mm", "d/M/yyyy H:mm:ss", "d-M-yyyy")
+CLEAR_FORMATS = (
+    "d.M.yyyy", "yyyy/M/d", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyyMMdd",
+    "EEE MMM dd HH:mm:ss Z yyyy",
 )
 
+#: Tried in this order after ISO text, for a column of which nothing is known; month first.
+COMMON_FORMATS = (*MONTH_FIRST, *DAY_FIRST, *CLEAR_FORMATS)
+
+
+def formats_of(day_first: bool) -> tuple[str, ...]:
+    """The forms of a column that has the day first throughout, or the month."""
+    return (*(DAY_FIRST if day_first else MONTH_FIRST), *CLEAR_FORMATS)
+
+
+def day_first(df: DataFrame, name: str, mixed: str = "fail") -> bool:
+    """Whether dates such as 04/05/2023 in a text column have the day first.
+
+    One form holds for the column: some date must tell, by a number above 12, which it is; without one
+    the month is first. Dates that tell both are an error, or with ``mixed='month'`` do not count.
+    This is a job that reads the column once.
+    """
+    if mixed not in ("fail", "month"):
+        raise ValueError(f"mixed must be 'fail' or 'month', not {mixed!r}")
+    text = F.col("`" + name.replace("`", "``") + "`").cast("string")
+    number = lambda i: F.regexp_extract(text, r"^\s*(\d{1,2})[/-](\d{1,2})[/-]\d{4}\b", i).try_cast("int")
+    above = lambda i: F.max(F.when(number(i) > 12, text))
+    days, months = df.agg(above(1), above(2)).first()
+    if days is not None and months is not None and mixed == "fail":
+        raise ValueError(f"{name} has the day first in {days!r} and the month in {months!r}; name its formats")
+    return days is not None and months is None
+
 
 def parse_date(
     value: Column, formats: Iterable[str] = COMMON_FORMATS, unreadable: str = "null"
 ) -> Column:
     """Timestamp from a text or timestamp column, by the first form that fits.
 
+    By default each row is read by itself, so 15/04/2023 has the day first and 04/05/2023 the month.
+    For a column of one form pass ``formats_of(day_first(df, name))``, as the reports do.
     Text that no form fits is NULL, or fails the running job with ``unreadable='fail'``.
     """
     if unreadable not in ("null", "fail"):

@@ -13,10 +13,12 @@ extended later and new posts compared with old ones.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer, StandardScaler
 from pyspark.ml.functions import vector_to_array
@@ -31,6 +33,9 @@ from stancewright.schemas import col
 Factory = Callable[[], Callable[[list[str]], Sequence[Sequence[float]]]]
 Embedder = str | Factory | PipelineModel
 
+#: Characters kept of the reason why a text was rejected.
+REASON_CHARS = 500
+
 
 def _text_column(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("_text", F.coalesce(col(text), F.lit("")))
@@ -89,6 +94,72 @@ def _called(df: DataFrame, embedder: Factory, key: str, batch_size: int) -> Data
     return texts.mapInArrow(embed_batches, schema)
 
 
+def _patient(encode, attempts: int, pause: float):
+    """``encode`` called again after a failure, each time after twice the pause."""
+
+    def call(texts: list[str]):
+        for turn in range(attempts):
+            try:
+                vectors = encode(texts)
+                if len(vectors) != len(texts):
+                    raise ValueError("an embedder must return one vector per text")
+                return [np.asarray(v, np.float32) for v in vectors]
+            except Exception:
+                if turn + 1 == attempts:
+                    raise
+                time.sleep(pause * 2**turn)
+
+    return call
+
+
+def _or_reason(call, texts: list[str]) -> list[tuple]:
+    """(vector, None) or (None, reason) of each text; a failing batch is halved to find the texts at fault."""
+    try:
+        return [(v, None) for v in call(texts)]
+    except Exception as fault:
+        if len(texts) == 1:
+            return [(None, f"{type(fault).__name__}: {fault}"[:REASON_CHARS])]
+    half = len(texts) // 2
+    return _or_reason(call, texts[:half]) + _or_reason(call, texts[half:])
+
+
+def embed_or_reject(
+    df: DataFrame, embedder: Embedder, text: str = "post", key: str = "code", batch_size: int = 1000,
+    attempts: int = 5, pause: float = 1.0, dim: int = 256,
+) -> DataFrame:
+    """``(key, embedding, error)`` for each row: a vector, or the reason why there is none.
+
+    A call of a factory's function that fails is made ``attempts`` times, with a pause between that starts at
+    ``pause`` seconds and doubles. If it still fails, its texts are tried in halves, so that only texts
+    that fail by themselves are rejected. Other embedders do not fail.
+    """
+    none = F.lit(None).cast("string").alias("error")
+    if not callable(embedder):
+        return embed_text(df, embedder, text, key, dim=dim).select(col(key), "embedding", none)
+    schema = T.StructType(
+        [
+            T.StructField(key, df.schema[key].dataType), T.StructField("embedding", T.ArrayType(T.FloatType(), False)),
+            T.StructField("error", T.StringType()),
+        ]
+    )
+
+    def embed_batches(batches):
+        call = _patient(embedder(), attempts, pause)
+        for batch in batches:
+            for start in range(0, batch.num_rows, batch_size):
+                part = batch.slice(start, batch_size)
+                vectors, reasons = zip(*_or_reason(call, part.column(1).to_pylist()))
+                missing = pa.array([v is None for v in vectors])
+                found = _vector_column([() if v is None else v for v in vectors])
+                found = pc.if_else(missing, pa.scalar(None, found.type), found)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), found, pa.array(reasons, pa.string())], [key, "embedding", "error"]
+                )
+
+    texts = _text_column(df.select(col(key), col(text).alias("_source")), "_source").select(col(key), "_text")
+    return texts.mapInArrow(embed_batches, schema)
+
+
 def _vector_column(vectors) -> pa.Array:
     """A list column from one block of numbers, or vector by vector if lengths differ."""
     vectors = [np.asarray(v, np.float32) for v in vectors]

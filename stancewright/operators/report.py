@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from stancewright import schemas
 from stancewright.functions import (
-    COMMON_FORMATS,
+    day_first,
+    formats_of,
     month_of,
     parse_date,
     percent_text,
@@ -26,8 +27,11 @@ from stancewright.schemas import col
 UNREADABLE = "unreadable"
 
 
-def _date(df: DataFrame, name: str, formats: Iterable[str] = COMMON_FORMATS) -> Column:
-    return parse_date(col(name), formats) if dict(df.dtypes)[name] == "string" else col(name)
+def _date(df: DataFrame, name: str, formats: Iterable[str] | None = None) -> Column:
+    """The dates of a column; text by the ``formats`` given, or by the one form that the column tells."""
+    if dict(df.dtypes)[name] != "string":
+        return col(name)
+    return parse_date(col(name), formats_of(day_first(df, name)) if formats is None else formats)
 
 
 def _sums(labels: Sequence[str]) -> list[Column]:
@@ -56,16 +60,19 @@ def label_prevalence(
     date: str | None = None,
     month: int | None = None,
     only: Iterable[str] | None = None,
+    formats: Iterable[str] | None = None,
 ) -> DataFrame:
     """Count and share of each label, most frequent first.
 
     The share is that of all label assignments, not of posts. ``month`` keeps one month;
-    ``only`` picks labels after the share over all labels is computed.
+    ``only`` picks labels after the share over all labels is computed. Dates that are text are read
+    by ``formats``, by default by the one form that the column tells (``day_first``); so are those of
+    the other reports.
     """
     if month is not None:
         if date is None:
             raise ValueError("a month needs the date column")
-        df = df.filter(F.month(_date(df, date)) == month)
+        df = df.filter(F.month(_date(df, date, formats)) == month)
     names = list(labels)
     # The total comes from the same single row as the sums, so no window is needed.
     wide = df.agg(*_sums(names))
@@ -88,7 +95,7 @@ def monthly_counts(
     labels: Iterable[str] = tuple(schemas.REPORT_LABELS),
     date: str = "date",
     calendar: str = "month",
-    formats: Iterable[str] = COMMON_FORMATS,
+    formats: Iterable[str] | None = None,
 ) -> DataFrame:
     """Positives per month and label.
 
@@ -106,7 +113,7 @@ def monthly_share(
     labels: Iterable[str] = tuple(schemas.REPORT_LABELS),
     date: str = "date",
     calendar: str = "month",
-    formats: Iterable[str] = COMMON_FORMATS,
+    formats: Iterable[str] | None = None,
 ) -> DataFrame:
     """How the positives of each label spread over the months; sums to 1 per label.
 
@@ -119,7 +126,7 @@ def monthly_share(
 
 
 def months_with_total(
-    df: DataFrame, date: str = "date", formats: Iterable[str] = COMMON_FORMATS
+    df: DataFrame, date: str = "date", formats: Iterable[str] | None = None
 ) -> DataFrame:
     """Rows per month in order, then those without a readable date, and an 'All' row at the end."""
     months = df.select(month_of(_date(df, date, formats)).alias("_month"))

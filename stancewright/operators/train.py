@@ -24,6 +24,10 @@ from stancewright.operators.sampling import class_weights, training_frame
 from stancewright.schemas import col
 from stancewright.session import materialise
 
+#: Networks of so many training steps are scored in one pass.
+SCORED_TOGETHER = 20
+
+
 def mlp_layers(dim: int, hidden: int, n_classes: int, shape: str = "deep") -> list[int]:
     """Layer widths. A deep network halves its hidden width three times, a shallow one has one."""
     if shape == "shallow":
@@ -114,18 +118,21 @@ def train_labels(
     return models
 
 
-def _with_probs(df: DataFrame, models: Mapping, features: str) -> DataFrame:
-    """Adds ``_p0``, ``_p1``, ...: the class probabilities of each model, in order."""
-    scored = df.withColumn("_features", to_vector(col(features)))
+def _applied(df: DataFrame, models: Mapping, features: str = "features") -> DataFrame:
+    """Adds ``_p0``, ``_p1``, ...: the class probabilities of each model on a vector column, in order."""
     for i, model in enumerate(models.values()):
         clf = model.copy()
-        clf.setFeaturesCol("_features")
+        clf.setFeaturesCol(features)
         clf.setProbabilityCol(f"_v{i}")
         # Unnamed outputs are not computed.
         clf.setRawPredictionCol("")
         clf.setPredictionCol("")
-        scored = clf.transform(scored)
-    return scored.withColumns({f"_p{i}": vector_to_array(f"_v{i}") for i in range(len(models))})
+        df = clf.transform(df)
+    return df.withColumns({f"_p{i}": vector_to_array(f"_v{i}") for i in range(len(models))})
+
+
+def _with_probs(df: DataFrame, models: Mapping, features: str) -> DataFrame:
+    return _applied(df.withColumn("_features", to_vector(col(features))), models, "_features")
 
 
 def predict_labels(
@@ -229,7 +236,7 @@ def fit_epochs(
 
     Every ``every`` iterations the weights so far start the next step; a last, shorter step
     makes up ``epochs``. The best step has the largest validation ``metric``, the earliest
-    one winning ties.
+    one winning ties. The networks of several steps are scored in one pass over the rows.
     """
     if epochs < 1 or every < 1:
         raise ValueError("epochs and every must be at least 1")
@@ -243,19 +250,22 @@ def fit_epochs(
     ]
     both = parts[0].unionByName(parts[1]).persist()
     fit_on = oversample(both.filter("split = 'train'"), weights).persist()
-    rows, model, best = [], None, (None, float("-inf"), None)
+    rows, model, best, unscored = [], None, (None, float("-inf"), None), {}
     try:
         for start in range(0, epochs, every):
             epoch = min(start + every, epochs)
             net = MultilayerPerceptronClassifier(layers=layers, maxIter=epoch - start, seed=seed)
             if model is not None:
                 net.setInitialWeights(model.weights)
-            model = net.fit(fit_on)
-            scores = _epoch_scores(model.transform(both))
-            rows += [(label, epoch, *score) for score in scores]
-            reached = next((v for s, m, v in scores if (s, m) == ("val", metric)), None)
-            if reached is not None and reached > best[1]:
-                best = (epoch, reached, model)
+            model = unscored[epoch] = net.fit(fit_on)
+            if len(unscored) < SCORED_TOGETHER and epoch < epochs:
+                continue
+            scores = _epoch_scores(both, unscored)
+            rows += [(label, *score) for score in scores]
+            for at, split, name, value in scores:
+                if (split, name) == ("val", metric) and value is not None and value > best[1]:
+                    best = (at, value, unscored[at])
+            unscored = {}
     finally:
         both.unpersist()
         fit_on.unpersist()
@@ -263,24 +273,26 @@ def fit_epochs(
     return EpochRun(log, best[0], best[2], model)
 
 
-def _epoch_scores(scored: DataFrame) -> list[tuple]:
-    """(split, metric, value) of both splits; the network is applied once."""
+def _epoch_scores(both: DataFrame, models: Mapping[int, object]) -> list[tuple]:
+    """(epoch, split, metric, value) of both splits for the networks of some epochs, by epoch.
+
+    All networks are applied in one pass; their predictions are kept for the scores.
+    """
+    scored = _applied(both, models)
+    cells = [F.struct(F.lit(epoch).alias("epoch"), col(f"_p{i}").alias("probs")) for i, epoch in enumerate(models)]
     preds = scored.select(
-        "split",
-        col("label").cast("int").alias("ground_truth"),
-        col("prediction").cast("int").alias("prediction"),
-        vector_to_array("probability").alias("probs"),
-        "weight",
-    ).persist(StorageLevel.MEMORY_AND_DISK)
-    metrics = evaluate(preds, ["split"]).select(
-        "split", "accuracy", col("f1_weighted").alias("f1"), col("roc_auc").alias("rocauc")
+        "split", col("label").cast("int").alias("ground_truth"), "weight", F.inline(F.array(*cells))
+    ).withColumn("prediction", argmax(col("probs"))).persist(StorageLevel.MEMORY_AND_DISK)
+    by = ["epoch", "split"]
+    metrics = evaluate(preds, by).select(
+        *by, "accuracy", col("f1_weighted").alias("f1"), col("roc_auc").alias("rocauc")
     )
-    loss = log_loss(preds, ["split"], weight="weight").withColumnRenamed("log_loss", "loss")
+    loss = log_loss(preds, by, weight="weight").withColumnRenamed("log_loss", "loss")
     names = ["accuracy", "f1", "rocauc", "loss"]
     together = metrics.unionByName(loss, allowMissingColumns=True)
-    long = together.unpivot(["split"], names, "metric", "value").filter(col("value").isNotNull())
+    long = together.unpivot(by, names, "metric", "value").filter(col("value").isNotNull())
     try:
-        found = {(r["split"], r["metric"]): r["value"] for r in long.collect()}
+        found = {(r["epoch"], r["split"], r["metric"]): r["value"] for r in long.collect()}
     finally:
         preds.unpersist()
-    return [(s, m, found.get((s, m))) for s in ("train", "val") for m in names]
+    return [(e, s, m, found.get((e, s, m))) for e in models for s in ("train", "val") for m in names]

@@ -61,10 +61,64 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _located(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as it knows it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def drop_path(spark: SparkSession, path: str) -> bool:
+    fs, target = _located(spark, path)
+    return fs.delete(target, True)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, target = _located(spark, path)
+    fs.mkdirs(target)
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    fs, target = _located(spark, path)
+    if not fs.exists(target):
+        return []
+    return sorted(status.getPath().getName() for status in fs.listStatus(target))
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    """Content of a file of a few kilobytes."""
+    return bytes(spark.read.format("binaryFile").load(path).first()["content"]).decode()
+
+
+def write_new(spark: SparkSession, path: str, content: str) -> bool:
+    """Writes a small file unless there is one; False if there is.
+
+    The file appears with its content, by a rename that does not replace.
+    """
+    fs, target = _located(spark, path)
+    gateway, hadoop = spark.sparkContext._gateway, spark.sparkContext._jvm.org.apache.hadoop.fs
+    _, draft = _located(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(draft, False)
+    try:
+        out.write(bytearray(content.encode()))
+    finally:
+        out.close()
+    kind = getattr(hadoop, "Options$Rename")
+    options = gateway.new_array(kind, 1)
+    options[0] = getattr(kind, "NONE")
+    files = hadoop.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        files.rename(fs.makeQualified(draft), fs.makeQualified(target), options)
+    except Exception:
+        fs.delete(draft, False)
+        if fs.exists(target):
+            return False
+        raise
+    return True
+
+
 def drop_scratch(spark: SparkSession, path: str) -> bool:
     """Removes one scratch table, once what was made from it is stored elsewhere."""
     if not path.startswith(shared_dir(spark) + "/"):
         raise ValueError(f"{path} is not in the scratch folder")
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return drop_path(spark, path)

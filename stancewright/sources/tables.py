@@ -12,17 +12,19 @@ from pyspark.sql import types as T
 
 from stancewright import schemas
 from stancewright.schemas import col
+from stancewright.sources.csv_records import read_split_csv
 
 
-def read_csv_text(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_csv_text(spark: SparkSession, path: str, multi_line: bool | str = True) -> DataFrame:
     """CSV with a header, every column as text.
 
     Posts hold line breaks, hence ``multi_line``; Spark then reads each file in one
-    task. For a large corpus deliver many files, or convert once with ``write_posts``
-    and read Parquet from then on. Where no cell holds a line break, pass
-    ``multi_line=False`` and the files are split as usual. An empty cell is NULL, quoted
-    or not.
+    task. ``multi_line='split'`` gives the same rows from many tasks a file
+    (``read_split_csv``). Where no cell holds a line break, pass ``multi_line=False`` and the
+    files are split as usual. An empty cell is NULL, quoted or not.
     """
+    if multi_line == "split":
+        return read_split_csv(spark, path)
     return (
         spark.read.option("header", True)
         .option("multiLine", multi_line)
@@ -63,7 +65,7 @@ def conform(df: DataFrame, schema: T.StructType, keep_extra: bool = False) -> Da
     return df.select(*columns)
 
 
-def _read(spark: SparkSession, path: str, fmt: str, multi_line: bool = True) -> DataFrame:
+def _read(spark: SparkSession, path: str, fmt: str, multi_line: bool | str = True) -> DataFrame:
     if fmt == "parquet":
         return spark.read.parquet(path)
     if fmt == "csv":
@@ -72,7 +74,7 @@ def _read(spark: SparkSession, path: str, fmt: str, multi_line: bool = True) ->
 
 
 def read_labelled(
-    spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = True
+    spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool | str = True
 ) -> DataFrame:
     """Human-labelled posts, label columns under their canonical names."""
     raw = _read(spark, path, fmt, multi_line).withColumnsRenamed(schemas.SHEET_ALIASES)
@@ -80,9 +82,12 @@ def read_labelled(
 
 
 def read_posts(
-    spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = True
+    spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool | str = "split"
 ) -> DataFrame:
-    """The unlabelled corpus; columns beyond the declared ones are kept."""
+    """The unlabelled corpus; columns beyond the declared ones are kept.
+
+    CSV is read by many tasks a file, see ``read_csv_text``.
+    """
     return conform(_read(spark, path, fmt, multi_line), schemas.POSTS, keep_extra=True)
 
 

@@ -91,3 +91,39 @@ def test_names(spark):
 def test_nan_to_null(spark):
     assert one(spark, fn.nan_to_null(F.lit(float("nan")))) is None
     assert one(spark, fn.nan_to_null(F.lit(2.5))) == 2.5
+
+
+def test_one_form_of_dates_per_column(spark):
+    frame = lambda *texts: spark.createDataFrame([(t,) for t in texts], "date string")
+
+    def months(df):
+        formats = fn.formats_of(fn.day_first(df, "date"))
+        return [r[0] for r in df.select(F.month(fn.parse_date(F.col("date"), formats))).collect()]
+
+    assert months(frame("15/04/2023", "04/05/2023", None)) == [4, 5, None]
+    assert months(frame("04/15/2023", "04/05/2023 10:30")) == [4, 4]
+    assert months(frame("04/05/2023")) == [4]
+    assert months(frame("15-04-2023", "04-05-2023", "20230615", "2023-07-01")) == [4, 5, 6, 7]
+    assert months(frame()) == []
+    both = frame("15/04/2023", "04/15/2023")
+    with pytest.raises(ValueError, match="day first in '15/04/2023' and the month in '04/15/2023'"):
+        fn.day_first(both, "date")
+    assert fn.day_first(both, "date", mixed="month") is False
+    with pytest.raises(ValueError):
+        fn.day_first(both, "date", mixed="day")
+
+
+def test_softmax_takes_time_in_proportion(spark):
+    import time
+
+    def seconds(dim, n=400):
+        z = F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: F.sin(i * F.col("id")))
+        probs = spark.range(n).select(fn.softmax(z).alias("p"))
+        found = probs.select(F.max(F.abs(F.aggregate("p", F.lit(0.0), lambda a, x: a + x) - 1)))
+        start = time.time()
+        assert found.first()[0] < 1e-9
+        return time.time() - start
+
+    seconds(8)
+    # Quadratic work would be over two thousand times that of 64 dimensions.
+    assert seconds(3072) < 48 * seconds(64) + 10

@@ -14,7 +14,16 @@ from stancewright.plans.classify import (
 )
 from stancewright.plans.embedding_store import build_store, extend_store
 from stancewright.plans.report_page import evaluate_against_labels, report_page
-from stancewright.streaming import read_stream, run_to_end, score_stream, stance_stream
+from stancewright.streaming import (
+    first_arrivals,
+    read_arrivals,
+    read_batches,
+    read_stream,
+    run_to_end,
+    score_raw_stream,
+    score_stream,
+    stance_stream,
+)
 
 
 @pytest.fixture(scope="module")
@@ -158,3 +167,52 @@ def test_stance_stream(spark, tmp_path, rows):
     stream = stance_stream(read_stream(spark, str(tmp_path / "in"), df.schema), {"t": ("p", "a")})
     run_to_end(stream, str(tmp_path / "out"), str(tmp_path / "offsets"))
     assert rows(spark.read.parquet(str(tmp_path / "out")), "t") == [(1,), (2,)]
+
+
+def test_raw_stream_survives_a_crash(spark, tmp_path, rows):
+    """A batch dies after its vectors are stored; the next run replays it, and nothing is there twice."""
+    raw = spark.range(60).select(
+        F.col("id").cast("string").alias("code"), F.concat(F.lit("post about "), F.col("id") % 7).alias("post")
+    )
+    vectors = embed.embed_text(raw, "hashing", dim=16).withColumn("x", F.col("code").cast("int") % 2)
+    models = train.train_labels(vectors, ["x"], max_iter=3)
+    arriving, preds, store, offsets = (str(tmp_path / n) for n in ("in", "preds", "store", "offsets"))
+    for a, b in ((0, 20), (20, 40), (40, 60), (0, 60)):
+        part = raw.filter(f"int(code) >= {a} and int(code) < {b}").coalesce(1)
+        sources.write_posts(part, arriving, mode="append")
+    crash = tmp_path / "crash"
+    crash.touch()
+
+    class Failing(dict):
+        """Models that are gone in the second batch."""
+
+        def values(self):
+            if crash.exists() and (tmp_path / "store" / "batch=1").exists():
+                raise ConnectionError("driver lost")
+            return super().values()
+
+    def run(fitted):
+        stream = first_arrivals(read_arrivals(spark, arriving, raw.schema, maxFilesPerTrigger=1))
+        score_raw_stream(stream, fitted, "hashing", preds, store, offsets, dim=16)
+
+    with pytest.raises(Exception, match="driver lost"):
+        run(Failing(models))
+    assert read_batches(spark, store).count() == 40 and read_batches(spark, preds).count() == 20
+    crash.unlink()
+    run(models)
+    expected = predict_from_text(raw, models, "hashing", dim=16)
+    assert rows(read_batches(spark, preds), "code", "prediction") == rows(expected, "code", "prediction")
+    assert read_batches(spark, store).count() == 60
+    before = read_batches(spark, preds).count()
+    run(models)
+    assert read_batches(spark, preds).count() == before
+
+
+def test_repeated_codes_are_dropped_within_the_delay(spark, tmp_path):
+    folder, out, offsets = (str(tmp_path / n) for n in ("in", "out", "offsets"))
+    rows = [("a", "2023-01-01 00:00:00"), ("a", "2023-01-01 01:00:00"), ("b", "2023-01-01 02:00:00"), (None, "2023-01-01 03:00:00")]
+    posts = spark.createDataFrame(rows, "code string, at string").withColumn("at", F.to_timestamp("at"))
+    sources.write_posts(posts, folder)
+    stream = first_arrivals(read_stream(spark, folder, posts.schema), arrived="at")
+    run_to_end(stream, out, offsets)
+    assert sorted(r[0] or "" for r in spark.read.parquet(out).select("code").collect()) == ["", "a", "b"]

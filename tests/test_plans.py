@@ -11,9 +11,9 @@ from stancewright.operators import clean, keys, metrics, report, sampling, train
 
 TRAINED = {
     "train_and_score", "cross_validation", "predict_coverage", "epoch_log", "classified_posts",
-    "text_classifier", "training_frame", "stream_scores", "pca_project",
+    "text_classifier", "training_frame", "stream_scores", "stream_raw_posts", "pca_project",
 }
-PYTHON = {"embed_with_function"}
+PYTHON = {"embed_with_function", "posts_csv_round_trip"}
 
 
 def plan(df):

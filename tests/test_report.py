@@ -86,3 +86,12 @@ def test_stack(spark, rows):
 def test_shares_sum_to_one(posts):
     total = report.monthly_share(posts, ["x", "y"]).groupBy("label").agg(F.sum("share").alias("s"))
     assert {round(r["s"], 9) for r in total.collect()} == {1.0}
+
+
+def test_day_first_columns(spark, rows):
+    posts = spark.createDataFrame([("15/04/2023", 1), ("04/05/2023", 1), ("no day", 1)], "date string, x int")
+    assert rows(report.monthly_counts(posts, ["x"]), "month", "positives") == [(4, 1), (5, 1), (None, 1)]
+    assert rows(report.label_prevalence(posts, ["x"], "date", month=5), "positives") == [(1,)]
+    american = ["M/d/yyyy"]
+    assert rows(report.label_prevalence(posts, ["x"], "date", month=4, formats=american), "positives") == [(1,)]
+    assert rows(report.monthly_counts(posts, ["x"], formats=american), "month", "positives") == [(4, 1), (None, 2)]
