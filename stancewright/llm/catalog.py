@@ -291,10 +291,8 @@ def op9_embedding_dedup(spark, d):
 @query()
 def op10_sentencepiece_sampling(spark, d):
     """Two segmentations of every document, drawn without replacement, and the digest of their decoded text."""
-    pieces = sp_sampling.Pieces.load()
-    found = sp_sampling.sample(table(spark, d, "documents"), k=2, seed=10, pieces=pieces)
-    digest = F.sha2(F.col("decoded").cast("binary"), 256)
-    return sp_sampling.decode_table(found, pieces=pieces).withColumn("decoded_sha256", digest).drop("decoded")
+    found = sp_sampling.sample(table(spark, d, "documents"), k=2, seed=10, decoded=True)
+    return found.withColumn("decoded_sha256", F.sha2(F.col("decoded").cast("binary"), 256)).drop("decoded")
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -23,6 +23,7 @@ character without a piece like the last place, times exp(-BYTE_PENALTY).
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass
 
@@ -61,6 +62,10 @@ class Pieces:
     byte_weight: float
     surface: list[bytes]
 
+    @functools.cached_property
+    def surfaces(self) -> pa.Array:
+        return pa.array(self.surface, pa.binary())
+
     @staticmethod
     def from_list(pieces: list[str], byte_ids: list[int], weights: np.ndarray | None = None) -> Pieces:
         """``pieces`` by id, blank for blank; '' for ids that are no text. ``byte_ids`` by byte."""
@@ -138,19 +143,11 @@ def decode(ids, pieces: Pieces) -> str:
 
 def decode_batch(ids: pa.ListArray, pieces: Pieces) -> pa.Array:
     """``decode`` of every list, NULL for NULL."""
-    bounds = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)))
-    lengths = np.fromiter(map(len, pieces.surface), np.int64, len(pieces.surface))
-    flat = ids.flatten().to_numpy(zero_copy_only=False)
-    ends = np.append(0, np.cumsum(lengths[flat]))[bounds]
-    data = np.frombuffer(b"".join([pieces.surface[i] for i in flat.tolist()]), np.uint8)
+    sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    bounds = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+    found = pc.binary_join(pa.ListArray.from_arrays(bounds, pieces.surfaces.take(ids.flatten())), b"")
     # The blank that ``sample`` sets before each text goes.
-    first = ends[:-1][ends[:-1] < ends[1:]]
-    first = first[data[first] == ord(" ")]
-    ends -= np.searchsorted(first, ends)
-    data = np.delete(data, first)
-    found = pa.Array.from_buffers(
-        pa.binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)]
-    )
+    found = pc.if_else(pc.starts_with(found, b" "), pc.binary_replace_slice(found, 0, 1, b""), found)
     try:
         text = found.cast(pa.string())
     except pa.ArrowInvalid:
@@ -185,7 +182,7 @@ class Lattices:
         self.first_node = starts + np.arange(len(atoms))
         node = self.first_node[atom] + place
         at, state = np.arange(len(text)), np.zeros(len(text), np.int64)
-        found = []
+        found, edges = [], np.zeros(len(text), np.int64)
         length = 0
         while len(at):
             state = pieces.next_states(state, text[at + length])
@@ -193,25 +190,34 @@ class Lattices:
             at, state = at[ok], state[ok]
             length += 1
             whole = pieces.final[state] >= 0
-            found.append((at[whole], np.full(whole.sum(), length), pieces.final[state[whole]]))
+            # Which edge of its place each one is; shorter pieces come first.
+            found.append((at[whole], edges[at[whole]], np.full(whole.sum(), length), pieces.final[state[whole]]))
+            edges[at[whole]] += 1
             more = left[at] > length
             at, state = at[more], state[more]
-        lone = np.ones(len(text), bool)
+        # A character without a piece is encoded as its bytes.
+        alone = np.ones(len(text), bool)
         if found:
-            lone[found[0][0]] = False
-        lone = np.flatnonzero(lone)
+            alone[found[0][0]] = False
+        lone = np.flatnonzero(alone)
         n_bytes = 1 + (text[lone] > 0x7F) + (text[lone] > 0x7FF) + (text[lone] > 0xFFFF)
-        at = np.concatenate([*(f[0] for f in found), lone])
-        span = np.concatenate([*(f[1] for f in found), np.ones(len(lone), np.int64)])
-        piece = np.concatenate([*(f[2] for f in found), -1 - np.arange(len(lone))])
-        weight = np.concatenate(
-            [*(pieces.weight[f[2]] for f in found), n_bytes * pieces.byte_weight]
-        )
         # Ids of an edge: one piece, or the bytes of a character.
         self.lone_ids = [pieces.byte_ids[list(chr(c).encode("utf-8", "surrogatepass"))] for c in text[lone]]
-        # By distance to the end, then place, then span; a piece is shorter than 2**10.
-        order = np.argsort((left[at] * len(text) + at) << 10 | span)
-        at, span, self.piece, weight = at[order], span[order], piece[order], weight[order]
+        # By distance to the end, then place, then span, so that edges onward come first.
+        near = np.argsort(left.astype(np.uint16) if left.max(initial=0) < 1 << 16 else left, kind="stable")
+        edges += alone
+        slots = np.empty(len(text), np.int64)
+        slots[near] = np.cumsum(edges[near]) - edges[near]
+        n_edges = int(edges.sum())
+        at, span, self.piece = (np.empty(n_edges, np.int64) for _ in range(3))
+        weight = np.empty(n_edges)
+        for where, number, length, piece in found:
+            # Longer pieces come behind the byte edge where the shortest one is missing.
+            slot = slots[where] + number + alone[where]
+            at[slot], span[slot], self.piece[slot], weight[slot] = where, length, piece, pieces.weight[piece]
+        slot = slots[lone]
+        at[slot], span[slot], self.piece[slot] = lone, 1, -1 - np.arange(len(lone))
+        weight[slot] = n_bytes * pieces.byte_weight
         self.start, self.end = node[at], node[at] + span
         n_nodes = len(text) + len(atoms)
         self.is_end = np.zeros(n_nodes, bool)
@@ -486,7 +492,7 @@ def decode_table(
 
 def sample(
     docs: DataFrame, k: int = 2, seed: int = 0, model_file: str = MODEL, id_col: str = "doc_id",
-    text_col: str = "text", pieces: Pieces | None = None, with_row: bool = False,
+    text_col: str = "text", pieces: Pieces | None = None, with_row: bool = False, decoded: bool = False,
 ) -> DataFrame:
     """Up to ``k`` segmentations per row: id, ``sample`` (from 1), ``ids``, ``log_prob``, ``log_inclusion``.
 
@@ -496,11 +502,15 @@ def sample(
     segmentation, of no ids; NULL counts as empty. Any character is encoded, as bytes where
     there is no piece. An empty table gives an empty one. With ``with_row`` all columns of the
     row stay, otherwise only the id; columns of ``docs`` named like a result are then replaced.
+    With ``decoded`` the ids are decoded where they are drawn, into a column of that name, as
+    ``decode_table`` does for a table.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     known = pieces or Pieces.load(model_file)
     results = {"sample": "int", "ids": "array<int>", "log_prob": "double", "log_inclusion": "double"}
+    if decoded:
+        results["decoded"] = "string"
     kept = [c for c in docs.columns if c not in results] if with_row else [id_col]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
@@ -515,13 +525,12 @@ def sample(
                 source, number, ids, log_prob, inclusion = zip(*rows)
                 sizes = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
                 flat = np.concatenate(ids).astype(np.int32)
-                at = pa.array(source)
-                yield pa.RecordBatch.from_arrays(
-                    [*(c.take(at) for c in part.columns[2:]), pa.array(number, pa.int32()),
-                     pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat)),
-                     pa.array(log_prob), pa.array(inclusion)],
-                    names=[*kept, *results],
-                )
+                at, lists = pa.array(source), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))
+                columns = [*(c.take(at) for c in part.columns[2:]), pa.array(number, pa.int32()), lists,
+                           pa.array(log_prob), pa.array(inclusion)]
+                if decoded:
+                    columns.append(decode_batch(lists, known))
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, *results])
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), *(f"{n} {t}" for n, t in results.items())])
     key, text = F.col(f"`{id_col}`").cast("string").alias("_key"), F.col(f"`{text_col}`").alias("_text")
