@@ -12,7 +12,7 @@ as it is. What is left beside the path at each piece joins the queue as one set,
 drawn below that of the path. The queue of a text is kept as one array per emitted path.
 
 Texts split into atoms at blanks and line ends, which no piece spans. The lattices of the
-distinct atoms of a batch are built together on arrays, and all draws of a batch advance in
+distinct atoms of a batch are built together on arrays and kept for the next ones, and all draws of a batch advance in
 step. Noise is a hash of seed, row key, path and position, so a row's result does not depend
 on the rows around it.
 
@@ -40,6 +40,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BYTE_PENALTY = 10.0
 #: Characters of the texts that are worked on together; a longer text is a batch of its own.
 BATCH_CHARS = 300_000
+#: Characters of distinct atoms whose lattices a task keeps from batch to batch, some 150 bytes each.
+KEPT_CHARS = 1_000_000
 _SPACE = "▁"
 _ATOM = re.compile(r"\n| *[^ \n]+| +")
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -169,18 +171,76 @@ def _below(location, bound, u):
         return np.where(np.isneginf(location), -np.inf, location - np.log(np.exp(location - bound) - np.log(u)))
 
 
+class _Grown:
+    """An array that grows at its end; ``now`` is what it holds."""
+
+    def __init__(self, kind: type) -> None:
+        self._data, self._size = np.empty(1 << 12, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        size = self._size + len(values)
+        if size > len(self._data):
+            grown = np.empty(2 * size, self._data.dtype)
+            grown[: self._size] = self.now
+            self._data = grown
+        self._data[self._size : size] = values
+        self._size = size
+
+    @property
+    def now(self) -> np.ndarray:
+        return self._data[: self._size]
+
+
 class Lattices:
-    """Edges of the lattices of distinct atoms, by start node, with their conditional shares."""
+    """Edges of the lattices of distinct atoms, by start node, with their conditional shares.
+
+    Atoms are added batch by batch; those of earlier batches are at hand until there are over
+    ``KEPT_CHARS`` characters of them.
+    """
 
-    def __init__(self, atoms: list[str], pieces: Pieces) -> None:
+    def __init__(self, pieces: Pieces) -> None:
+        self.pieces = pieces
+        self._clear()
+
+    def _clear(self) -> None:
+        self.index: dict[str, int] = {}
+        # Ids of a character without a piece: its bytes.
+        self.lone_ids: list[np.ndarray] = []
+        self._atoms = {n: _Grown(np.int64) for n in ("length", "first_node")}
+        self._nodes = {"is_end": _Grown(bool), "rank": _Grown(np.int64)}
+        self._ranks = {"low": _Grown(np.int64), "high": _Grown(np.int64)}
+        self._edges = {n: _Grown(np.int64) for n in ("start", "end", "piece")}
+        self._edges |= {n: _Grown(np.float64) for n in ("log_share", "share", "upto")} | {"single": _Grown(bool)}
+        self._look()
+
+    def _look(self) -> None:
+        for group in (self._atoms, self._nodes, self._ranks, self._edges):
+            for name, grown in group.items():
+                setattr(self, name, grown.now)
+
+    def numbers(self, atoms: list[str]) -> np.ndarray:
+        """The number of each atom; lattices are built for those that have none yet."""
+        distinct = dict.fromkeys(atoms)
+        new = [a for a in distinct if a not in self.index]
+        if len(self.is_end) + sum(map(len, new)) > KEPT_CHARS and self.index:
+            self._clear()
+            new = list(distinct)
+        if new:
+            self._build(new)
+        return np.fromiter(map(self.index.__getitem__, atoms), np.int64, len(atoms))
+
+    def _build(self, atoms: list[str]) -> None:
+        pieces, first_atom, first_edge, first_rank = self.pieces, len(self.length), len(self.start), len(self.low)
+        nodes_before, lone_before = len(self.is_end), len(self.lone_ids)
+        self.index.update(zip(atoms, range(first_atom, first_atom + len(atoms))))
         lengths = np.array([len(a) for a in atoms], np.int64)
         text = np.frombuffer("".join(atoms).encode("utf-32-le"), np.uint32).astype(np.int64)
         atom = np.repeat(np.arange(len(atoms)), lengths)
         starts = np.cumsum(lengths) - lengths
         place = np.arange(len(text)) - starts[atom]
         left = lengths[atom] - place
-        self.first_node = starts + np.arange(len(atoms))
-        node = self.first_node[atom] + place
+        first_node = starts + np.arange(len(atoms))
+        node = first_node[atom] + place
         at, state = np.arange(len(text)), np.zeros(len(text), np.int64)
         found, edges = [], np.zeros(len(text), np.int64)
         length = 0
@@ -201,61 +261,68 @@ class Lattices:
             alone[found[0][0]] = False
         lone = np.flatnonzero(alone)
         n_bytes = 1 + (text[lone] > 0x7F) + (text[lone] > 0x7FF) + (text[lone] > 0xFFFF)
-        # Ids of an edge: one piece, or the bytes of a character.
-        self.lone_ids = [pieces.byte_ids[list(chr(c).encode("utf-8", "surrogatepass"))] for c in text[lone]]
+        self.lone_ids += [pieces.byte_ids[list(chr(c).encode("utf-8", "surrogatepass"))] for c in text[lone]]
         # By distance to the end, then place, then span, so that edges onward come first.
         near = np.argsort(left.astype(np.uint16) if left.max(initial=0) < 1 << 16 else left, kind="stable")
         edges += alone
         slots = np.empty(len(text), np.int64)
         slots[near] = np.cumsum(edges[near]) - edges[near]
         n_edges = int(edges.sum())
-        at, span, self.piece = (np.empty(n_edges, np.int64) for _ in range(3))
+        at, span, piece_at = (np.empty(n_edges, np.int64) for _ in range(3))
         weight = np.empty(n_edges)
         for where, number, length, piece in found:
             # Longer pieces come behind the byte edge where the shortest one is missing.
             slot = slots[where] + number + alone[where]
-            at[slot], span[slot], self.piece[slot], weight[slot] = where, length, piece, pieces.weight[piece]
+            at[slot], span[slot], piece_at[slot], weight[slot] = where, length, piece, pieces.weight[piece]
         slot = slots[lone]
-        at[slot], span[slot], self.piece[slot] = lone, 1, -1 - np.arange(len(lone))
+        at[slot], span[slot], piece_at[slot] = lone, 1, -1 - lone_before - np.arange(len(lone))
         weight[slot] = n_bytes * pieces.byte_weight
-        self.start, self.end = node[at], node[at] + span
+        start, end = node[at], node[at] + span
         n_nodes = len(text) + len(atoms)
-        self.is_end = np.zeros(n_nodes, bool)
-        self.is_end[self.first_node + lengths] = True
+        is_end = np.zeros(n_nodes, bool)
+        is_end[first_node + lengths] = True
         # Log mass of all ways from a node to the end of its atom, nearest nodes first.
         onward = np.zeros(n_nodes)
-        new = np.flatnonzero(np.append(True, self.start[1:] != self.start[:-1]))[: len(at)]
+        new = np.flatnonzero(np.append(True, start[1:] != start[:-1]))[: len(at)]
         rank_left = left[at[new]]
         cuts = np.append(np.flatnonzero(np.append(True, rank_left[1:] != rank_left[:-1]))[: len(new)], len(new))
         ends = np.append(new, len(at))
         for a, b in zip(cuts[:-1], cuts[1:]):
             low, high = ends[a], ends[b]
-            value = weight[low:high] + onward[self.end[low:high]]
+            value = weight[low:high] + onward[end[low:high]]
             heads = new[a:b] - low
             top = np.maximum.reduceat(value, heads)
             sizes = np.diff(np.append(heads, high - low))
             total = np.add.reduceat(np.exp(value - np.repeat(top, sizes)), heads)
-            onward[self.start[new[a:b]]] = top + np.log(total)
-        self.log_share = weight + onward[self.end] - onward[self.start]
-        share = np.exp(self.log_share)
-        self.share = share
+            onward[start[new[a:b]]] = top + np.log(total)
+        log_share = weight + onward[end] - onward[start]
+        share = np.exp(log_share)
         # Position of a draw: number of the node in edge order plus a number in [0, 1).
-        self.rank = np.zeros(n_nodes, np.int64)
-        self.rank[self.start[new]] = np.arange(len(new))
-        self.bounds = np.append(new, len(at))
+        rank = np.zeros(n_nodes, np.int64)
+        rank[start[new]] = first_rank + np.arange(len(new))
+        bounds = np.append(new, len(at))
         sums = np.cumsum(share)
         before = np.append(0, sums)[new]
-        sizes = np.diff(self.bounds)
+        sizes = np.diff(bounds)
         inside = sums - np.repeat(before, sizes)
-        inside[self.bounds[1:] - 1] = 1.0
-        self.upto = np.repeat(np.arange(len(new)), sizes) + np.minimum(inside, 1.0)
-        self.single = np.repeat(sizes == 1, sizes)
+        inside[bounds[1:] - 1] = 1.0
+        upto = np.repeat(first_rank + np.arange(len(new)), sizes) + np.minimum(inside, 1.0)
+        added = {
+            "length": lengths, "first_node": nodes_before + first_node, "is_end": is_end, "rank": rank,
+            "low": first_edge + bounds[:-1], "high": first_edge + bounds[1:], "start": nodes_before + start,
+            "end": nodes_before + end, "piece": piece_at, "log_share": log_share, "share": share, "upto": upto,
+            "single": np.repeat(sizes == 1, sizes),
+        }
+        for group in (self._atoms, self._nodes, self._ranks, self._edges):
+            for name, grown in group.items():
+                grown.add(added[name])
+        self._look()
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """For each node an edge, by its share."""
         rank = self.rank[node]
         edge = np.searchsorted(self.upto, rank + u, "right")
-        return np.clip(edge, self.bounds[rank], self.bounds[rank + 1] - 1)
+        return np.clip(edge, self.low[rank], self.high[rank] - 1)
 
     def log_rest(self, edge: np.ndarray) -> np.ndarray:
         """Log share of the other edges of the same node."""
@@ -278,19 +345,18 @@ class Lattices:
 class _Batch:
     """All texts of a batch, their atoms end to end."""
 
-    def __init__(self, texts: list[str], seeds: np.ndarray, pieces: Pieces) -> None:
+    def __init__(self, texts: list[str], seeds: np.ndarray, lattices: Lattices) -> None:
         atoms, counts = [], []
         for text in texts:
             found = _ATOM.findall(" " + text) if text else []
             atoms.extend(found)
             counts.append(len(found))
-        index = {a: i for i, a in enumerate(dict.fromkeys(atoms))}
-        self.lattices = Lattices(list(index), pieces) if index else None
-        self.atom = np.fromiter(map(index.__getitem__, atoms), np.int64, len(atoms))
+        self.atom = lattices.numbers(atoms)
+        self.lattices = lattices if atoms else None
         self.doc = np.repeat(np.arange(len(texts)), counts)
         self.bounds = np.concatenate([[0], np.cumsum(counts)])
         self.seeds = seeds
-        sizes = np.array([len(a) for a in index], np.int64)[self.atom]
+        sizes = lattices.length[self.atom]
         before = np.cumsum(sizes) - sizes
         # Place of the atom in its text, in characters.
         self.place = before - np.append(before, 0)[self.bounds[:-1]][self.doc] if len(atoms) else before
@@ -347,14 +413,16 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return sums[:-1] - np.repeat(sums[bounds[:-1]], np.diff(bounds))
 
 
-def sample_batch(texts: list[str], seeds: np.ndarray, pieces: Pieces, k: int) -> list[list[tuple]]:
+def sample_batch(
+    texts: list[str], seeds: np.ndarray, pieces: Pieces, k: int, lattices: Lattices | None = None
+) -> list[list[tuple]]:
     """For each text up to ``k`` distinct (ids, log probability, log inclusion score).
 
     In the order drawn. The inclusion score is the probability that the segmentation is among
     the k, given the noise of the first one left out; a text with no more than k
-    segmentations gives all of them, with a score of one.
+    segmentations gives all of them, with a score of one. ``lattices`` holds those of earlier batches.
     """
-    batch = _Batch(texts, seeds, pieces)
+    batch = _Batch(texts, seeds, lattices or Lattices(pieces))
     lat = batch.lattices
     every = np.arange(len(batch.atom))
     edges, atom_at = (
@@ -386,7 +454,7 @@ def sample_batch(texts: list[str], seeds: np.ndarray, pieces: Pieces, k: int) ->
             path = paths[n]
             taken = path.taken.setdefault(t, [int(path.edges[t])])
             node = lat.start[path.edges[t]]
-            low, high = lat.bounds[lat.rank[node]], lat.bounds[lat.rank[node] + 1]
+            low, high = lat.low[lat.rank[node]], lat.high[lat.rank[node]]
             others = np.array([e for e in range(low, high) if e not in taken])
             share = lat.share[others]
             place = np.array([t])
@@ -515,12 +583,13 @@ def sample(
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def segment(batches):
+        lattices = Lattices(known)
         for batch in batches:
             lengths = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist()
             for a, b in _ranges(lengths):
                 part = batch.slice(a, b - a)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                found = sample_batch(texts, row_seeds(part.column(0).to_pylist(), seed), known, k)
+                found = sample_batch(texts, row_seeds(part.column(0).to_pylist(), seed), known, k, lattices)
                 rows = [(n, s, *x) for n, f in enumerate(found) for s, x in enumerate(f, 1)]
                 source, number, ids, log_prob, inclusion = zip(*rows)
                 sizes = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
