@@ -382,6 +382,14 @@ def cleaning_audit(spark, d):
     return clean.cleaning_audit(before, clean.clean_labelled(before, **_SHEET_OPTIONS), MARKS)
 
 
+@query(_AUDIT)
+def cleaning_audit_in_passing(spark, d):
+    """The audit of a cleaned table that is written, without a second reading of either."""
+    cleaned, audit = clean.clean_watched(_sheet(spark, d), MARKS, **_SHEET_OPTIONS)
+    sources.write_posts(cleaned, scratch_path(spark, "cleaned"))
+    return audit.table(spark)
+
+
 def _corrections(spark: SparkSession, d: str) -> DataFrame:
     """Short posts are not of quality, posts in German are not toxic."""
     posts = table(spark, d, "documents")
@@ -1263,6 +1271,28 @@ def pick_listed_rows(spark, d):
     return keys.pick_rows(table(spark, d, "labels"), [1, 3, 7, 100, 500], "doc_id")
 
 
+@query(
+    f"""
+    SELECT l.label, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_differences
+    FROM embeddings e CROSS JOIN {_LEARNT} GROUP BY l.label
+    """
+)
+def predict_stacked(spark, d):
+    """All linear models applied as one matrix give what each of them gives."""
+    data = _training_set(spark, d)
+    models = train.train_labels(data, LEARNT, max_iter=10)
+    single = train.predict_labels(data, models).select("code", "label", "prediction", "ground_truth", "probs")
+    stacked = train.predict_stacked(data, models).select("code", "label", *[
+        col(n).alias(f"stacked_{n}") for n in ("prediction", "ground_truth", "probs")
+    ])
+    furthest = F.array_max(F.zip_with("probs", "stacked_probs", lambda a, b: F.abs(a - b)))
+    same = (furthest < 1e-9) & (F.size("probs") == F.size("stacked_probs")) & (
+        col("prediction") == col("stacked_prediction")) & (col("ground_truth") == col("stacked_ground_truth"))
+    return single.join(stacked, ["code", "label"]).groupBy("label").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(~same).alias("n_differences")
+    )
+
+
 @query(
     """
     SELECT l.label, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_differences

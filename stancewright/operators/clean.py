@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -155,3 +155,37 @@ def cleaning_audit(before: DataFrame, after: DataFrame, labels: Iterable[str]) -
         )
 
     return totals(before, "before").unionByName(totals(after, "after"))
+
+
+class Audit:
+    """Row counts and positives per label, taken while a table is cleaned and written.
+
+    ``watch`` goes into the plan at the stage it names; once an action on the plan has run, ``table`` has
+    what ``cleaning_audit`` would read both tables again for.
+    """
+
+    def __init__(self, labels: Iterable[str]) -> None:
+        self.labels = list(labels)
+        self._stages: dict[str, Observation] = {}
+
+    def watch(self, df: DataFrame, stage: str) -> DataFrame:
+        if stage in self._stages:
+            raise ValueError(f"stage {stage!r} is watched already")
+        self._stages[stage] = Observation()
+        sums = [F.coalesce(F.sum(col(n)), F.lit(0)).cast("long").alias(f"n{i}") for i, n in enumerate(self.labels)]
+        return df.observe(self._stages[stage], F.count(F.lit(1)).alias("n_rows"), *sums)
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """One row per stage and label. Waits for the action if it has not ended yet."""
+        rows = []
+        for stage, seen in self._stages.items():
+            found = seen.get
+            rows += [(stage, found["n_rows"], name, found[f"n{i}"]) for i, name in enumerate(self.labels)]
+        return spark.createDataFrame(rows, "stage string, n_rows long, label string, positives long")
+
+
+def clean_watched(df: DataFrame, labels: Iterable[str], **options) -> tuple[DataFrame, Audit]:
+    """``clean_labelled`` and the audit of it, which is there once the cleaned table has been written."""
+    audit = Audit(labels)
+    cleaned = clean_labelled(audit.watch(null_out_nan(df), "before"), **options)
+    return audit.watch(cleaned, "after"), audit

@@ -17,26 +17,29 @@ from stancewright.session import materialise
 def with_position(df: DataFrame, key: str, name: str = "position") -> DataFrame:
     """Zero-based position of each row in the order of a unique key.
 
-    Only the key is sorted. The numbered keys are checkpointed, because their slices are
-    read twice (to add up the slice sizes, and to number) and both readings must see the
-    same slice bounds even if an executor is lost in between. A repeated key is an error:
-    its copies meet in one slice, next to each other. So is a NULL key, which has no place.
+    Only the key is sorted, and moved once: a slice of the range partitioning holds all copies of its
+    keys, and the place in it is that of the sorted row. The numbered keys are checkpointed, because
+    their slices are read twice (to add up the slice sizes, and to number) and both readings must see
+    the same slice bounds even if an executor is lost in between. A repeated key is an error. So is a
+    NULL key, which has no place.
     """
-    inside = Window.partitionBy("_slice").orderBy(col(key))
-    repeated = F.lag(col(key)).over(inside) == col(key)
     message = F.concat(F.lit(f"{key} is not unique: "), col(key).cast("string"))
     fault = (
         F.when(col(key).isNull(), F.raise_error(F.lit(f"{key} is NULL")).cast("boolean"))
-        .when(col("_repeated"), F.raise_error(message).cast("boolean"))
+        .when(col("_copies") > 1, F.raise_error(message).cast("boolean"))
         .otherwise(True)
     )
+    # Slice in the upper bits, number of the row in its slice in the lower 33.
+    place = F.monotonically_increasing_id()
     placed = materialise(
         df.select(col(key))
         .repartitionByRange(col(key))
-        .withColumn("_slice", F.spark_partition_id())
-        .withColumns({"_at": F.row_number().over(inside) - 1, "_repeated": repeated})
+        .groupBy(col(key))
+        .agg(F.count(F.lit(1)).alias("_copies"))
         .filter(fault)
-        .drop("_repeated")
+        .sortWithinPartitions(col(key))
+        .select(col(key), place.alias("_place"))
+        .select(col(key), F.shiftright("_place", 33).alias("_slice"), F.expr("_place & 8589934591").alias("_at"))
     )
     earlier = Window.partitionBy(F.lit(0)).orderBy("_slice").rowsBetween(
         Window.unboundedPreceding, -1

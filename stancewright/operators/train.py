@@ -1,6 +1,6 @@
 """One classifier per label: fitting, scoring, checkpoints.
 
-The loop over labels runs on the driver, each turn being a distributed fit over features
+The fits of the labels are driven from a few threads, each being a distributed fit over features
 that are cached once. Nothing of the data reaches the driver but class counts and model
 coefficients.
 """
@@ -8,9 +8,12 @@ coefficients.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -94,11 +97,14 @@ def train_labels(
     seed: int = 42,
     shape: str = "deep",
     max_classes: int = 10_000,
+    parallel: int = 4,
 ) -> dict:
     """A fitted, class-balanced model per label.
 
     ``hidden`` and ``shape`` are those of ``estimator='mlp'`` (``mlp_layers``);
-    ``max_classes`` is explained at ``weights_by_label``.
+    ``max_classes`` is explained at ``weights_by_label``. ``parallel`` labels are fitted at a time over the
+    one cached table, each in a scheduler pool of its own, so that with ``spark.scheduler.mode=FAIR``
+    they share the cluster alike; the models do not depend on it.
     """
     names = list(labels)
     data = df.select(col(key), col(features), *[col(n) for n in names])
@@ -106,13 +112,20 @@ def train_labels(
     try:
         weights = weights_by_label(data, names, max_classes)
         dim = embedding_dim(data, features) if estimator == "mlp" else 0
-        models = {}
-        for name in names:
+        context = data.sparkSession.sparkContext
+
+        def fit(name: str):
+            context.setLocalProperty("spark.scheduler.pool", f"label {name}")
             frame = training_frame(data, name, features, key, weights[name])
             if estimator == "mlp":
                 frame = oversample(frame, weights[name])
             width = max(2, max(c for c, _ in weights[name]) + 1)
-            models[name] = _estimator(estimator, dim, width, hidden, shape, max_iter, seed).fit(frame)
+            return _estimator(estimator, dim, width, hidden, shape, max_iter, seed).fit(frame)
+
+        with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+            # Each label in a thread that has the caller's settings and jobs of its own.
+            fits = [pool.submit(inheritable_thread_target(data.sparkSession)(fit), name) for name in names]
+            models = {name: job.result() for name, job in zip(names, fits)}
     finally:
         data.unpersist()
     return models
@@ -169,6 +182,89 @@ def predict_labels(
     )
 
 
+class StackedModels:
+    """Linear models of many labels as one matrix: all of them score a block of rows in one product.
+
+    Takes fitted logistic regressions. ``probs`` of a label are those of its own model, to rounding.
+    """
+
+    def __init__(self, models: Mapping) -> None:
+        self.labels = list(models)
+        rows, intercepts, self.spans = [], [], []
+        at = 0
+        for model in models.values():
+            matrix = model.coefficientMatrix.toArray()
+            intercept = model.interceptVector.toArray()
+            if len(matrix) == 1:
+                # A binary model has one row, the margin of class 1 over class 0.
+                matrix, intercept = np.vstack([np.zeros_like(matrix), matrix]), np.append(0.0, intercept)
+            self.spans.append((at, at + len(matrix)))
+            at += len(matrix)
+            rows.append(matrix)
+            intercepts.append(intercept)
+        self.matrix = np.ascontiguousarray(np.vstack(rows).T)
+        self.intercept = np.concatenate(intercepts)
+
+    def probabilities(self, vectors: np.ndarray) -> list[np.ndarray]:
+        """For each label the class probabilities of each row."""
+        margins = vectors @ self.matrix + self.intercept
+        found = []
+        for a, b in self.spans:
+            powers = np.exp(margins[:, a:b] - margins[:, a:b].max(axis=1, keepdims=True))
+            found.append(powers / powers.sum(axis=1, keepdims=True))
+        return found
+
+
+def predict_stacked(
+    df: DataFrame, models: Mapping, features: str = "embedding", key: str = "code",
+    truth: Mapping[str, str] | None = None, keep: Sequence[str] = (), block: int = 4_096,
+) -> DataFrame:
+    """``predict_labels`` of linear models by one matrix product per block of rows.
+
+    Worth it for many labels or long vectors. A row without a vector gets no prediction: its ``probs``
+    are NULL. Works on streams too.
+    """
+    stacked = StackedModels(models)
+    human = {n: n for n in models if n in df.columns} if truth is None else truth
+    carried = [col(key), *[col(n) for n in keep]]
+    rows = df.select(col(features).cast("array<double>").alias("_x"), F.struct(
+        *[c.alias(f"c{i}") for i, c in enumerate(carried)],
+        *[(col(human[n]) if n in human else F.lit(None)).cast("int").alias(f"t{i}") for i, n in enumerate(models)],
+    ).alias("_row"))
+    size = len(stacked.matrix)
+
+    def score(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, block):
+                part = batch.slice(start, block)
+                vectors = part.column(0)
+                present = vectors.is_valid()
+                lengths = vectors.drop_null().value_lengths()
+                if len(lengths) and set(lengths.unique().to_pylist()) != {size}:
+                    raise ValueError(f"vectors have to have the length of the models, {size}")
+                values = vectors.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+                where = np.cumsum(present.to_numpy(zero_copy_only=False)) - 1
+                columns = [part.column(1)]
+                for probs in stacked.probabilities(values):
+                    ends = np.arange(len(probs) + 1, dtype=np.int32) * probs.shape[1]
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(probs.ravel()))
+                    columns.append(lists.take(pa.array(where, mask=~present.to_numpy(zero_copy_only=False))))
+                yield pa.RecordBatch.from_arrays(columns, names=["_row", *[f"_p{i}" for i in range(len(columns) - 1)]])
+
+    kind = rows.schema["_row"].dataType.simpleString()
+    schema = ", ".join([f"_row {kind}", *[f"_p{i} array<double>" for i in range(len(stacked.labels))]])
+    cells = [
+        F.struct(F.lit(n).alias("label"), F.col(f"_row.t{i}").alias("ground_truth"), col(f"_p{i}").alias("probs"))
+        for i, n in enumerate(stacked.labels)
+    ]
+    names = [key, *keep]
+    carried = [F.col(f"_row.c{i}").alias(n) for i, n in enumerate(names)]
+    return rows.mapInArrow(score, schema).select(*carried, F.inline(F.array(*cells))).select(
+        *[col(n) for n in names], "label", "ground_truth", argmax(col("probs")).alias("prediction"),
+        top_probability(col("probs")).alias("prob"), "probs",
+    )
+
+
 def predict_wide(
     df: DataFrame,
     models: Mapping,

@@ -12,6 +12,7 @@ from stancewright.operators import clean, keys, metrics, report, sampling, train
 TRAINED = {
     "train_and_score", "cross_validation", "predict_coverage", "epoch_log", "classified_posts",
     "text_classifier", "training_frame", "stream_scores", "stream_raw_posts", "pca_project",
+    "predict_stacked",
 }
 PYTHON = {"embed_with_function", "posts_csv_round_trip"}
 
@@ -204,3 +205,19 @@ def test_an_embedder_is_in_the_plan_of_a_strict_lookup_once(spark):
     posts = spark.createDataFrame([("a", "x"), ("b", "y")], "code string, post string")
     vectors = embed.embed_text(posts, lambda: lambda texts: [[1.0] for _ in texts])
     assert plan(keys.attach_embeddings(posts, vectors, strict=True)).count("MapInArrow") == 1
+
+
+def test_positions_sort_only_keys_once(spark, no_broadcast, monkeypatch):
+    from stancewright.operators import ordering
+
+    seen = []
+    monkeypatch.setattr(ordering, "materialise", lambda df: seen.append(df) or df)
+    ordering.with_position(spark.range(100).withColumnRenamed("id", "code"), "code")
+    assert len(re.findall(r"Exchange ", plan(seen[0]))) == 1 and "Window" not in plan(seen[0])
+
+
+def test_stacked_scores_are_one_node(spark):
+    data = spark.createDataFrame([(i, [float(i % 5), 1.0], i % 2, i % 3) for i in range(60)], "code long, embedding array<float>, a int, b int")
+    models = train.train_labels(data, ["a", "b"], max_iter=2)
+    text = plan(train.predict_stacked(data, models))
+    assert text.count("MapInArrow") == 1 and "UDF" not in text

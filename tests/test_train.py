@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +147,48 @@ def test_cross_validation(data):
     assert all(r["n_splits"] == 2 for r in out)
     mean = {(r["split"], r["metric"]): r["mean"] for r in out}
     assert mean["Train", "accuracy"] > mean["Validation", "accuracy"]
+
+
+def many_labels(spark, n=400, dim=6):
+    rng = random.Random(4)
+    rows = []
+    for i in range(n):
+        x = [rng.gauss(0, 1) for _ in range(dim)]
+        rows.append((i, x, int(x[0] > 0), (x[1] > 0) + (x[2] > 0), None if i % 7 == 0 else int(x[3] > x[4])))
+    return spark.createDataFrame(rows, "code long, embedding array<float>, two int, three int, some int")
+
+
+def test_stacked_models_equal_single_ones(spark):
+    data = many_labels(spark)
+    models = train.train_labels(data, ["two", "three", "some"], max_iter=8)
+    single = {(r["code"], r["label"]): r for r in train.predict_labels(data, models, keep=["two"]).collect()}
+    stacked = train.predict_stacked(data, models, keep=["two"], block=64)
+    assert stacked.columns == train.predict_labels(data, models, keep=["two"]).columns
+    found = stacked.collect()
+    assert len(found) == len(single) == 1200
+    for r in found:
+        other = single[r["code"], r["label"]]
+        assert r["probs"] == pytest.approx(other["probs"], abs=1e-9)
+        assert (r["prediction"], r["ground_truth"], r["two"]) == (other["prediction"], other["ground_truth"], other["two"])
+
+
+def test_stacked_models_and_odd_vectors(spark):
+    data = many_labels(spark)
+    models = train.train_labels(data, ["two"], max_iter=2)
+    odd = spark.createDataFrame([(1, None), (2, [0.0] * 6)], "code long, embedding array<float>")
+    found = {r["code"]: r for r in train.predict_stacked(odd, models).collect()}
+    assert found[1]["probs"] is None and found[1]["prediction"] is None and len(found[2]["probs"]) == 2
+    assert train.predict_stacked(odd.limit(0), models).collect() == []
+    short = spark.createDataFrame([(1, [1.0])], "code long, embedding array<float>")
+    with pytest.raises(Exception, match="length of the models"):
+        train.predict_stacked(short, models).collect()
+
+
+def test_labels_fitted_at_the_same_time(spark):
+    data = many_labels(spark)
+    one, four = (train.train_labels(data, ["two", "three", "some"], max_iter=5, parallel=n) for n in (1, 4))
+    assert list(one) == list(four)
+    for name in one:
+        assert one[name].coefficientMatrix.toArray() == pytest.approx(four[name].coefficientMatrix.toArray())
+    with pytest.raises(ValueError, match="no annotated rows"):
+        train.train_labels(data.withColumn("two", F.lit(None).cast("int")), ["two", "three"])
