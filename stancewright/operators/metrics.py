@@ -141,6 +141,29 @@ def weighted_f1(
     return multiclass_scores(class_confusion(df, by, truth, pred), by)
 
 
+def _ordered_pairs(sliced: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Per group and slice: ``_pos``, ``_neg`` and ``_pairs``, the pairs in the right order that end in it.
+
+    ``sliced`` has a row per group and ``_score`` with its ``_pos`` and ``_neg``, and the ``_slice`` of scores
+    that it lies in. Each slice counts the pairs inside it; those across follow from slice totals.
+    """
+    keys = [col(n) for n in by]
+
+    def pairs_below(order: str, within: Sequence[Column]) -> Column:
+        below = Window.partitionBy(*within).orderBy(order).rowsBetween(
+            Window.unboundedPreceding, -1
+        )
+        return col("_pos").cast("double") * F.coalesce(F.sum("_neg").over(below), F.lit(0))
+
+    tied = col("_pos").cast("double") * col("_neg") / 2
+    in_slice = (
+        sliced.withColumn("_pairs", pairs_below("_score", [*keys, col("_slice")]) + tied)
+        .groupBy(*keys, "_slice")
+        .agg(*[F.sum(c).alias(c) for c in ("_pos", "_neg", "_pairs")])
+    )
+    return in_slice.withColumn("_pairs", col("_pairs") + pairs_below("_slice", keys))
+
+
 def roc_auc(
     df: DataFrame,
     by: Sequence[str] = ("label",),
@@ -171,19 +194,7 @@ def roc_auc(
         "_slice", F.spark_partition_id()
     )
 
-    def pairs_below(order: str, within: Sequence[Column]) -> Column:
-        below = Window.partitionBy(*within).orderBy(order).rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        return col("_pos").cast("double") * F.coalesce(F.sum("_neg").over(below), F.lit(0))
-
-    tied = col("_pos").cast("double") * col("_neg") / 2
-    in_slice = (
-        sliced.withColumn("_pairs", pairs_below("_score", [*keys, col("_slice")]) + tied)
-        .groupBy(*keys, "_slice")
-        .agg(*[F.sum(c).alias(c) for c in ("_pos", "_neg", "_pairs")])
-    )
-    across = in_slice.withColumn("_pairs", col("_pairs") + pairs_below("_slice", keys))
+    across = _ordered_pairs(sliced, by)
     return across.groupBy(*keys).agg(
         F.sum("_pos").alias("n_pos"),
         F.sum("_neg").alias("n_neg"),
@@ -198,6 +209,81 @@ def roc_auc_macro(aucs: DataFrame) -> DataFrame:
     return aucs.agg(F.avg("roc_auc").alias("roc_auc_macro"), F.count("roc_auc").alias("n_labels"))
 
 
+def _cells(df: DataFrame, by: Sequence[str], truth: str, pred: str | None, probs: str | None) -> DataFrame:
+    """Rows counted by all that scores need, in one aggregate over one reading of ``df``.
+
+    A row gives one cell (truth, prediction) with class ``_a`` = -1, and for each class ``_a`` of its
+    probabilities a cell (``_score``, truth): k + 1 narrow rows for k classes, counted before they move.
+    """
+    keys = [col(n) for n in by]
+    t, nothing = col(truth), F.lit(None)
+    guess = nothing.cast("int") if pred is None else col(pred)
+
+    def cell(a: Column, score: Column, p: Column) -> Column:
+        return F.struct(a.alias("_a"), score.alias("_score"), t.alias("_t"), p.alias("_p"))
+
+    found = []
+    if pred is not None:
+        one = F.array(cell(F.lit(-1), nothing.cast("double"), guess))
+        found.append(F.when(guess.isNotNull(), one))
+    if probs is not None:
+        p, no_guess = col(probs), F.lit(None).cast(df.select(guess).schema[0].dataType)
+        # A class that the probabilities do not have makes no pair.
+        known = (F.size(p) > 1) & t.cast("int").between(0, F.size(p) - 1)
+        each = F.transform(
+            F.sequence(F.lit(0), F.size(p) - 1), lambda a: cell(a, F.get(p, a).cast("double"), no_guess)
+        )
+        found.append(F.when(known, each))
+    cells = df.filter(t.isNotNull()).select(*keys, F.explode(F.flatten(F.filter(F.array(*found), lambda x: x.isNotNull()))).alias("_c"))
+    return (
+        cells.select(*keys, "_c.*").filter((col("_a") == -1) | col("_score").isNotNull())
+        .groupBy(*keys, "_a", "_score", "_t", "_p").agg(F.count(F.lit(1)).alias("_n"))
+    )
+
+
+def _ovo_areas(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """One-vs-one area of each group from ``_cells``.
+
+    With class a as the positive one, a row of class b is in the right order with the rows of a above it. So
+    the pairs of a with all other classes follow from one running count of the rows of a: inside a slice of
+    the scores, and across slices from their totals.
+    """
+    keys = [col(n) for n in by]
+    group = [*keys, col("_a")]
+    # The cells are not filtered, so that all scores read the same counted ones; class -1 gives nothing.
+    own = F.when((col("_t") == col("_a")) & (col("_a") >= 0), col("_n")).otherwise(0)
+
+    def above(place: str, within: Sequence[Column]) -> Column:
+        """Own rows above the place; frames by value take in all rows of one place."""
+        upto = Window.partitionBy(*within).orderBy(place)
+        return F.sum("_own").over(Window.partitionBy(*within)) - F.sum("_own").over(upto)
+
+    def pairs(rivals: Column) -> Column:
+        return col("_n").cast("double") * rivals
+
+    sliced = (
+        cells.withColumn("_own", own).repartitionByRange(*group, "_score").withColumn("_slice", F.spark_partition_id())
+    )
+    inside = [*group, col("_slice")]
+    tied = F.sum("_own").over(Window.partitionBy(*inside, "_score"))
+    in_slice = (
+        sliced.withColumn("_pairs", pairs(above("_score", inside) + tied / 2))
+        .groupBy(*inside, "_t").agg(*[F.sum(n).alias(n) for n in ("_n", "_own", "_pairs")])
+    )
+    across = in_slice.withColumn("_pairs", col("_pairs") + pairs(above("_slice", group)))
+    rivals = across.groupBy(*group, "_t").agg(*[F.sum(n).alias(n) for n in ("_n", "_own", "_pairs")])
+    other = (col("_a") >= 0) & (col("_own") == 0)
+    one = rivals.groupBy(*group).agg(
+        F.max("_own").alias("_own"), F.count_if(other).alias("_others"),
+        F.sum(F.when(other, col("_pairs") / col("_n"))).alias("_areas"),
+    )
+    there = col("_own") > 0
+    return one.groupBy(*keys).agg(
+        F.try_divide(F.sum(F.when(there, col("_areas") / col("_own"))), F.sum(F.when(there, col("_others")))).alias("roc_auc_ovo"),
+        F.coalesce(F.sum(F.when(there, col("_others"))), F.lit(0)).alias("n_pairs"),
+    )
+
+
 def roc_auc_ovo(
     df: DataFrame,
     by: Sequence[str] = ("label",),
@@ -207,36 +293,10 @@ def roc_auc_ovo(
     """One-vs-one area on class probabilities, mean over the ordered pairs of classes.
 
     For the pair (a, b) only rows of class a or b count, a being the positive class and
-    the probability of a the score. A row of class t thus belongs to the pairs (t, c) and
-    (c, t) for each other class c: 2(k-1) narrow rows for k classes. Pairs with a class
-    absent from the truth are skipped.
+    the probability of a the score. A row gives k narrow rows for k classes, whatever its own is.
+    Pairs with a class absent from the truth are skipped; a group without any pair has a NULL area.
     """
-    keys = [col(n) for n in by]
-    t = col(truth).cast("int")
-    others = F.filter(
-        F.sequence(F.lit(0), F.size(col(probs)) - 1), lambda c: c != t
-    )
-    as_positive = F.transform(
-        others,
-        lambda c: F.struct(
-            t.alias("_a"), c.alias("_b"), F.lit(1).alias("_truth"),
-            F.get(col(probs), t).cast("double").alias("_p"),
-        ),
-    )
-    as_negative = F.transform(
-        others,
-        lambda c: F.struct(
-            c.alias("_a"), t.alias("_b"), F.lit(0).alias("_truth"),
-            F.get(col(probs), c).cast("double").alias("_p"),
-        ),
-    )
-    paired = df.filter(col(truth).isNotNull() & (F.size(col(probs)) > 1)).select(
-        *keys, F.inline(F.concat(as_positive, as_negative))
-    )
-    areas = roc_auc(paired, [*by, "_a", "_b"], "_truth", "_p")
-    return areas.groupBy(*keys).agg(
-        F.avg("roc_auc").alias("roc_auc_ovo"), F.count("roc_auc").alias("n_pairs")
-    )
+    return _ovo_areas(_cells(df, by, truth, None, probs), by)
 
 
 def log_loss(
@@ -297,13 +357,18 @@ def evaluate(
 
     ``roc_auc`` is that of the hard predictions for a label with up to two classes, and the
     one-vs-one area on the probabilities for one with more. ``roc_auc_scores`` is the area
-    on the probabilities for both kinds.
+    on the probabilities for both kinds. ``df`` is read once.
     """
     keys = [col(n) for n in by]
-    counts = class_confusion(df, by, truth, pred)
+    cells = _cells(df, by, truth, pred, probs)
+    # Neither side filters the cells, so Spark computes them once for both.
+    counts = (
+        cells.groupBy(*keys, col("_t").alias("truth"), col("_p").alias("pred"))
+        .agg(F.sum(F.when(col("_a") == -1, col("_n"))).alias("n")).filter("n is not null").repartition(*keys)
+    )
     # Each part has one row per group; stacked and aggregated they need no join.
     parts = multiclass_scores(counts, by)
-    for part in (hard_auc(counts, by), roc_auc_ovo(df, by, truth, probs).drop("n_pairs")):
+    for part in (hard_auc(counts, by), _ovo_areas(cells, by).drop("n_pairs")):
         parts = parts.unionByName(part, allowMissingColumns=True)
     names = [n for n in parts.columns if n not in by]
     few = col("n_classes") <= 2

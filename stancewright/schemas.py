@@ -24,14 +24,6 @@ TOPIC_PAIRS = {
 REQUIRED_LABELS = [name for pair in TOPIC_PAIRS.values() for name in pair] + [
     "Sudanese", "Not Sudanese",
 ]
-UNFOLDED_TRAINING_LABELS = [
-    "pro RSF", "anti RSF", "anti SAF", "pro SAF", "pro peace", "anti peace", "pro war",
-    "anti war", "pro civilian", "anti civilians", "no polarisation", "Geopolticis",
-    "Sudanese", "Not Sudanese",
-]
-TRAINING_LABELS = list(TOPIC_PAIRS) + [
-    "no polarisation", "Geopolticis", "Sudanese", "Not Sudanese",
-]
 THREE_STATE_LABELS = ["RSF", "SAF", "peace", "war"]
 DEMO_LABELS = THREE_STATE_LABELS + [
     "no polarisation", "Geopolticis", "pro civilian", "anti civilians", "Sudanese",
@@ -42,7 +34,6 @@ OUT_GROUP = "Not Sudanese"
 AUTHOR_COLUMNS = ["user", "username"]
 
 PRO, ANTI, NEITHER = 1, 0, 2
-STANCES = [ANTI, PRO, NEITHER]
 
 
 def _strings(*names: str) -> list[T.StructField]:
@@ -56,12 +47,6 @@ def _labels() -> list[T.StructField]:
 LABELLED = T.StructType(_strings("post", "permalink", "user", "username") + _labels())
 POSTS = T.StructType(_strings("permalink", "post", "username", "date", "time"))
 CLASSIFIED = T.StructType(_strings("post", "date", "time", "username", "code") + _labels())
-EMBEDDINGS = T.StructType(
-    [
-        T.StructField("code", T.StringType(), False),
-        T.StructField("embedding", T.ArrayType(T.FloatType(), False)),
-    ]
-)
 SCORES = T.StructType(
     _strings(
         "Label", "Train Accuracy", "Validation Accuracy", "Train ROC AUC",

@@ -221,3 +221,15 @@ def test_stacked_scores_are_one_node(spark):
     models = train.train_labels(data, ["a", "b"], max_iter=2)
     text = plan(train.predict_stacked(data, models))
     assert text.count("MapInArrow") == 1 and "UDF" not in text
+
+
+def test_all_scores_from_one_reading(spark, no_broadcast, tmp_path):
+    spark.createDataFrame(
+        [("a", i % 3, i % 2, [0.2, 0.3, 0.5]) for i in range(50)],
+        "label string, ground_truth int, prediction int, probs array<double>",
+    ).write.parquet(str(tmp_path / "preds"))
+    scores = metrics.evaluate(spark.read.parquet(str(tmp_path / "preds")))
+    scores.collect()
+    text = scores._jdf.queryExecution().executedPlan().toString()
+    final = text[: text.index("== Initial Plan ==")] if "== Initial Plan ==" in text else text
+    assert final.count("Scan parquet") == 1 and "ReusedExchange" in final
