@@ -41,7 +41,7 @@ BYTE_PENALTY = 10.0
 #: Characters of the texts that are worked on together; a longer text is a batch of its own.
 BATCH_CHARS = 300_000
 #: Characters of distinct atoms whose lattices a task keeps from batch to batch, some 150 bytes each.
-KEPT_CHARS = 1_000_000
+KEPT_CHARS = 2_000_000
 _SPACE = "▁"
 _ATOM = re.compile(r"\n| *[^ \n]+| +")
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -321,8 +321,14 @@ class Lattices:
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """For each node an edge, by its share."""
         rank = self.rank[node]
-        edge = np.searchsorted(self.upto, rank + u, "right")
-        return np.clip(edge, self.low[rank], self.high[rank] - 1)
+        # The sum may round up to the next node.
+        edge, drawn = self.low[rank], np.minimum(rank + u, np.nextafter(rank + 1.0, 0))
+        # Nodes have few edges, and most draws end at the first ones.
+        open_ = np.flatnonzero(self.upto[edge] <= drawn)
+        while len(open_):
+            edge[open_] += 1
+            open_ = open_[self.upto[edge[open_]] <= drawn[open_]]
+        return edge
 
     def log_rest(self, edge: np.ndarray) -> np.ndarray:
         """Log share of the other edges of the same node."""
