@@ -91,8 +91,7 @@ big AS (SELECT leaf FROM f GROUP BY leaf HAVING count(DISTINCT doc_id) >= 5),
 c AS (SELECT * FROM f SEMI JOIN big USING (leaf)),
 p AS (SELECT doc_id, i, leaf, unnest(mw) AS x, unnest(range(1, len(mw) + 1)) AS pos FROM c),
 n AS (SELECT leaf, pos, x, count(*) AS n FROM p WHERE x <> '<*>' GROUP BY ALL),
-lines AS (SELECT leaf, count(*) AS lines FROM c GROUP BY leaf),
-const AS (SELECT leaf, pos, x FROM n JOIN lines USING (leaf) WHERE n >= 5 AND n >= 0.1 * lines),
+const AS (SELECT leaf, pos, x FROM n WHERE n >= 5),
 g AS (SELECT p.doc_id, p.i, string_agg(CASE WHEN const.x IS NULL THEN '<*>' ELSE p.x END, ' ' ORDER BY p.pos) AS tpl,
              avg(CASE WHEN const.x IS NULL THEN 1 ELSE 0 END) AS wild, bool_or(const.x IS NOT NULL) AS has_const
       FROM p LEFT JOIN const ON p.leaf = const.leaf AND p.pos = const.pos AND p.x = const.x GROUP BY ALL),
@@ -194,21 +193,22 @@ _TEMPLATES = ", ".join(f"('{name}', '{notice}')" for name, notice in sorted(lice
 
 
 @query(f"""
-WITH t AS (SELECT doc_id, source || '/' || lang || '/' || CAST(doc_id // 50 AS VARCHAR) AS dir,
+WITH t AS (SELECT doc_id, source, lang, contains(coalesce(text, ''), 'icense') AS speaks,
         string_split(coalesce(text, ''), chr(10)) AS ls, {_sql_words("coalesce(text, '')")} AS ws FROM documents),
-f AS (SELECT *, contains(ls[1], 'icense') AS speaks,
-        dir || '/' || CASE WHEN contains(ls[1], 'icense') THEN 'LICENSE' ELSE CAST(doc_id AS VARCHAR) || '.txt' END AS path FROM t),
+f AS (SELECT *, dir || '/' || CASE WHEN speaks THEN 'LICENSE' ELSE CAST(doc_id AS VARCHAR) || '.txt' END AS path FROM (
+        SELECT *, source || CASE WHEN speaks AND doc_id % 3 = 0 THEN '' WHEN speaks AND doc_id % 3 = 1 THEN '/' || lang
+                                 ELSE '/' || lang || '/' || CAST(doc_id // 50 AS VARCHAR) END AS dir FROM t)),
 tpl AS (SELECT name, word, count(*) AS n FROM (SELECT name, unnest({_sql_words("notice")}) AS word
         FROM (VALUES {_TEMPLATES}) AS x(name, notice)) GROUP BY ALL),
 total AS (SELECT count(*) AS n FROM f),
-df AS (SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct(ws)) AS word FROM f) SEMI JOIN tpl USING (word) GROUP BY word),
-idf AS (SELECT DISTINCT word, ln((1 + total.n) / (1 + coalesce(df, 0))) + 1 AS idf
-        FROM tpl LEFT JOIN df USING (word), total),
+df AS (SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct(ws)) AS word FROM f) GROUP BY word),
+idf AS (SELECT word, ln((1 + total.n) / (1 + coalesce(df, 0))) + 1 AS idf
+        FROM (SELECT word FROM tpl UNION SELECT word FROM df) LEFT JOIN df USING (word), total),
 vec AS (SELECT name, word, n * idf AS w FROM tpl JOIN idf USING (word)),
 norm AS (SELECT name, sqrt(sum(w * w)) AS len FROM vec GROUP BY name),
 l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM f),
 lw AS (SELECT doc_id, i, word, count(*) AS n FROM (SELECT doc_id, i, unnest({_sql_words("line")}) AS word FROM l) GROUP BY ALL),
-ww AS (SELECT doc_id, i, word, lw.n * coalesce(idf, ln(1 + total.n) + 1) AS w FROM lw LEFT JOIN idf USING (word), total),
+ww AS (SELECT doc_id, i, word, lw.n * idf AS w FROM lw JOIN idf USING (word)),
 ln AS (SELECT doc_id, i, sqrt(sum(w * w)) AS len FROM ww GROUP BY ALL),
 dot AS (SELECT doc_id, i, name, sum(ww.w * vec.w) AS dot FROM ww JOIN vec USING (word) GROUP BY ALL),
 near AS (SELECT doc_id, name, round(dot / ln.len / norm.len, 6) AS cosine
@@ -216,23 +216,30 @@ near AS (SELECT doc_id, name, round(dot / ln.len / norm.len, 6) AS cosine
 best AS (SELECT doc_id, name, cosine FROM near WHERE cosine >= 0.7
          QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, name) = 1),
 spoken AS (SELECT dir, name FROM f JOIN best USING (doc_id) WHERE speaks
-           QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, name) = 1)
+           QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, name) = 1),
+above AS (SELECT doc_id, dir AS place, 3 AS depth FROM f UNION SELECT doc_id, source || '/' || lang, 2 FROM f
+          WHERE dir <> source UNION SELECT doc_id, source, 1 FROM f),
+nearest AS (SELECT above.doc_id, spoken.dir, name FROM above JOIN spoken ON spoken.dir = above.place
+            QUALIFY row_number() OVER (PARTITION BY above.doc_id ORDER BY depth DESC) = 1)
 SELECT doc_id, path, best.name AS own_license, cosine,
-       CASE WHEN best.name IS NULL AND spoken.name IS NOT NULL THEN dir END AS from_directory,
-       coalesce(best.name, spoken.name) AS license
-FROM f LEFT JOIN best USING (doc_id) LEFT JOIN spoken USING (dir)
+       CASE WHEN best.name IS NULL THEN nearest.dir END AS from_directory,
+       coalesce(best.name, nearest.name) AS license
+FROM f LEFT JOIN best USING (doc_id) LEFT JOIN nearest USING (doc_id)
 """)
 def op6_license_scan(spark, d):
     """Licence of every document, its own or that of the nearest directory above.
 
-    Documents lie in a directory of their source, language and number; one that opens with a
-    notice is the licence file of its directory.
+    Documents lie in a directory of their source, language and number. Those that speak of a licence are
+    licence files: by their number of the whole source, of a language in it, or of the directory.
     """
-    first = F.element_at(F.split("text", "\n"), 1)
-    name = F.when(F.contains(first, F.lit("icense")), "LICENSE").otherwise(F.concat("doc_id", F.lit(".txt")))
+    speaks = F.contains(F.coalesce("text", F.lit("")), F.lit("icense"))
     number = F.floor(F.col("doc_id") / 50).cast("string")
+    whole, by_lang = (speaks & (F.col("doc_id") % 3 == i) for i in (0, 1))
+    lang = F.when(~F.coalesce(whole, F.lit(False)), F.col("lang"))
+    leaf = F.when(~F.coalesce(whole | by_lang, F.lit(False)), number)
+    name = F.when(speaks, "LICENSE").otherwise(F.concat("doc_id", F.lit(".txt")))
     docs = table(spark, d, "documents")
-    return license_scan.scan_licenses(docs, path=F.concat_ws("/", "source", "lang", number, name))
+    return license_scan.scan_licenses(docs, path=F.concat_ws("/", "source", lang, leaf, name))
 
 
 @query(r"""

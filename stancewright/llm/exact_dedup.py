@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stancewright.llm.scratch import shuffle_partitions, written
+from stancewright.llm.scratch import shuffle_partitions, unused, written
 
 SPLITTER_BYTES = 16
 _RUNS = (
@@ -154,10 +154,11 @@ def drop_copies(
     Of rows that repeat both id and text one stays; rows that share an id but not the text
     are told apart by a digest of the text.
     """
+    sha, kept_id, kept_sha = (unused(docs.columns, n) for n in ("_sha", "_kept_id", "_kept_sha"))
     digest = F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"), 256)
     kept = mark_copies(docs, id_col, text_col, keep).where("kept").select(
-        F.col(f"`{id_col}`").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")
+        F.col(f"`{id_col}`").alias(kept_id), F.col("text_sha256").alias(kept_sha)
     )
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha"))
-    left = docs.withColumn("_sha", digest).join(kept, same, "left_semi")
-    return left.dropDuplicates([id_col, "_sha"]).drop("_sha")
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(kept_id)) & (F.col(sha) == F.col(kept_sha))
+    left = docs.withColumn(sha, digest).join(kept, same, "left_semi")
+    return left.dropDuplicates([id_col, sha]).drop(sha)

@@ -1,7 +1,7 @@
 """Licences of files: TF-IDF cosine of their lines to templates, and inheritance by directory.
 
-A licence header is a line here, and every line of a file is looked at. Inverse document
-frequencies of the template words come from all files. A line that lacks the words without
+A licence header is a line here, and every line of a file is looked at. Document frequencies of all
+words come from all files. A line that lacks the words without
 which no template can reach the threshold is passed over early; that test follows from the
 weights and loses nothing. A file without a header of its own takes the licence of the nearest
 directory above it that holds a licence file. Only DataFrame functions are used.
@@ -68,40 +68,38 @@ def match_headers(
 ) -> DataFrame:
     """``file``, ``own_license``, ``cosine`` of the files with a line near a template.
 
-    ``files`` has a unique ``file`` number and ``text``. Of equally near templates the first
-    name wins; a file takes its nearest line. Words that no template has count as unseen in the
-    corpus, as heavy as a word can be.
+    ``files`` has a unique ``file`` and ``text``. Of equally near templates the first name wins; a file
+    takes its nearest line. A word weighs by the number of files that hold it, whether a template has it
+    or not, so that a header's cosine does not depend on the size of the corpus.
     """
     spark = files.sparkSession
     table = _template_words(spark.createDataFrame(sorted(templates.items()), "name string, notice string"))
     vocabulary = sorted({r["word"] for r in table})
-    known = F.array(*[F.lit(w) for w in vocabulary])
     n = files.count()
-    held = files.select(F.explode(F.array_intersect(known, words(F.coalesce("text", F.lit(""))))).alias("word"))
+    held = files.select(F.explode(F.array_distinct(words(F.coalesce("text", F.lit(""))))).alias("word"))
+    counts = written(held.groupBy("word").agg(F.count(F.lit(1)).alias("df")), "word-files")
     # One row per word of the templates.
-    df = {r["word"]: r["n"] for r in held.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
+    df = {r["word"]: r["df"] for r in counts.where(F.col("word").isin(vocabulary)).collect()}
     idf = {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for w in vocabulary}
-    unseen = math.log(1 + n) + 1
     weights: dict[str, dict[str, float]] = {}
     for r in table:
         weights.setdefault(r["name"], {})[r["word"]] = r["n"] * idf[r["word"]]
     needed = F.array(*[F.lit(w) for w in key_words(weights, threshold)])
     lines = files.select("file", F.posexplode(F.split("text", "\n")).alias("line", "header"))
     lines = lines.select("file", "line", words(F.col("header")).alias("words")).where(F.arrays_overlap("words", needed))
-    counted = (
+    counted = written(
         lines.select("file", "line", F.explode("words").alias("word"))
-        .groupBy("file", "line", "word").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("file", "line", "word").agg(F.count(F.lit(1)).alias("n")),
+        "header-words",
     )
-    # Both tables have the size of the template list.
-    idf_table = F.broadcast(spark.createDataFrame(sorted(idf.items()), "word string, idf double"))
     entries = [
         (name, word, w / math.sqrt(sum(x * x for x in vector.values())))
         for name, vector in sorted(weights.items()) for word, w in sorted(vector.items())
     ]
+    # Has the size of the template list.
     vectors = F.broadcast(spark.createDataFrame(entries, "name string, word string, weight double"))
-    weighed = counted.join(idf_table, "word", "left").withColumn(
-        "w", F.col("n") * F.coalesce("idf", F.lit(unseen))
-    )
+    rarity = F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1
+    weighed = counted.join(counts, "word").withColumn("w", F.col("n") * rarity)
     length = weighed.groupBy("file", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     dots = weighed.join(vectors, "word").groupBy("file", "line", "name").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     near = dots.join(length, ["file", "line"]).select(
@@ -161,7 +159,7 @@ def scan_licenses(
     where = F.coalesce((F.col("path") if path is None else path).cast("string"), F.lit(""))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = files.select(F.col(f"`{id_col}`").alias("_id"), where.alias("path"), text.alias("text")).withColumn(
-        "file", F.xxhash64(F.col("_id").cast("string"), "path", "text")
+        "file", F.struct(F.col("_id").cast("string").alias("id"), F.xxhash64("path", "text").alias("h"))
     )
     headers = written(match_headers(rows.select("file", "text"), templates, threshold), "license-headers")
     paths = written(

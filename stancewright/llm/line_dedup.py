@@ -4,8 +4,9 @@ The templates come from a log-parsing tree of fixed depth: a line goes by its nu
 and its first tokens, numbers masked, to a leaf. In a leaf that many documents reach, tokens
 that few of its lines have at their place are variable fields and become a wild card; what
 remains is the template of the line. Templates are counted over documents. Only DataFrame functions
-are used: documents are never gathered by leaf, leaves and templates meet aggregates that
-combine before the shuffle, and joins that adaptive execution can split.
+are used: documents are never gathered by leaf, the constant tokens of a leaf are rows, however many,
+and leaves, tokens and templates meet aggregates that combine before the shuffle, and joins that
+adaptive execution can split.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stancewright.llm.scratch import written
+from stancewright.operators.keys import own_shuffle
 
 WILD = "<*>"
 
@@ -33,22 +35,23 @@ def _leaf(depth: int) -> Column:
 
 
 def drop_recurring_lines(
-    docs: DataFrame, min_docs: int = 5, depth: int = 3, min_share: float = 0.1, max_wild: float = 0.5,
+    docs: DataFrame, min_docs: int = 5, depth: int = 3, max_wild: float = 0.5,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row per row of ``docs``: id, ``n_lines``, ``n_dropped``, ``kept_text``.
 
     A line is dropped if its template occurs in at least ``min_docs`` documents and at most the
     share ``max_wild`` of its tokens is variable: holds a digit, or is found at its place in
-    fewer than ``min_docs`` lines of its leaf or less than the share ``min_share`` of them, so
-    that no more than 1 / ``min_share`` tokens are constant at a place. Lines are parted by a line feed; lines without a
-    token stay. Rows that repeat both id and text count as one document and get one result.
-    NULL is an empty text, of one empty line. An empty table gives an empty one; other columns
-    are not read.
+    fewer than ``min_docs`` lines of its leaf. How many other lines the leaf has does not matter.
+    Lines are parted by a line feed; lines without a token stay. Rows that repeat both id and text
+    count as one document and get one result. NULL is an empty text, of one empty line; a NULL id is an
+    id. An empty table gives an empty one; other columns are not read.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    id_ = F.col(f"`{id_col}`")
+    # A document goes by its id and a hash of its text, so that no two ids are taken for one.
     rows = docs.select(
-        F.col(f"`{id_col}`").alias("_id"), text.alias("text"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("key")
+        id_.alias("_id"), text.alias("text"), F.struct(id_.cast("string").alias("id"), F.xxhash64(text).alias("h")).alias("key")
     )
     # What all lines leave behind is narrow; only lines in recurring leaves are read again.
     split = rows.select("key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -61,44 +64,39 @@ def drop_recurring_lines(
         lines.select("leaf", "key").distinct().groupBy("leaf")
         .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf")
     )
-    wanted = lines.join(leaves, "leaf").groupBy("key").agg(F.collect_set(F.struct("line_no", "leaf")).alias("wanted"))
-    picked = rows.join(wanted, "key").select("key", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
-    members = written(
-        picked.select(
-            "key", "w.line_no", "w.leaf", _tokens(F.get("lines", F.col("w.line_no"))).alias("tokens")
-        ),
-        "leaf-lines",
+    wanted = lines.join(own_shuffle(leaves), "leaf").groupBy("key").agg(
+        F.collect_set(F.struct("line_no", "leaf")).alias("wanted")
     )
-    placed = members.select("leaf", F.posexplode("tokens").alias("place", "token")).withColumn(
-        "token", _masked(F.col("token"))
+    picked = rows.join(wanted, "key").select("key", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
+    tokens = picked.select("key", "w.line_no", "w.leaf", _tokens(F.get("lines", F.col("w.line_no"))).alias("tokens"))
+    placed = written(
+        tokens.select("key", "line_no", "leaf", F.posexplode("tokens").alias("place", "token"))
+        .withColumn("token", _masked(F.col("token"))),
+        "leaf-tokens",
     )
-    sizes = members.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines"), F.first(F.size("tokens")).alias("length"))
-    common = (
-        placed.where(F.col("token") != WILD).groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= min_docs).join(sizes, "leaf").where(F.col("n") >= min_share * F.col("lines"))
-        .groupBy("leaf").agg(F.max("length").alias("length"), F.collect_list(F.struct("place", "token")).alias("found"))
-        # The constant tokens of each place, in the order of the places.
-        .select("leaf", F.transform(
-            F.sequence(F.lit(0), F.col("length") - 1),
-            lambda p: F.transform(F.filter("found", lambda x: x["place"] == p), lambda x: x["token"]),
-        ).alias("constant"))
+    at = ("leaf", "place", "token")
+    # Without the hint a hot token of a hot leaf would be one task of the join.
+    constant = own_shuffle(
+        placed.where(F.col("token") != WILD).groupBy(*at).agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") >= min_docs).select(*at, F.lit(True).alias("constant"))
     )
-    wild = F.transform(
-        "tokens",
-        lambda t, i: F.when(F.array_contains(F.get("constant", i), t), t).otherwise(F.lit(WILD)),
+    known = F.when(F.col("constant"), F.col("token")).otherwise(F.lit(WILD))
+    # A set, as rows that repeat id and text give each token again.
+    whole = (
+        placed.join(constant, list(at), "left").groupBy("key", "line_no")
+        .agg(F.sort_array(F.collect_set(F.struct("place", known.alias("token"))))["token"].alias("template"))
     )
-    templated = members.join(common, "leaf").select("key", "line_no", wild.alias("template"))
     n_wild = F.size(F.filter("template", lambda t: t == WILD))
+    few = (n_wild <= max_wild * F.size("template")) & (n_wild < F.size("template"))
     templated = written(
-        templated.where(n_wild <= max_wild * F.size("template"))
-        .select("key", "line_no", F.sha2(F.array_join("template", " "), 256).alias("template")),
+        whole.where(few).select("key", "line_no", F.sha2(F.array_join("template", " "), 256).alias("template")),
         "line-templates",
     )
     recurring = (
         templated.select("template", "key").distinct().groupBy("template")
         .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("template")
     )
-    gone = templated.join(recurring, "template").groupBy("key").agg(F.collect_set("line_no").alias("gone"))
+    gone = templated.join(own_shuffle(recurring), "template").groupBy("key").agg(F.collect_set("line_no").alias("gone"))
     every = F.split("text", "\n")
     joined = rows.join(gone, "key", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
     kept = F.filter(every, lambda line, i: ~F.array_contains("gone", i))

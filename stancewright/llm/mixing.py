@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stancewright.llm.scratch import written
+from stancewright.llm.scratch import unused, written
 
 #: Cells that are raked on the driver at most.
 CELLS_HERE = 100_000
@@ -173,23 +173,25 @@ class Mixture:
     known: list[list[str] | None]
     cells: DataFrame
 
-    def place(self, rows: DataFrame) -> DataFrame:
-        """``rows`` with the weight and probability of their cell.
+    def place(self, rows: DataFrame) -> tuple[DataFrame, Column, Column]:
+        """``rows`` with columns added, and the weight and probability of the cell of each.
 
         The cells are a written table, so Spark knows their size: it broadcasts a small one.
         """
+        names = {c: unused(rows.columns, c) for c in self.cells.columns}
         keys = {}
         for i, (margin, known) in enumerate(zip(self.margins.values(), self.known)):
-            keys[f"_mix{i}"] = _pooled(F.coalesce(margin.cast("string"), F.lit(MISSING)), known)
-        return rows.withColumns(keys).join(self.cells, list(keys)).drop(*keys)
+            keys[names[f"_mix{i}"]] = _pooled(F.coalesce(margin.cast("string"), F.lit(MISSING)), known)
+        placed = rows.withColumns(keys).join(self.cells.withColumnsRenamed(names), list(keys)).drop(*keys)
+        return placed, F.col(names["_weight"]), F.col(names["_probability"])
 
 
 def _pooled(value: Column, known: list[str] | None) -> Column:
     return value if known is None else F.when(value.isin(known), value).otherwise(F.lit(OTHER))
 
 
-def _drawn(id_col: str, seed: int) -> Column:
-    return uniform(F.col(f"`{id_col}`"), seed) < F.col("_probability")
+def _drawn(id_col: str, seed: int, probability: Column) -> Column:
+    return uniform(F.col(f"`{id_col}`"), seed) < probability
 
 
 def fit_mixture(
@@ -246,11 +248,10 @@ def mix(
     cell, or weight 1 in a cell without any token. Values with a target of zero are dropped by
     intent. An empty table gives an empty one; other columns are not read.
     """
-    placed = fit_mixture(docs, margins, text_col=text_col, **fit).place(docs)
+    placed, weight, probability = fit_mixture(docs, margins, text_col=text_col, **fit).place(docs)
     return placed.select(
-        F.col(f"`{id_col}`"), word_count(F.col(f"`{text_col}`")).alias("n_tokens"),
-        F.col("_weight").alias("weight"), F.col("_probability").alias("probability"),
-        _drawn(id_col, seed).alias("kept"),
+        F.col(f"`{id_col}`"), word_count(F.col(f"`{text_col}`")).alias("n_tokens"), weight.alias("weight"),
+        probability.alias("probability"), _drawn(id_col, seed, probability).alias("kept"),
     )
 
 
@@ -261,5 +262,5 @@ def keep_sampled(
 
     The text is not shuffled while Spark broadcasts the cells.
     """
-    placed = fit_mixture(docs, margins, **fit).place(docs)
-    return placed.where(_drawn(id_col, seed)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    placed, _, probability = fit_mixture(docs, margins, **fit).place(docs)
+    return placed.where(_drawn(id_col, seed, probability)).select(*[F.col(f"`{c}`") for c in docs.columns])

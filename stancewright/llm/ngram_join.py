@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from stancewright.llm import repeats
 from stancewright.llm.components import connected
-from stancewright.llm.scratch import shuffle_partitions, written
+from stancewright.llm.scratch import shuffle_partitions, unused, written
 from stancewright.llm.words import BASE, raw_texts, shingle_set
 
 #: Shingles of one chunk, and shingles of one block of a group.
@@ -579,6 +579,8 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "
     without an id stays, as no other can stand for it.
     """
     linked = _components(docs, width, percent, id_col, text_col).where("id != component_id")
-    # A 64-bit key of id and text: rows that share an id are told apart.
-    out = linked.select(F.col("key").alias("_out")).distinct()
-    return docs.join(out, _row_key(id_col, text_col) == F.col("_out"), "left_anti")
+    key, own = unused(docs.columns, "_out"), unused(docs.columns, "_out_id")
+    # Rows that share an id are told apart by a hash of id and text.
+    out = linked.select(F.col("key").alias(key), F.col("id").alias(own)).distinct()
+    same = (_row_key(id_col, text_col) == F.col(key)) & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(own))
+    return docs.join(out, same, "left_anti")

@@ -19,16 +19,28 @@ def bucket_count(keys: int) -> int:
     return max(1, -(-keys // BUCKET_KEYS))
 
 
+#: From so many keys on the table of top bytes is no longer than the bytes it saves.
+TABLE_PAYS = 1_024
+
+
 def packed(sorted_keys: np.ndarray) -> bytes:
-    """Sorted keys in 7 bytes each: how often each top byte occurs, then the other bytes."""
+    """Sorted keys in at most 8 bytes each, and one more.
+
+    Many keys take 7 bytes: how often each top byte occurs is written first, then the other bytes. As
+    a table grows a chunk has ever fewer keys in a bucket; few keys are written as they are.
+    """
+    if len(sorted_keys) < TABLE_PAYS:
+        return b"\0" + sorted_keys.astype("<u8").tobytes()
     tops = np.bincount((sorted_keys >> np.uint64(56)).astype(np.int64), minlength=256)
     low = sorted_keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]
-    return tops.astype("<u4").tobytes() + low.tobytes()
+    return b"\1" + tops.astype("<u4").tobytes() + low.tobytes()
 
 
 def unpacked(blob: bytes) -> np.ndarray:
-    tops = np.frombuffer(blob, "<u4", 256)
-    low = np.frombuffer(blob, np.uint8, offset=1024).reshape(-1, 7)
+    if blob[:1] == b"\0":
+        return np.frombuffer(blob, "<u8", offset=1)
+    tops = np.frombuffer(blob, "<u4", 256, offset=1)
+    low = np.frombuffer(blob, np.uint8, offset=1025).reshape(-1, 7)
     keys = np.zeros((len(low), 8), np.uint8)
     keys[:, :7] = low
     keys[:, 7] = np.repeat(np.arange(256, dtype=np.uint8), tops)

@@ -7,6 +7,8 @@ shuffled once, into chunks of documents; only packed hashes move after that.
 
 from __future__ import annotations
 
+import secrets
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,8 +17,10 @@ from pyspark.sql import functions as F
 from stancewright.llm import repeats
 from stancewright.llm.scratch import shuffle_partitions
 from stancewright.llm.words import (
-    BASE,
+    PRIME,
     SECOND_BASE,
+    mixed,
+    prime_window_hashes,
     raw_texts,
     starts_inside,
     window_hashes,
@@ -31,7 +35,7 @@ BYTES_PER_WORD = 6
 class _Chunk:
     """Windows of the texts of one chunk: distinct keys by bucket, and where they start."""
 
-    def __init__(self, group: pa.Table, window: int, buckets: int) -> None:
+    def __init__(self, group: pa.Table, window: int, buckets: int, base: int) -> None:
         self.rows = group.sort_by([("_key", "ascending"), ("_order", "ascending")])
         self.words = [t.split() for t in raw_texts(self.rows.column("_text"))]
         lengths = [len(w) for w in self.words]
@@ -39,8 +43,8 @@ class _Chunk:
         joined = np.concatenate([np.empty(0, np.uint64), *hashes])
         inside = starts_inside(lengths, window)[: max(0, len(joined) - window + 1)]
         self.starts = np.flatnonzero(inside)
-        keys = window_hashes(joined, window, BASE)[self.starts]
         spread = window_hashes(joined, window, SECOND_BASE)[self.starts]
+        keys = mixed(prime_window_hashes(joined, window, base)[self.starts])
         self.found = repeats.ChunkKeys(keys, spread, buckets)
         self.offsets = np.concatenate([[0], np.cumsum(lengths)])
 
@@ -53,11 +57,11 @@ class _Chunk:
         return np.cumsum(edges[:-1]) > 0
 
 
-def _emitter(window: int, buckets: int):
+def _emitter(window: int, buckets: int, base: int):
     schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary())])
 
     def emit(group: pa.Table) -> pa.Table:
-        chunk = _Chunk(group, window, buckets)
+        chunk = _Chunk(group, window, buckets, base)
         number = group.column("_chunk")[0].as_py()
         names, parts = chunk.found.parts()
         return pa.table(
@@ -88,11 +92,11 @@ def _intervals(words: np.ndarray) -> list[dict]:
     ]
 
 
-def _cutter(window: int, buckets: int, columns: list[str]):
+def _cutter(window: int, buckets: int, base: int, columns: list[str]):
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def cut(docs: pa.Table, marks: pa.Table) -> pa.Table:
-        chunk = _Chunk(docs, window, buckets)
+        chunk = _Chunk(docs, window, buckets, base)
         repeated = chunk.found.counts() > 1
         said = zip(chunk.found.ranges(marks.column("bucket").to_numpy()), marks.column("marks").to_pylist())
         for (a, b), blob in said:
@@ -131,6 +135,10 @@ def remove_repeats(
     and come back with an empty text; a text shorter than the window is kept; rows repeated
     in full lose all their windows, as each has a twin. An empty table gives an empty one.
     Other columns are not read.
+
+    Two windows count as equal when a polynomial of their words modulo a prime near 2**61 agrees, at a
+    base that is drawn in this call, and their bucket does. Windows that differ agree with a probability
+    of at most ``window`` / 2**61 each pair, whatever the texts are.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     size = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
@@ -144,8 +152,10 @@ def remove_repeats(
         F.pmod("_key", F.lit(chunks)).alias("_chunk"), "_key",
         F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("_order"), "_id", "_text",
     ).repartition(shuffle_partitions(docs), "_chunk")
+    # Drawn anew for each table, and the same in all tasks: see ``prime_window_hashes``.
+    base = (1 << 32) + secrets.randbelow(PRIME - (1 << 33))
     keys = rows.groupBy("_chunk").applyInArrow(
-        _emitter(window, buckets), "chunk long, bucket long, keys binary"
+        _emitter(window, buckets, base), "chunk long, bucket long, keys binary"
     )
     marks = keys.groupBy("bucket").applyInArrow(
         _mark_shared, "chunk long, bucket long, marks binary"
@@ -153,7 +163,7 @@ def remove_repeats(
     kind = docs.schema[id_col].dataType.simpleString()
     # Both uses of ``rows`` have the same exchange, which Spark runs once.
     cut = rows.groupBy("_chunk").cogroup(marks.groupBy("chunk")).applyInArrow(
-        _cutter(window, buckets, ["_id"]),
+        _cutter(window, buckets, base, ["_id"]),
         f"_id {kind}, n_words long, n_removed long, kept_text string, "
         "removed array<struct<start:int,end:int>>",
     )

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from stancewright.llm.words import raw_texts
 
 #: Labelled rows that the chain is fitted on at most; the only rows that reach the driver.
+#: Log odds of a category that nothing was learnt about.
+NEVER = -1_000.0
 SAMPLE = 12_000
 FOLDS = 5
 DIMENSIONS = 1 << 18
@@ -172,9 +174,11 @@ def train_chain(
     ``categories`` are 0/1 columns over the columns of ``labels`` and ``text``, the last one the
     verdict. Rows for which one is NULL are left out. Where an id has several texts or labels,
     one is taken, the largest. At most ``sample`` labelled ids are used, chosen by a hash of
-    the id; their hashed words, not the texts, come to the driver.
+    the id; their hashed words, not the texts, come to the driver. Columns of ``labels`` called
+    ``text`` or ``_id`` are not read. Without a labelled text the chain gives every text a probability of
+    0 and rejects none.
     """
-    rest = [c for c in labels.columns if c != id_col]
+    rest = [c for c in labels.columns if c not in (id_col, "text", "_id")]
     picked = (
         labels.where(F.col(f"`{id_col}`").isNotNull())
         .groupBy(F.col(f"`{id_col}`").alias("_id")).agg(*[F.max(f"`{c}`").alias(c) for c in rest])
@@ -200,6 +204,9 @@ def train_chain(
     ordered = sorted(map(tuple, found.collect()))
     ordered = [r for r, after in zip(ordered, [*ordered[1:], (None,)]) if r[0] != after[0]]
     ordered.sort(key=lambda r: xxhash.xxh3_64_intdigest(repr(r[0])))
+    if not ordered:
+        none = np.empty(0, np.int32)
+        return Chain(list(categories), [Linear(none, np.empty(0), np.zeros(i), NEVER) for i in range(len(categories))])
     return fit_chain(
         [np.frombuffer(bytes(r[1]), np.int32) for r in ordered],
         {name: np.array([r[2 + i] for r in ordered]) for i, name in enumerate(categories)},

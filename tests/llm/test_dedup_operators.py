@@ -9,8 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stancewright.llm import components, exact_dedup, line_dedup, ngram_join, substring_dedup
-from stancewright.llm.words import window_hashes
+from stancewright.llm import components, exact_dedup, line_dedup, ngram_join, repeats, substring_dedup
+from stancewright.llm.words import PRIME, prime_window_hashes, window_hashes
 
 SCHEMA = "doc_id long, text string, kept string, key long, text_sha256 string"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -226,7 +226,7 @@ def test_line_templates(spark):
     rows = [(i, f"own line {chr(97 + i) * 3} here\nvisited page {i} at noon by {'bob' if i % 2 else 'alice'}\n\nend") for i in range(8)]
     rows += [(8, shared), (9, None), (10, ""), (10, ""), (11, "own line zzz there\r\nrare words only in this one"), (12, "word " * 5000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r.doc_id: r for r in line_dedup.drop_recurring_lines(docs, min_docs=5, min_share=0.3).collect()}
+    found = {r.doc_id: r for r in line_dedup.drop_recurring_lines(docs, min_docs=5).collect()}
     # The page number is a digit field, the name one that varies; "end" recurs in all.
     assert found[0].n_lines == 4 and found[0].n_dropped == 2 and found[0].kept_text == "own line aaa here\n"
     assert found[8].n_dropped == 1 and found[8].kept_text == ""
@@ -237,6 +237,60 @@ def test_line_templates(spark):
     assert {r.n_dropped for r in strict.collect()} == {1}
 
 
+def test_a_crowded_leaf_drops_as_any_other(spark):
+    """Eleven lines in one leaf, each word for word in many documents: none hides behind the others."""
+    lines = ["we use the " + " ".join(f"{chr(97 + k)}{chr(97 + j)}" for j in range(5)) for k in range(11)]
+    own = lambda n: "".join(chr(97 + int(c)) for c in str(n))
+    rows = [(100 * k + i, f"{own(1000 + 100 * k + i)} alone\n{line}") for k, line in enumerate(lines) for i in range(10)]
+    docs = spark.createDataFrame(rows + [(None, lines[0]), (None, None)], "doc_id long, text string")
+    clashing = docs.withColumns({n: F.lit("clash") for n in ("key", "line_no", "leaf", "tokens", "n_lines", "kept_text")})
+    found = line_dedup.drop_recurring_lines(clashing, min_docs=5).collect()
+    assert len(found) == 112 and all(r["n_dropped"] == 1 for r in found if r["doc_id"] is not None)
+    assert sorted((r["n_lines"], r["n_dropped"]) for r in found if r["doc_id"] is None) == [(1, 0), (1, 1)]
+
+
+def thue_morse(n, a, b):
+    return [b if bin(i).count("1") % 2 else a for i in range(n)]
+
+
+def test_windows_that_cancel_modulo_a_power_of_two_are_told_apart(spark):
+    """Two words in the order in which a polynomial modulo 2**64 forgets which is which."""
+    a, b = "w3765734", "w8229976"
+    texts = [" ".join([*thue_morse(32, a, b), *"xyz"]), " ".join([*thue_morse(32, b, a), *"xyz"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup.remove_repeats(docs, window=35).collect()}
+    assert found == {0: (35, 0), 1: (35, 0)}
+
+
+def test_prime_hashes_equal_long_arithmetic():
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 1 << 64, 300, np.uint64, endpoint=False)
+    words[:3] = [0, (1 << 64) - 1, PRIME << 2]
+    for base in (2, (1 << 32) + 12_345, PRIME - 2):
+        for width in (1, 5, 300):
+            found = prime_window_hashes(words, width, base)
+            for i in (0, 1, len(found) // 2, len(found) - 1):
+                i = min(i, len(found) - 1)
+                value = sum((int(w) >> 2) * pow(base, -j, PRIME) for j, w in enumerate(words[i : i + width])) % PRIME
+                assert int(found[i]) == value
+    assert len(prime_window_hashes(words[:4], 5, 7)) == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 1_023, 1_024, 50_000])
+def test_packed_keys_take_eight_bytes(n):
+    keys = np.sort(np.random.default_rng(n).integers(0, 1 << 64, n, np.uint64, endpoint=False))
+    blob = repeats.packed(keys)
+    assert len(blob) <= 8 * n + 2 and (repeats.unpacked(blob) == keys).all()
+
+
+def test_columns_of_any_name_stay(docs):
+    names = ("_sha", "_kept_id", "_kept_sha", "_out", "_out_id", "__out", "id", "fp")
+    clashing = docs.withColumns({n: F.lit("clash") for n in names})
+    for left in (exact_dedup.drop_copies(clashing), ngram_join.keep_one(clashing)):
+        assert left.columns == clashing.columns
+        assert all(r[n] == "clash" for r in left.collect() for n in names)
+
+
 def test_empty_tables(nothing):
     for df in (
         exact_dedup.mark_copies(nothing), exact_dedup.drop_copies(nothing), substring_dedup.remove_repeats(nothing),

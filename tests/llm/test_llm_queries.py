@@ -15,6 +15,10 @@ CONTRACT = {
     "op7_ngram_join": "doc_id bigint, n_shingles bigint, component_id bigint",
     "op8_exact_dedup": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
     "op9_embedding_dedup": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
+    "op11_spelling_variants": "word string, form string, root string, n bigint, n_near bigint, form_n bigint",
+    "op12_periodic_runs": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, "
+    "exponent_milli bigint, runs_sha256 string, collapsed_sha256 string",
+    "op13_html_extraction": "page_id bigint, url string, text string, n_chars bigint",
 }
 
 
@@ -56,6 +60,6 @@ def test_query_without_sql(spark, name):
     assert df.count() >= 50
 
 
-def test_ten_operators_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_all_operators_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)

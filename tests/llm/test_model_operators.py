@@ -223,6 +223,41 @@ def test_licences_are_inherited_from_the_nearest_directory(spark):
     assert license_scan.scan_licenses(files.limit(0)).collect() == []
 
 
+def test_the_nearest_of_several_ancestors_speaks(spark):
+    notice = license_scan.TEMPLATES
+    rows = [
+        (1, "s/LICENSE", notice["MIT"]), (2, "s/en/LICENSE", notice["GPL-2.0"]), (3, "s/en/7/LICENSE", notice["MPL-2.0"]),
+        (4, "s/en/7/a", "x"), (5, "s/en/8/a", "x"), (6, "s/de/7/a", "x"), (7, "t/en/7/a", "x"),
+    ]
+    files = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    found = {r.doc_id: (r.from_directory, r.license) for r in license_scan.scan_licenses(files).collect()}
+    assert [found[i] for i in (4, 5, 6, 7)] == [("s/en/7", "MPL-2.0"), ("s/en", "GPL-2.0"), ("s", "MIT"), (None, None)]
+
+
+def test_a_header_does_not_fade_as_the_corpus_grows(spark):
+    """Common words beside a notice weigh little, and no more on many files than on few."""
+
+    def cosine(copies):
+        rows = [(0, "h", "this software is released under the MIT License.")]
+        rows += [(i, "f", "this software is a page of content " + "x" * (i % 5)) for i in range(1, 40 * copies)]
+        rows += [(-i, "l", license_scan.TEMPLATES["MIT"]) for i in range(1, 2 * copies)]
+        found = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string"))
+        return found.where("doc_id = 0").first()["cosine"]
+
+    few, many = cosine(1), cosine(30)
+    assert few > 0.8 and many > few - 0.05
+
+
+def test_long_files_and_ties(spark):
+    notice = license_scan.TEMPLATES["CC0-1.0"]
+    rows = [(1, "a/LICENSE", "filler line\n" * 20_000 + notice), (2, "a/LICENSE", notice), (2, "a/LICENSE", notice), (None, "a/x", "y")]
+    found = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()
+    assert len(found) == 4 and {r["license"] for r in found} == {"CC0-1.0"}
+    twins = {"B": "one two three", "A": "one two three"}
+    same = license_scan.scan_licenses(spark.createDataFrame([(1, "x", "one two three")], "doc_id long, path string, text string"), twins)
+    assert same.first()["own_license"] == "A"
+
+
 def test_key_words_lose_no_line():
     rng = random.Random(0)
     weights = {f"t{t}": {f"w{k}": rng.random() * 3 for k in rng.sample(range(20), 6)} for t in range(5)}
@@ -463,6 +498,61 @@ def test_pipeline_stages(spark):
     )
 
 
+def odd_corpus():
+    """Documents with NULLs, copies, blanks, repeated rows and ids, a long text, and clashing columns."""
+    rng = random.Random(9)
+    prose = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randrange(90)) for _ in range(n))
+    base = prose(80)
+    texts = [None, "", "  ", base, base, base + " tail", "one", "é 汉 😀\n| x | y", prose(20_000), "mail me@b.example " + prose(20)]
+    texts += [prose(30) for _ in range(30)]
+    rows = [(i, t, None if i % 11 == 0 else "en", f"s{i % 3}", None if t is None else len(t)) for i, t in enumerate(texts)]
+    return rows + [rows[3], (4, "other text", None, None, 1), (None, base, "en", "s1", 1), (None, None, None, None, None)]
+
+
+CLASHING = ("_probability", "_weight", "_mix0", "_sha", "_out", "key", "rejected", "ids", "sample", "toxic")
+
+
+@pytest.mark.parametrize("labelled", [True, False])
+def test_pipeline_on_odd_documents(spark, tmp_path, labelled):
+    rows = odd_corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({n: F.lit("clash") for n in CLASHING})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    marks = [(i, i % 2, int(i % 5 == 0)) for i in range(10, 40)] if labelled else []
+    labels = spark.createDataFrame([(*m, "clash", 1) for m in marks], "doc_id long, quality int, toxic int, text string, _id int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, now, str(tmp_path))
+        assert out.columns == docs.columns, name
+        found = out.collect()
+        assert all(r[c] == "clash" for r in found for c in CLASHING), name
+        if name == "toxicity" and not labelled:
+            assert len(found) == len(rows)
+        if name == "exact_dedup":
+            assert sorted({r["text"] or "" for r in found}) == sorted(r["text"] or "" for r in found)
+        now = spark.createDataFrame(found, docs.schema)
+    final = corpus_pipeline.run(spark, str(tmp_path))
+    assert {"doc_id", "text", "sample", "ids"} <= set(final.columns)
+    kept = final.select("doc_id", "text", "sample", "_weight").collect()
+    assert kept and all(r["_weight"] == "clash" for r in kept)
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SMALL}/labels.parquet").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_chain_without_labels_rejects_nothing(spark):
+    docs = spark.createDataFrame([(1, "text"), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    chain = toxicity.train_chain(docs, labels, {"a": F.col("toxic") == 1, "b": F.col("toxic") == 1})
+    found = toxicity.score(docs, chain).collect()
+    assert [r["rejected"] for r in found] == [False, False] and all(r["p_b"] < 1e-9 for r in found)
+
+
 def test_rest_works_without_the_subpackage(tmp_path):
     """The entry file imports and lists the other queries where pipeline and subpackage are gone."""
     root = Path(__file__).resolve().parents[2]
