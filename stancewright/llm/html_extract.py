@@ -251,7 +251,7 @@ def deduce_templates(
         (F.sum("main") > 0).alias("has_main"),
         F.collect_list(F.struct("slot", "words", "main", "linked", "fixed")).alias("found"),
     )
-    free = lambda s: (2 * s["linked"] < s["words"]) & (2 * s["fixed"] < s["words"])
+    free = lambda s: (2 * s["linked"] <= s["words"]) & (2 * s["fixed"] < s["words"])
     main = F.filter("found", lambda s: F.when(F.col("has_main"), s["main"] > 0).otherwise(free(s)))
     picked = chosen.select("site", "has_main", F.transform(main, lambda s: s["slot"]).alias("slots"))
     return valid.join(picked, "site")
@@ -278,7 +278,7 @@ def _main_text(page: str | None, template: tuple | None) -> str:
     wanted = MAIN if MAIN in o.areas else PLAIN
     return " ".join(
         text for text, area, links in zip(o.texts, o.areas, o.links)
-        if text and area == wanted and (wanted == MAIN or 2 * links < len(text.split()))
+        if text and area == wanted and (wanted == MAIN or 2 * links <= len(text.split()))
     )
 
 
