@@ -41,7 +41,7 @@ BYTE_PENALTY = 10.0
 #: Characters of the texts that are worked on together; a longer text is a batch of its own.
 BATCH_CHARS = 300_000
 #: Characters of distinct atoms whose lattices a task keeps from batch to batch, some 150 bytes each.
-KEPT_CHARS = 2_000_000
+KEPT_CHARS = 1_000_000
 _SPACE = "▁"
 _ATOM = re.compile(r"\n| *[^ \n]+| +")
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -186,6 +186,9 @@ class _Grown:
         self._data[self._size : size] = values
         self._size = size
 
+    def clear(self) -> None:
+        self._size = 0
+
     @property
     def now(self) -> np.ndarray:
         return self._data[: self._size]
@@ -200,23 +203,23 @@ class Lattices:
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
+        # By atom, by node, by node that is no end, and by edge.
+        self._grown = {n: _Grown(np.int32) for n in ("length", "first_node", "rank", "low", "high", "start", "end", "piece")}
+        self._grown |= {n: _Grown(np.float64) for n in ("log_share", "share", "upto")}
+        self._grown |= {n: _Grown(bool) for n in ("is_end", "single")}
         self._clear()
 
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
         # Ids of a character without a piece: its bytes.
         self.lone_ids: list[np.ndarray] = []
-        self._atoms = {n: _Grown(np.int64) for n in ("length", "first_node")}
-        self._nodes = {"is_end": _Grown(bool), "rank": _Grown(np.int64)}
-        self._ranks = {"low": _Grown(np.int64), "high": _Grown(np.int64)}
-        self._edges = {n: _Grown(np.int64) for n in ("start", "end", "piece")}
-        self._edges |= {n: _Grown(np.float64) for n in ("log_share", "share", "upto")} | {"single": _Grown(bool)}
+        for grown in self._grown.values():
+            grown.clear()
         self._look()
 
     def _look(self) -> None:
-        for group in (self._atoms, self._nodes, self._ranks, self._edges):
-            for name, grown in group.items():
-                setattr(self, name, grown.now)
+        for name, grown in self._grown.items():
+            setattr(self, name, grown.now)
 
     def numbers(self, atoms: list[str]) -> np.ndarray:
         """The number of each atom; lattices are built for those that have none yet."""
@@ -313,9 +316,8 @@ class Lattices:
             "end": nodes_before + end, "piece": piece_at, "log_share": log_share, "share": share, "upto": upto,
             "single": np.repeat(sizes == 1, sizes),
         }
-        for group in (self._atoms, self._nodes, self._ranks, self._edges):
-            for name, grown in group.items():
-                grown.add(added[name])
+        for name, grown in self._grown.items():
+            grown.add(added[name])
         self._look()
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:

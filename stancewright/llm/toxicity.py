@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from stancewright.llm.words import raw_texts
 
 #: Labelled rows that the chain is fitted on at most; the only rows that reach the driver.
+SAMPLE = 12_000
 #: Log odds of a category that nothing was learnt about.
 NEVER = -1_000.0
-SAMPLE = 12_000
 FOLDS = 5
 DIMENSIONS = 1 << 18
 #: Words per model, the ones most strongly tied to its category.

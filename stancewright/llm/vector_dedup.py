@@ -23,7 +23,9 @@ from stancewright.llm.scratch import written
 
 #: Vectors that the codebooks are fitted on at most; the only rows that reach the driver.
 SAMPLE = 20_000
-MAX_CODEWORDS = 256
+SAMPLE_BYTES = 64 << 20
+#: Codebooks grow with the table as far as the sample can place codewords.
+POINTS_PER_CODEWORD = 8
 CELL_VECTORS = 64
 BLOCK_VECTORS = 4096
 QUERY_BLOCK_VECTORS = 16_384
@@ -149,11 +151,13 @@ def _fingerprinter(batches):
 
 
 def _router(indexes: dict[int, MultiIndex]):
-    """Each vector as data in its own cell row, and as a query in every row that it visits."""
+    """Where each vector is data, its own cell, and where it is a query, all cells that it visits, by row.
+
+    Only numbers leave here; the vectors follow when their blocks are known.
+    """
     schema = pa.schema(
-        [("rep", pa.int64()), ("label", pa.string()), ("unit", pa.list_(pa.float64())),
-         ("dims", pa.int32()), ("row", pa.int32()), ("own_column", pa.int32()),
-         ("columns", pa.list_(pa.int32()))]
+        [("rep", pa.int64()), ("label", pa.string()), ("dims", pa.int32()), ("row", pa.int32()),
+         ("own_column", pa.int32()), ("columns", pa.list_(pa.int32()))]
     )
 
     def route(batches):
@@ -172,7 +176,7 @@ def _router(indexes: dict[int, MultiIndex]):
                     rows = [(own_i[n], own_j[n], None)]
                     rows += [(row, None, j[i == row]) for row in np.unique(i)]
                     for row, column, columns in rows:
-                        for name, value in zip(schema.names, (rep, label, units[n], d, row, column, columns)):
+                        for name, value in zip(schema.names, (rep, label, d, row, column, columns)):
                             out[name].append(value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out[f.name], f.type) for f in schema], schema=schema
@@ -251,7 +255,7 @@ def link_vectors(
     linked as one with its number of copies, so repeated rows cost nothing; rows that repeat
     an id count as different vectors if their contents differ. An empty table gives an empty
     one. Other columns are not read. ``sample`` bounds the rows that the codebooks are
-    fitted on; every row is indexed.
+    fitted on, and ``SAMPLE_BYTES`` their size; every row is indexed.
     """
     rows = vectors.select(
         F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{label_col}`").cast("string").alias("label"),
@@ -275,15 +279,16 @@ def link_vectors(
     }
     indexes = {}
     for dims, n in largest.items():
-        rows = reps.where(F.col("dims") == dims).orderBy(F.xxhash64("fp"), "rep").limit(sample).select("unit").collect()
+        most = min(sample, max(1, SAMPLE_BYTES // (8 * dims)))
+        rows = reps.where(F.col("dims") == dims).orderBy(F.xxhash64("fp"), "rep").limit(most).select("unit").collect()
         points = np.array([r["unit"] for r in rows])
-        codewords = min(MAX_CODEWORDS, max(8, round((n / CELL_VECTORS) ** 0.5)))
+        codewords = min(max(8, len(points) // POINTS_PER_CODEWORD), max(8, round((n / CELL_VECTORS) ** 0.5)))
         indexes[dims] = fit_index(points, codewords, threshold, recall)
     routed = reps.select("rep", "label", "unit", "dims").mapInArrow(
         _router(indexes),
-        "rep long, label string, unit array<double>, dims int, row int, own_column int, columns array<int>",
-    ).join(reps.select("rep", "copies"), "rep")
-    routed = written(routed, "routed-vectors")
+        "rep long, label string, dims int, row int, own_column int, columns array<int>",
+    )
+    routed = written(routed, "vector-routes")
     cell = ["label", "dims", "row"]
     is_data = F.col("own_column").isNotNull()
     sizes = routed.groupBy(*cell).agg(
@@ -296,7 +301,7 @@ def link_vectors(
     data = sized.where(is_data).withColumn("block", dealt("blocks")).withColumn("part", every("parts"))
     asked = sized.where(~is_data).withColumn("block", every("blocks")).withColumn("part", dealt("parts"))
     found = written(
-        data.unionByName(asked).groupBy(*cell, "block", "part")
+        data.unionByName(asked).join(reps.select("rep", "unit", "copies"), "rep").groupBy(*cell, "block", "part")
         .applyInArrow(_verifier(threshold), "a long, b long, n long"),
         "vector-links",
     )
