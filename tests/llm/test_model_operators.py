@@ -129,6 +129,51 @@ def test_chain_on_held_out_rows():
     assert (again.models[2].weights == chain.models[2].weights).all()
 
 
+def dense_model(x, earlier, truth):
+    """What ``fit_linear`` does, on a dense matrix and word by word."""
+    n, positive = len(truth), truth.sum()
+    score = []
+    for column in x.T:
+        df, both = column.sum(), (column * truth).sum()
+        expected = df * positive / n
+        spread = expected * (1 - positive / n) * (1 - df / n)
+        score.append((both - expected) ** 2 / spread if df >= 3 and spread > 0 else 0.0)
+    picked = sorted(c for c in sorted(range(len(score)), key=lambda c: (-score[c], c))[: toxicity.SELECTED] if score[c] > 0)
+    inputs = np.column_stack([x[:, picked], earlier, np.ones(n)])
+    share = min(max(truth.mean(), 0.5 / n), 1 - 0.5 / n)
+    weights = np.zeros(inputs.shape[1])
+    weights[-1] = np.log(share / (1 - share))
+    first, second = np.zeros_like(weights), np.zeros_like(weights)
+    for step in range(1, toxicity.ROUNDS + 1 if 0 < positive < n else 1):
+        gradient = inputs.T @ ((1 / (1 + np.exp(-(inputs @ weights))) - truth) / n)
+        gradient[:-1] += toxicity.L2 * weights[:-1] / np.sqrt(n)
+        first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient**2
+        weights = weights - 0.1 * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.99**step)) + 1e-10)
+    return lambda y, before: 1 / (1 + np.exp(-(np.column_stack([y[:, picked], before, np.ones(len(y))]) @ weights)))
+
+
+def test_chain_equals_a_dense_one():
+    rows, held = texts_with_labels(260, 5), texts_with_labels(60, 6)
+    features, others = ([toxicity.word_features(r[0]) for r in part] for part in (rows, held))
+    words = np.unique(np.concatenate(features))
+    dense = lambda part: np.array([np.isin(words, f) for f in part], float)
+    x, y = dense(features), dense(others)
+    truths = {n: np.array([r[1 + i] for r in rows], float) for i, n in enumerate(("rude", "vile", "toxic"))}
+    chain = toxicity.fit_chain(features, truths, folds=4)
+    earlier, found, fold = np.zeros((len(x), 0)), np.zeros((len(y), 0)), np.arange(len(x)) % 4
+    for truth in truths.values():
+        model, out = dense_model(x, earlier, truth), np.zeros(len(x))
+        for f in range(4):
+            inside = fold != f
+            out[~inside] = dense_model(x[inside], earlier[inside], truth[inside])(x[~inside], earlier[~inside])
+        found = np.column_stack([found, model(y, found)])
+        earlier = np.column_stack([earlier, out])
+    assert chain.predict(others) == pytest.approx(found, abs=1e-6)
+    # The cut is where F1 on the out-of-fold predictions is largest.
+    f1 = lambda cut: 2 * (truth * (out >= cut)).sum() / ((out >= cut).sum() + truth.sum())
+    assert f1(chain.cut) == pytest.approx(max(f1(c) for c in out))
+
+
 def test_chain_with_little_to_learn():
     one = toxicity.fit_chain([np.array([3], np.int32)], {"a": np.array([1]), "b": np.array([0])})
     assert one.predict([np.empty(0, np.int32)]).shape == (1, 2) and one.cut == 0.5
@@ -200,6 +245,31 @@ def test_url_model_on_held_out_rows(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
+def test_url_probabilities_equal_a_plain_scorer(spark):
+    """Every n-gram looked up by itself in the fitted weights, on odd and very long URLs too."""
+    rows = [(f"http://{w}{k}.test/{w[::-1]}/{k}", int(w == "casino")) for k in range(40) for w in ("casino", "school")]
+    model = url_filter.fit_urls(spark.createDataFrame(rows, "url string, blocked int"))
+    hashing, regression = model.stages
+    weights = regression.coefficients.toArray()
+    urls = ["http://casino7.test/x", "https://École.test", "http://a", "x", None, "http://h.test/" + "casino" * 2_000, "http:///p"]
+
+    def probability(host, path):
+        grams = set()
+        for mark, text in (("h", host), ("p", path)):
+            framed = f"^{text}$"
+            for n in (3, 4):
+                grams |= {mark + framed[i : i + n] for i in range(max(len(framed) - n + 1, 1))}
+        z = sum(weights[c] for c in {hashing.indexOf(g) for g in grams}) + regression.intercept
+        return 1 / (1 + math.exp(-z))
+
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = url_filter.judge_urls(pages, [], model).collect()
+    assert len(found) == len(urls)
+    for r in found:
+        assert r.p_block == pytest.approx(probability(r.host, r.path), abs=1e-9)
+        assert r.verdict == ("block" if r.p_block >= 0.5 else "allow") and r.rule is None
+
+
 # Licences
 
 
