@@ -1,8 +1,8 @@
 """Times the headline queries and prints one JSON line.
 
-Each query runs once to warm up and then ``REPEATS`` times; the median counts. Training jobs
-run once. A query is
-run to its end by the noop sink, which computes every column of every row.
+Each query runs once to warm up and then ``REPEATS`` times; the median counts. Jobs that train or
+write stores run once. A query is run to its end by the noop sink, which computes every column of
+every row.
 """
 
 from __future__ import annotations
@@ -28,10 +28,12 @@ HEADLINE = [
     "summarise_splits", "embed_documents", "embed_with_function", "pca_project",
     "predict_coverage", "embed_missing", "posts_csv_round_trip", "labelled_csv_round_trip",
     "embedding_store_round_trip", "score_table_round_trip", "months_of_mixed_dates",
+    "cleaning_audit_in_passing", "evaluate_two_classes",
 ]
-#: Training jobs, timed once each.
+#: Jobs that train or write stores, timed once each.
 HEAVY = [
     "train_and_score", "cross_validation", "epoch_log", "text_classifier", "classified_posts", "stream_scores",
+    "stream_raw_posts", "predict_stacked", "embed_by_content", "versioned_store_round_trip",
 ]
 
 

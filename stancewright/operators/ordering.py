@@ -69,7 +69,8 @@ def with_hash_rank(
     Rows are cut into ``16 ** digits`` slices by the leading hash digits. A stratum with a
     third of all rows is thus spread over all slices; the rank is the number of rows in
     lower slices plus the place inside the slice. The slice follows from the key alone, so
-    both readings of the input agree. Adds ``<name>_total``, the size of the stratum.
+    both readings of the input agree. Adds ``<name>_total``, the size of the stratum. A key that a
+    stratum has twice is an error: its rows would be ranked at random, and parted by a split.
     """
     # A struct compares its NULL fields as equal, so rows of a NULL stratum are ranked too.
     stratum = F.struct(*[col(n) for n in strata]) if strata else F.lit(0)
@@ -89,7 +90,12 @@ def with_hash_rank(
         )
     )
     inside = Window.partitionBy("_stratum", "_slice").orderBy("_hash", col(key))
-    ranked = hashed.withColumn("_at", F.row_number().over(inside) - 1)
+    message = F.concat(F.lit(f"{key} is not unique: "), F.coalesce(col(key).cast("string"), F.lit("NULL")))
+    repeated = (col("_at") > 0) & col("_before").eqNullSafe(col(key))
+    ranked = (
+        hashed.withColumns({"_at": F.row_number().over(inside) - 1, "_before": F.lag(col(key)).over(inside)})
+        .filter(F.when(repeated, F.raise_error(message).cast("boolean")).otherwise(True))
+    )
     return ranked.join(starts, ["_stratum", "_slice"]).select(
         *[col(n) for n in df.columns],
         (col("_start") + col("_at")).alias(name),

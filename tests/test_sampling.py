@@ -74,3 +74,16 @@ def test_training_frame(spark):
     df = spark.createDataFrame([("a", [1.0, 2.0], 0), ("b", [3.0, 4.0], None)], "code string, embedding array<float>, y int")
     row = sampling.training_frame(df, "y", weights=[(0, 0.5), (1, 2.0)]).collect()
     assert len(row) == 1 and row[0]["weight"] == 0.5 and list(row[0]["features"]) == [1.0, 2.0]
+
+
+def test_a_repeated_key_has_no_rank(spark):
+    from stancewright.operators.ordering import with_hash_rank
+
+    df = spark.createDataFrame([("a", 1), ("b", 1), ("a", 2)], "code string, x int")
+    with pytest.raises(Exception, match="code is not unique: a"):
+        with_hash_rank(df, "code", 1).collect()
+    # Once in each stratum is once.
+    assert with_hash_rank(df, "code", 1, ["x"]).count() == 3
+    missing = spark.createDataFrame([(None, 1), (None, 1), ("b", 1)], "code string, x int")
+    with pytest.raises(Exception, match="code is not unique: NULL"):
+        with_hash_rank(missing, "code", 1).collect()
