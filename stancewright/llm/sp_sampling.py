@@ -40,8 +40,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BYTE_PENALTY = 10.0
 #: Characters of the texts that are worked on together; a longer text is a batch of its own.
 BATCH_CHARS = 300_000
-#: Characters of distinct atoms whose lattices a task keeps from batch to batch, some 150 bytes each.
-KEPT_CHARS = 1_000_000
+#: Characters of distinct atoms whose lattices a task keeps from batch to batch, some 100 bytes each.
+KEPT_CHARS = 600_000
 _SPACE = "▁"
 _ATOM = re.compile(r"\n| *[^ \n]+| +")
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -180,7 +180,7 @@ class _Grown:
     def add(self, values: np.ndarray) -> None:
         size = self._size + len(values)
         if size > len(self._data):
-            grown = np.empty(2 * size, self._data.dtype)
+            grown = np.empty(size + size // 4, self._data.dtype)
             grown[: self._size] = self.now
             self._data = grown
         self._data[self._size : size] = values
