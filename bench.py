@@ -28,7 +28,7 @@ HEADLINE = [
     "summarise_splits", "embed_documents", "embed_with_function", "pca_project",
     "predict_coverage", "embed_missing", "posts_csv_round_trip", "labelled_csv_round_trip",
     "embedding_store_round_trip", "score_table_round_trip", "months_of_mixed_dates",
-    "cleaning_audit_in_passing", "evaluate_two_classes",
+    "evaluate_two_classes",
 ]
 #: Jobs that train or write stores, timed once each.
 HEAVY = [

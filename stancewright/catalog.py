@@ -382,14 +382,6 @@ def cleaning_audit(spark, d):
     return clean.cleaning_audit(before, clean.clean_labelled(before, **_SHEET_OPTIONS), MARKS)
 
 
-@query(_AUDIT)
-def cleaning_audit_in_passing(spark, d):
-    """The audit of a cleaned table that is written, without a second reading of either."""
-    cleaned, audit = clean.clean_watched(_sheet(spark, d), MARKS, **_SHEET_OPTIONS)
-    sources.write_posts(cleaned, scratch_path(spark, "cleaned"))
-    return audit.table(spark)
-
-
 def _corrections(spark: SparkSession, d: str) -> DataFrame:
     """Short posts are not of quality, posts in German are not toxic."""
     posts = table(spark, d, "documents")

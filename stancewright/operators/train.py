@@ -133,8 +133,12 @@ def train_labels(
 
 def _applied(df: DataFrame, models: Mapping, features: str = "features") -> DataFrame:
     """Adds ``_p0``, ``_p1``, ...: the class probabilities of each model on a vector column, in order."""
+    none = df.sparkSession.sparkContext._jvm.scala.Option.empty()
     for i, model in enumerate(models.values()):
         clf = model.copy()
+        # The summary of a fit holds the session, which tasks must not take along.
+        if getattr(clf, "hasSummary", False):
+            clf._java_obj.setSummary(none)
         clf.setFeaturesCol(features)
         clf.setProbabilityCol(f"_v{i}")
         # Unnamed outputs are not computed.

@@ -113,17 +113,3 @@ def test_corrections_with_a_hot_code(spark, hot):
     fixes = spark.createDataFrame([("same", "a", 0)], schemas.CORRECTIONS)
     out = clean.apply_corrections(df, fixes, ["a"])
     assert out.count() == hot and out.agg(F.sum("a")).first()[0] == 0
-
-
-def test_audit_in_passing_equals_the_audit(spark, tmp_path, rows):
-    df = spark.createDataFrame(
-        [("l/1", 1, 0.0), ("l/2", None, 1.0), ("l/3", 0, float("nan")), ("l/4", 1, 1.0)], "permalink string, x int, y double"
-    )
-    options = dict(required=["x", "y"], author_columns=[])
-    cleaned, audit = clean.clean_watched(df, ["x", "y"], **options)
-    cleaned.write.parquet(str(tmp_path / "cleaned"))
-    expected = clean.cleaning_audit(clean.null_out_nan(df), clean.clean_labelled(df, **options), ["x", "y"])
-    columns = ["stage", "n_rows", "label", "positives"]
-    assert rows(audit.table(spark), *columns) == rows(expected, *columns)
-    with pytest.raises(ValueError, match="watched already"):
-        audit.watch(df, "after")
