@@ -68,12 +68,15 @@ def drop_recurring_lines(
         F.collect_set(F.struct("line_no", "leaf")).alias("wanted")
     )
     picked = rows.join(wanted, "key").select("key", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
-    tokens = picked.select("key", "w.line_no", "w.leaf", _tokens(F.get("lines", F.col("w.line_no"))).alias("tokens"))
-    placed = written(
-        tokens.select("key", "line_no", "leaf", F.posexplode("tokens").alias("place", "token"))
-        .withColumn("token", _masked(F.col("token"))),
-        "leaf-tokens",
+    # From here on a line goes by a number of its own; the table fixes the numbers.
+    members = written(
+        picked.select(
+            "key", "w.line_no", "w.leaf", F.transform(_tokens(F.get("lines", F.col("w.line_no"))), _masked).alias("tokens"),
+            F.monotonically_increasing_id().alias("line"),
+        ),
+        "leaf-lines",
     )
+    placed = members.select("line", "leaf", F.posexplode("tokens").alias("place", "token"))
     at = ("leaf", "place", "token")
     # Without the hint a hot token of a hot leaf would be one task of the join.
     constant = own_shuffle(
@@ -81,16 +84,14 @@ def drop_recurring_lines(
         .where(F.col("n") >= min_docs).select(*at, F.lit(True).alias("constant"))
     )
     known = F.when(F.col("constant"), F.col("token")).otherwise(F.lit(WILD))
-    # A set, as rows that repeat id and text give each token again.
-    whole = (
-        placed.join(constant, list(at), "left").groupBy("key", "line_no")
-        .agg(F.sort_array(F.collect_set(F.struct("place", known.alias("token"))))["token"].alias("template"))
+    whole = placed.join(constant, list(at), "left").groupBy("line").agg(
+        F.sort_array(F.collect_list(F.struct("place", known.alias("token"))))["token"].alias("template")
     )
     n_wild = F.size(F.filter("template", lambda t: t == WILD))
     few = (n_wild <= max_wild * F.size("template")) & (n_wild < F.size("template"))
+    named = whole.where(few).select("line", F.sha2(F.array_join("template", " "), 256).alias("template"))
     templated = written(
-        whole.where(few).select("key", "line_no", F.sha2(F.array_join("template", " "), 256).alias("template")),
-        "line-templates",
+        members.select("line", "key", "line_no").join(named, "line").select("key", "line_no", "template"), "line-templates"
     )
     recurring = (
         templated.select("template", "key").distinct().groupBy("template")
