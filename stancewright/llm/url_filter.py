@@ -67,14 +67,12 @@ def rule_verdict(rule: Column, rules: Sequence[tuple[str, str]]) -> Column:
 def _grams(text: Column, mark: str) -> Column:
     """Character n-grams, edges marked, each tagged with the field it comes from."""
     framed = F.concat(F.lit("^"), text, F.lit("$"))
-    parts = [
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(framed) - n + 1, F.lit(1))),
-            lambda i, n=n: F.concat(F.lit(mark), F.substring(framed, i, F.lit(n))),
-        )
-        for n in GRAMS
-    ]
-    return F.concat(*parts)
+
+    def of_length(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(framed) - n + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.concat(F.lit(mark), F.substring(framed, i, F.lit(n))))
+
+    return F.concat(*[of_length(n) for n in GRAMS])
 
 
 def features(host: Column, path: Column) -> Column:
