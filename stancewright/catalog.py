@@ -1455,7 +1455,8 @@ def relevant_posts(spark, d):
 @query(f"SELECT doc_id, quality, toxic, CAST({STANCE} AS INTEGER) AS topic FROM labels")
 def stream_stance(spark, d):
     schema = table(spark, d, "labels").schema
-    stream = read_stream(spark, d, schema, pathGlobFilter="labels.parquet")
+    # A pattern, as the table may be one file or a folder of files: Spark takes a plain path for a folder.
+    stream = read_stream(spark, f"{d}/{{labels}}.parquet", schema, basePath=d)
     path, checkpoint = scratch_path(spark, "stances"), scratch_path(spark, "offsets")
     run_to_end(stance_stream(stream, TOPIC), path, checkpoint)
     return spark.read.parquet(path)

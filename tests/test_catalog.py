@@ -52,3 +52,16 @@ def test_query_without_sql_runs(spark, name):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_stream_of_a_table_in_several_files(spark, tmp_path, rows):
+    """A large table is a folder of files, which a stream has to find like a table of one file."""
+    labels = spark.createDataFrame(
+        [(1, 1, 0), (2, 0, 1), (3, 1, 1), (4, None, 0), (4, None, 0)], "doc_id bigint, quality int, toxic int"
+    )
+    labels.repartition(3).write.parquet(str(tmp_path / "labels.parquet"))
+    # Beside the table, as other tables are.
+    labels.write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["stream_stance"](spark, str(tmp_path))
+    expected = [(1, 1, 0, 1), (2, 0, 1, 0), (3, 1, 1, 2), (4, None, 0, 2), (4, None, 0, 2)]
+    assert rows(found, "doc_id", "quality", "toxic", "topic") == sorted(expected, key=repr)
