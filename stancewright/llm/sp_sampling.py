@@ -12,8 +12,8 @@ as it is. What is left beside the path at each piece joins the queue as one set,
 drawn below that of the path. The queue of a text is kept as one array per emitted path.
 
 Texts split into atoms at blanks and line ends, which no piece spans. The lattices of the
-distinct atoms of a batch are built together on arrays and kept for the next ones, and all draws of a batch advance in
-step. Noise is a hash of seed, row key, path and position, so a row's result does not depend
+distinct atoms of a batch are built together on arrays, those of frequent atoms are kept for the
+next ones, and all draws of a batch advance in step. Noise is a hash of seed, row key, path and position, so a row's result does not depend
 on the rows around it.
 
 The published model is a byte-pair one, without probabilities. A piece is therefore weighted by
@@ -24,7 +24,7 @@ character without a piece like the last place, times exp(-BYTE_PENALTY).
 from __future__ import annotations
 
 import functools
-import re
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,10 +40,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BYTE_PENALTY = 10.0
 #: Characters of the texts that are worked on together; a longer text is a batch of its own.
 BATCH_CHARS = 300_000
-#: Characters of distinct atoms whose lattices a task keeps from batch to batch, some 100 bytes each.
-KEPT_CHARS = 600_000
+#: Characters of distinct atoms whose lattices a task keeps from batch to batch, some 70 bytes each.
+KEPT_CHARS = 1_200_000
 _SPACE = "▁"
-_ATOM = re.compile(r"\n| *[^ \n]+| +")
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -110,7 +109,7 @@ class Pieces:
 
     def next_states(self, state: np.ndarray, character: np.ndarray) -> np.ndarray:
         """Where each state leads to, -1 for nowhere."""
-        key = state << 21 | character
+        key = state.astype(np.int64) << 21 | character
         slot = _slots(key, len(self.keys))
         found = self.keys[slot]
         out = np.where(found == key, self.states[slot], -1)
@@ -186,8 +185,9 @@ class _Grown:
         self._data[self._size : size] = values
         self._size = size
 
-    def clear(self) -> None:
+    def put(self, values: np.ndarray) -> None:
         self._size = 0
+        self.add(values)
 
     @property
     def now(self) -> np.ndarray:
@@ -197,124 +197,135 @@ class _Grown:
 class Lattices:
     """Edges of the lattices of distinct atoms, by start node, with their conditional shares.
 
-    Atoms are added batch by batch; those of earlier batches are at hand until there are over
-    ``KEPT_CHARS`` characters of them.
+    Atoms are added batch by batch. Once there are over ``KEPT_CHARS`` characters of them, the
+    next batch first drops those that were used least, down to half as many characters.
+
+    The nodes of atoms added together are numbered by their distance to the end, ends first, and
+    longer atoms first where it is equal. So the edges onward of one distance are one slice.
     """
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
-        # By atom, by node, by node that is no end, and by edge.
-        self._grown = {n: _Grown(np.int32) for n in ("length", "first_node", "rank", "low", "high", "start", "end", "piece")}
-        self._grown |= {n: _Grown(np.float64) for n in ("log_share", "share", "upto")}
-        self._grown |= {n: _Grown(bool) for n in ("is_end", "single")}
-        self._clear()
-
-    def _clear(self) -> None:
+        # By atom, by node, and by edge.
+        self._grown = {n: _Grown(np.int32) for n in ("length", "entry", "uses", "left", "owner", "low", "high", "end", "piece")}
+        self._grown |= {n: _Grown(np.float64) for n in ("log_share", "upto")}
         self.index: dict[str, int] = {}
-        # Ids of a character without a piece: its bytes.
-        self.lone_ids: list[np.ndarray] = []
-        for grown in self._grown.values():
-            grown.clear()
         self._look()
 
     def _look(self) -> None:
         for name, grown in self._grown.items():
             setattr(self, name, grown.now)
 
-    def numbers(self, atoms: list[str]) -> np.ndarray:
+    def numbers(self, atoms: pa.Array) -> np.ndarray:
         """The number of each atom; lattices are built for those that have none yet."""
-        distinct = dict.fromkeys(atoms)
-        new = [a for a in distinct if a not in self.index]
-        if len(self.is_end) + sum(map(len, new)) > KEPT_CHARS and self.index:
-            self._clear()
-            new = list(distinct)
-        if new:
-            self._build(new)
-        return np.fromiter(map(self.index.__getitem__, atoms), np.int64, len(atoms))
-
-    def _build(self, atoms: list[str]) -> None:
-        pieces, first_atom, first_edge, first_rank = self.pieces, len(self.length), len(self.start), len(self.low)
-        nodes_before, lone_before = len(self.is_end), len(self.lone_ids)
-        self.index.update(zip(atoms, range(first_atom, first_atom + len(atoms))))
-        lengths = np.array([len(a) for a in atoms], np.int64)
-        text = np.frombuffer("".join(atoms).encode("utf-32-le"), np.uint32).astype(np.int64)
-        atom = np.repeat(np.arange(len(atoms)), lengths)
-        starts = np.cumsum(lengths) - lengths
-        place = np.arange(len(text)) - starts[atom]
-        left = lengths[atom] - place
-        first_node = starts + np.arange(len(atoms))
-        node = first_node[atom] + place
-        at, state = np.arange(len(text)), np.zeros(len(text), np.int64)
-        found, edges = [], np.zeros(len(text), np.int64)
-        length = 0
+        if len(self.left) > KEPT_CHARS:
+            self._drop_rare()
+        coded = atoms.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False)
+        numbers = np.fromiter(map(self.index.get, distinct, itertools.repeat(-1)), np.int32, len(distinct))
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            numbers[new] = np.arange(len(self.index), len(self.index) + len(new))
+            self.index.update(zip(distinct[new], numbers[new].tolist()))
+            self._build(distinct[new])
+        found = numbers[coded.indices.to_numpy()]
+        self.uses += np.bincount(found, minlength=len(self.index)).astype(np.int32)
+        return found
+
+    def _drop_rare(self) -> None:
+        often = np.argsort(-self.uses, kind="stable")
+        often = often[np.cumsum(self.length[often] + 1) <= KEPT_CHARS // 2]
+        stays = np.zeros(len(self.uses), bool)
+        stays[often[self.uses[often] > 1]] = True
+        atoms, nodes = np.flatnonzero(stays), np.flatnonzero(stays[self.owner])
+        sizes = self.high - self.low
+        edges = np.flatnonzero(np.repeat(stays[self.owner], sizes))
+        node, atom = np.empty(len(self.left), np.int32), np.cumsum(stays) - 1
+        node[nodes] = np.arange(len(nodes))
+        sizes = sizes[nodes]
+        high = np.cumsum(sizes)
+        left = {
+            "length": self.length[atoms], "entry": node[self.entry[atoms]], "uses": self.uses[atoms] // 2,
+            "left": self.left[nodes], "owner": atom[self.owner[nodes]], "low": high - sizes, "high": high,
+            "end": node[self.end[edges]], "piece": self.piece[edges], "log_share": self.log_share[edges],
+            "upto": self.upto[edges],
+        }
+        self.index = dict(zip(itertools.compress(self.index, stays.tolist()), itertools.count()))
+        for name, grown in self._grown.items():
+            grown.put(left[name])
+        self._look()
+
+    def _build(self, atoms: np.ndarray) -> None:
+        pieces, first_atom, first_node, first_edge = self.pieces, len(self.length), len(self.left), len(self.end)
+        lengths = np.fromiter(map(len, atoms), np.int32, len(atoms))
+        order = np.argsort(-lengths, kind="stable")
+        text = np.frombuffer("".join(atoms[order]).encode("utf-32-le"), np.int32)
+        n, longest = len(atoms), int(lengths.max())
+        # By distance to the end: how many nodes, and which is the first one.
+        widths = np.cumsum(np.bincount(lengths, minlength=longest + 1)[::-1])[::-1]
+        level = np.append(0, np.cumsum(widths))
+        n_nodes = int(level[-1])
+        left = np.repeat(np.arange(longest + 1, dtype=np.int32), widths)
+        node = np.arange(n_nodes, dtype=np.int32)
+        rank = node - np.repeat(level[:-1].astype(np.int32), widths)
+        character = np.zeros(n_nodes, np.int32)
+        character[n:] = text[(np.cumsum(lengths[order], dtype=np.int32)[rank] - left)[n:]]
+        # The node one character on.
+        onto = node.copy()
+        onto[n:] -= np.repeat(widths[:-1].astype(np.int32), widths[1:])
+        at = end = node[n:]
+        state, found, edges = np.zeros(len(at), np.int32), [], np.zeros(n_nodes, np.int32)
         while len(at):
-            state = pieces.next_states(state, text[at + length])
-            ok = state >= 0
-            at, state = at[ok], state[ok]
-            length += 1
-            whole = pieces.final[state] >= 0
-            # Which edge of its place each one is; shorter pieces come first.
-            found.append((at[whole], edges[at[whole]], np.full(whole.sum(), length), pieces.final[state[whole]]))
-            edges[at[whole]] += 1
-            more = left[at] > length
-            at, state = at[more], state[more]
-        # A character without a piece is encoded as its bytes.
-        alone = np.ones(len(text), bool)
-        if found:
-            alone[found[0][0]] = False
-        lone = np.flatnonzero(alone)
-        n_bytes = 1 + (text[lone] > 0x7F) + (text[lone] > 0x7FF) + (text[lone] > 0xFFFF)
-        self.lone_ids += [pieces.byte_ids[list(chr(c).encode("utf-8", "surrogatepass"))] for c in text[lone]]
-        # By distance to the end, then place, then span, so that edges onward come first.
-        near = np.argsort(left.astype(np.uint16) if left.max(initial=0) < 1 << 16 else left, kind="stable")
-        edges += alone
-        slots = np.empty(len(text), np.int64)
-        slots[near] = np.cumsum(edges[near]) - edges[near]
-        n_edges = int(edges.sum())
-        at, span, piece_at = (np.empty(n_edges, np.int64) for _ in range(3))
-        weight = np.empty(n_edges)
-        for where, number, length, piece in found:
-            # Longer pieces come behind the byte edge where the shortest one is missing.
-            slot = slots[where] + number + alone[where]
-            at[slot], span[slot], piece_at[slot], weight[slot] = where, length, piece, pieces.weight[piece]
-        slot = slots[lone]
-        at[slot], span[slot], piece_at[slot] = lone, 1, -1 - lone_before - np.arange(len(lone))
-        weight[slot] = n_bytes * pieces.byte_weight
-        start, end = node[at], node[at] + span
-        n_nodes = len(text) + len(atoms)
-        is_end = np.zeros(n_nodes, bool)
-        is_end[first_node + lengths] = True
+            state = pieces.next_states(state, character[end])
+            ok = np.flatnonzero(state >= 0)
+            at, state, end = at[ok], state[ok], onto[end[ok]]
+            piece = pieces.final[state]
+            whole = np.flatnonzero(piece >= 0)
+            where = at[whole]
+            # Which edge of its node each one is; shorter pieces come first.
+            number = edges[where]
+            found.append((where, number, end[whole], piece[whole]))
+            edges[where] = number + 1
+            if len(found) == 1:
+                # A character without a piece is encoded as its bytes.
+                lone = n + np.flatnonzero(edges[n:] == 0)
+                edges[lone] = 1
+            more = np.flatnonzero(end >= n)
+            at, state, end = at[more], state[more], end[more]
+        high = np.cumsum(edges, dtype=np.int32)
+        low = high - edges
+        n_edges = int(high[-1])
+        end, piece = np.empty(n_edges, np.int32), np.empty(n_edges, np.int32)
+        for where, number, onward, which in found:
+            slot = low[where] + number
+            end[slot], piece[slot] = onward, which
+        slot, code = low[lone], character[lone]
+        end[slot], piece[slot] = onto[lone], -1 - code
+        weight = pieces.weight[np.maximum(piece, 0)]
+        weight[slot] = (1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)) * pieces.byte_weight
         # Log mass of all ways from a node to the end of its atom, nearest nodes first.
-        onward = np.zeros(n_nodes)
-        new = np.flatnonzero(np.append(True, start[1:] != start[:-1]))[: len(at)]
-        rank_left = left[at[new]]
-        cuts = np.append(np.flatnonzero(np.append(True, rank_left[1:] != rank_left[:-1]))[: len(new)], len(new))
-        ends = np.append(new, len(at))
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            low, high = ends[a], ends[b]
-            value = weight[low:high] + onward[end[low:high]]
-            heads = new[a:b] - low
-            top = np.maximum.reduceat(value, heads)
-            sizes = np.diff(np.append(heads, high - low))
-            total = np.add.reduceat(np.exp(value - np.repeat(top, sizes)), heads)
-            onward[start[new[a:b]]] = top + np.log(total)
-        log_share = weight + onward[end] - onward[start]
-        share = np.exp(log_share)
-        # Position of a draw: number of the node in edge order plus a number in [0, 1).
-        rank = np.zeros(n_nodes, np.int64)
-        rank[start[new]] = first_rank + np.arange(len(new))
-        bounds = np.append(new, len(at))
-        sums = np.cumsum(share)
-        before = np.append(0, sums)[new]
-        sizes = np.diff(bounds)
-        inside = sums - np.repeat(before, sizes)
-        inside[bounds[1:] - 1] = 1.0
-        upto = np.repeat(first_rank + np.arange(len(new)), sizes) + np.minimum(inside, 1.0)
+        mass, value = np.zeros(n_nodes), weight
+        cuts = level.tolist()
+        bounds = np.append(low, n_edges)[level].tolist()
+        for t in range(1, longest + 1):
+            a, b, i, j = cuts[t], cuts[t + 1], bounds[t], bounds[t + 1]
+            here = value[i:j]
+            here += mass[end[i:j]]
+            heads = low[a:b] - i
+            top = np.maximum.reduceat(here, heads)
+            total = np.add.reduceat(np.exp(here - np.repeat(top, edges[a:b])), heads)
+            mass[a:b] = top + np.log(total)
+        log_share = value - np.repeat(mass, edges)
+        # Where the share of each edge ends among those of its node.
+        sums = np.append(0, np.cumsum(np.exp(log_share)))
+        upto = np.minimum(sums[1:] - np.repeat(sums[low], edges), 1.0)
+        upto[high[n:] - 1] = 1.0
+        entry = np.empty(n, np.int64)
+        entry[order] = level[lengths[order]] + np.arange(n)
         added = {
-            "length": lengths, "first_node": nodes_before + first_node, "is_end": is_end, "rank": rank,
-            "low": first_edge + bounds[:-1], "high": first_edge + bounds[1:], "start": nodes_before + start,
-            "end": nodes_before + end, "piece": piece_at, "log_share": log_share, "share": share, "upto": upto,
-            "single": np.repeat(sizes == 1, sizes),
+            "length": lengths, "entry": first_node + entry, "uses": np.zeros(n, np.int32), "left": left,
+            "owner": first_atom + order[rank], "low": first_edge + low, "high": first_edge + high,
+            "end": first_node + end, "piece": piece, "log_share": log_share, "upto": upto,
         }
         for name, grown in self._grown.items():
             grown.add(added[name])
@@ -322,87 +333,110 @@ class Lattices:
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """For each node an edge, by its share."""
-        rank = self.rank[node]
-        # The sum may round up to the next node.
-        edge, drawn = self.low[rank], np.minimum(rank + u, np.nextafter(rank + 1.0, 0))
+        edge = self.low[node]
         # Nodes have few edges, and most draws end at the first ones.
-        open_ = np.flatnonzero(self.upto[edge] <= drawn)
+        open_ = np.flatnonzero(self.upto[edge] <= u)
+        u = u[open_]
         while len(open_):
-            edge[open_] += 1
-            open_ = open_[self.upto[edge[open_]] <= drawn[open_]]
+            further = edge[open_] + 1
+            edge[open_] = further
+            on = np.flatnonzero(self.upto[further] <= u)
+            open_, u = open_[on], u[on]
         return edge
 
+    def nodes_of(self, edges: np.ndarray) -> np.ndarray:
+        """Where edges start. Ends have no edges; they stand before the nodes of the same ``low``."""
+        return np.searchsorted(self.low, edges.astype(np.int32), "right") - 1
+
     def log_rest(self, edge: np.ndarray) -> np.ndarray:
-        """Log share of the other edges of the same node."""
+        """Log share of the other edges of the same node; an only edge has a log share of 0."""
         with np.errstate(divide="ignore"):
-            rest = np.log(np.maximum(-np.expm1(np.minimum(self.log_share[edge], 0)), 0))
-        return np.where(self.single[edge], -np.inf, rest)
+            return np.log(np.maximum(-np.expm1(np.minimum(self.log_share[edge], 0)), 0))
 
-    def ids(self, edges: np.ndarray) -> np.ndarray:
-        pieces = self.piece[edges]
-        if (pieces >= 0).all():
-            return pieces
+    def ids(self, edges: list[np.ndarray]) -> list[np.ndarray]:
+        """The ids of each path."""
+        bounds = np.cumsum([0, *map(len, edges)])
+        pieces = self.piece[np.concatenate(edges)]
         lone = np.flatnonzero(pieces < 0)
-        counts = np.ones(len(pieces), np.int64)
-        counts[lone] = [len(self.lone_ids[-1 - p]) for p in pieces[lone]]
-        out = np.repeat(pieces, counts)
-        out[out < 0] = np.concatenate([self.lone_ids[-1 - p] for p in pieces[lone]])
-        return out
+        if len(lone):
+            code = -1 - pieces[lone]
+            counts = np.ones(len(pieces), np.int64)
+            counts[lone] += (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF)
+            bounds = np.append(0, np.cumsum(counts))[bounds]
+            pieces = np.repeat(pieces, counts)
+            text = code.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+            pieces[pieces < 0] = self.pieces.byte_ids[np.frombuffer(text, np.uint8)]
+        cuts = bounds.tolist()
+        return [pieces[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def _atoms(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The atoms of all texts, and how many each text has; a text that is not empty gets a blank before it.
+
+    An atom is a line end, or a word with the blanks before it, or blanks that no word follows.
+    """
+    raw = [(" " + t).encode() if t else b"" for t in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+    first = np.cumsum(sizes) - sizes
+    blank, line = data == 0x20, data == 0x0A
+    begins = line | blank
+    begins[1:] &= ~(blank[1:] & blank[:-1])
+    begins[1:] |= line[:-1]
+    begins[first[sizes > 0]] = True
+    at = np.flatnonzero(begins)
+    counts = np.diff(np.searchsorted(at, np.append(first, len(data))))
+    bounds = pa.py_buffer(np.append(at, len(data)))
+    return pa.LargeStringArray.from_buffers(len(at), bounds, pa.py_buffer(data)), counts
 
 
 class _Batch:
     """All texts of a batch, their atoms end to end."""
 
     def __init__(self, texts: list[str], seeds: np.ndarray, lattices: Lattices) -> None:
-        atoms, counts = [], []
-        for text in texts:
-            found = _ATOM.findall(" " + text) if text else []
-            atoms.extend(found)
-            counts.append(len(found))
+        atoms, counts = _atoms(texts)
         self.atom = lattices.numbers(atoms)
-        self.lattices = lattices if atoms else None
-        self.doc = np.repeat(np.arange(len(texts)), counts)
+        self.lattices = lattices if len(atoms) else None
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), counts)
         self.bounds = np.concatenate([[0], np.cumsum(counts)])
-        self.seeds = seeds
-        sizes = lattices.length[self.atom]
-        before = np.cumsum(sizes) - sizes
-        # Place of the atom in its text, in characters.
-        self.place = before - np.append(before, 0)[self.bounds[:-1]][self.doc] if len(atoms) else before
-
-    def follow(self, atom_at: np.ndarray, node: np.ndarray, path: int) -> tuple[np.ndarray, np.ndarray]:
-        """Edges drawn from the given nodes to the ends of their atoms, in order, and their atom."""
+        self.seeds = seeds[self.doc]
+        # Where the atom ends in its text, in characters.
+        ends = np.append(0, np.cumsum(lattices.length[self.atom], dtype=np.int64))
+        self.until = ends[1:] - ends[self.bounds[:-1]][self.doc]
+
+    def follow(self, atom_at: np.ndarray, node: np.ndarray, path: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Edges drawn from the given nodes to the ends of their atoms, in order, their atom and place."""
         lat = self.lattices
-        where, edges, steps = [], [], []
-        step = 0
+        where, edges, places = [], [], []
         # Like atoms side by side: their edges are near each other.
-        like = np.argsort(self.atom[atom_at], kind="stable")
+        like = np.argsort(node)
         atom_at, node = atom_at[like], node[like]
         while len(atom_at):
-            doc = self.doc[atom_at]
-            place = self.place[atom_at] + node - lat.first_node[self.atom[atom_at]]
-            edge = lat.draw(node, _uniform(self.seeds[doc], 2 * path, place))
+            place = self.until[atom_at] - lat.left[node]
+            edge = lat.draw(node, _uniform(self.seeds[atom_at], 2 * path, place))
             where.append(atom_at)
             edges.append(edge)
-            steps.append(np.full(len(edge), step))
+            places.append(place)
             node = lat.end[edge]
-            on = ~lat.is_end[node]
+            on = np.flatnonzero(lat.left[node])
             atom_at, node = atom_at[on], node[on]
-            step += 1
-        if not where:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        where, edges, steps = (np.concatenate(x) for x in (where, edges, steps))
-        counts = np.bincount(where, minlength=len(self.atom))
-        slot = (np.cumsum(counts) - counts)[where] + steps
-        out = np.empty(len(edges), np.int64)
-        out[slot] = edges
-        return out, np.repeat(np.arange(len(counts)), counts)
-
-    def beside(self, edges: np.ndarray, atom_at: np.ndarray, before: np.ndarray, bound: np.ndarray, path: int) -> np.ndarray:
+        counts = np.zeros(len(self.atom), np.int64)
+        for at in where:
+            counts[at] += 1
+        first = np.cumsum(counts) - counts
+        n = int(counts.sum())
+        out, place_at = np.empty(n, np.int32), np.empty(n, np.int64)
+        for step, at in enumerate(where):
+            slot = first[at] + step
+            out[slot], place_at[slot] = edges[step], places[step]
+        return out, np.repeat(np.arange(len(counts)), counts), place_at
+
+    def beside(
+        self, edges: np.ndarray, atom_at: np.ndarray, place: np.ndarray, before: np.ndarray, bound: np.ndarray, path: int
+    ) -> np.ndarray:
         """Maxima of what is left beside a path at each of its pieces."""
-        lat = self.lattices
-        place = self.place[atom_at] + lat.start[edges] - lat.first_node[self.atom[atom_at]]
-        u = _uniform(self.seeds[self.doc[atom_at]], 2 * path + 1, place)
-        return _below(before + lat.log_rest(edges), bound, u)
+        u = _uniform(self.seeds[atom_at], 2 * path + 1, place)
+        return _below(before + self.lattices.log_rest(edges), bound, u)
 
 
 @dataclass
@@ -433,15 +467,15 @@ def sample_batch(
     batch = _Batch(texts, seeds, lattices or Lattices(pieces))
     lat = batch.lattices
     every = np.arange(len(batch.atom))
-    edges, atom_at = (
-        batch.follow(every, lat.first_node[batch.atom], 0) if lat else (np.empty(0, np.int64),) * 2
+    edges, atom_at, place = (
+        batch.follow(every, lat.entry[batch.atom], 0) if lat else (np.empty(0, np.int64),) * 3
     )
     doc = batch.doc[atom_at]
     bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
     root = -np.log(-np.log(_uniform(seeds, 0, np.full(len(texts), -2, np.int64))))
     steps = lat.log_share[edges] if lat else np.empty(0)
     before = _sums(steps, bounds)
-    beside = batch.beside(edges, atom_at, before, root[doc], 0) if lat else before
+    beside = batch.beside(edges, atom_at, place, before, root[doc], 0) if lat else before
     queues: list[list[_Path]] = []
     for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
         total = float(before[b - 1] + steps[b - 1]) if b > a else 0.0
@@ -453,70 +487,63 @@ def sample_batch(
         return (float(top), n, int(paths[n].beside.argmax())) if top > -np.inf else None
 
     for r in range(1, k):
-        split, heads, tail_atoms, tail_nodes = [], [], [], []
-        for i, paths in enumerate(queues):
-            top = best(paths)
-            if top is None or len(paths) < r:
-                continue
-            noisy, n, t = top
-            path = paths[n]
+        tops = [(i, *top) for i, paths in enumerate(queues) if len(paths) >= r and (top := best(paths))]
+        if not tops:
+            break
+        who, noisy = np.array([x[0] for x in tops]), np.array([x[1] for x in tops])
+        cut_at = np.array([x[3] for x in tops])
+        chosen = _uniform(seeds[who], 1_000_000 + 2 * r, cut_at).tolist()
+        split = lat.nodes_of(np.array([queues[i][n].edges[t] for i, _, n, t in tops]))
+        heads, rests, tail_atoms, tail_nodes = [], [], [], []
+        for (i, _, n, t), u, low, high in zip(tops, chosen, lat.low[split].tolist(), lat.high[split].tolist()):
+            path = queues[i][n]
             taken = path.taken.setdefault(t, [int(path.edges[t])])
-            node = lat.start[path.edges[t]]
-            low, high = lat.low[lat.rank[node]], lat.high[lat.rank[node]]
             others = np.array([e for e in range(low, high) if e not in taken])
-            share = lat.share[others]
-            place = np.array([t])
-            u = _uniform(seeds[i : i + 1], 1_000_000 + 2 * r, place)[0]
+            share = np.exp(lat.log_share[others])
             cut = np.cumsum(share)
-            edge = int(others[min(np.searchsorted(cut, u * cut[-1], "right"), len(others) - 1)])
+            drawn = min(np.searchsorted(cut, u * cut[-1], "right"), len(others) - 1)
+            rest = share.sum() - share[drawn]
+            rests.append(path.before[t] + np.log(rest) if len(others) > 1 and rest > 0 else -np.inf)
+            edge = int(others[drawn])
             taken.append(edge)
-            rest = share.sum() - lat.share[edge]
-            location = path.before[t] + np.log(rest) if len(others) > 1 and rest > 0 else -np.inf
-            u = _uniform(seeds[i : i + 1], 1_000_001 + 2 * r, place)[0]
-            if not path.beside.flags.writeable or path.beside.base is not None:
-                path.beside = path.beside.copy()
-            path.beside[t] = _below(location, noisy, u)
             # The atom of piece t: the pieces before it tell how many atoms have ended.
-            done = int(lat.is_end[lat.end[path.edges[:t]]].sum())
-            at = batch.bounds[i] + done
-            inside = [] if lat.is_end[lat.end[edge]] else [at]
-            after = np.arange(at + 1, batch.bounds[i + 1])
-            tail_atoms.append(np.concatenate([np.array(inside, np.int64), after]))
-            tail_nodes.append(np.concatenate(
-                [np.array([lat.end[edge]] if inside else [], np.int64), lat.first_node[batch.atom[after]]]
-            ))
-            split.append((i, n, t, noisy))
+            at = batch.bounds[i] + t - np.count_nonzero(lat.left[lat.end[path.edges[:t]]])
+            inside = lat.left[lat.end[edge]] > 0
+            after = np.arange(at if inside else at + 1, batch.bounds[i + 1])
+            nodes = lat.entry[batch.atom[after]]
+            if inside:
+                nodes[0] = lat.end[edge]
+            tail_atoms.append(after)
+            tail_nodes.append(nodes)
             heads.append(edge)
-        if not split:
-            break
-        edges, atom_at = batch.follow(np.concatenate(tail_atoms), np.concatenate(tail_nodes), r)
+        left = _below(np.array(rests), noisy, _uniform(seeds[who], 1_000_001 + 2 * r, cut_at))
+        edges, atom_at, place = batch.follow(np.concatenate(tail_atoms), np.concatenate(tail_nodes), r)
         doc = batch.doc[atom_at]
-        who = np.array([s[0] for s in split])
         low, high = np.searchsorted(doc, who), np.searchsorted(doc, who, "right")
-        entry = np.array([
-            queues[i][n].before[t] + lat.log_share[e] for (i, n, t, _), e in zip(split, heads)
-        ])
+        entry = np.array([queues[i][n].before[t] for i, _, n, t in tops]) + lat.log_share[heads]
         bounds = np.append(low, len(doc))
         steps = lat.log_share[edges]
         before = _sums(steps, bounds) + np.repeat(entry, high - low)
-        bound = np.repeat(np.array([s[3] for s in split]), high - low)
-        beside = batch.beside(edges, atom_at, before, bound, r)
-        for (i, n, t, noisy), edge, first, a, b in zip(split, heads, entry, low, high):
+        beside = batch.beside(edges, atom_at, place, before, np.repeat(noisy, high - low), r)
+        for (i, top, n, t), edge, rest, first, a, b in zip(tops, heads, left, entry, low, high):
             path = queues[i][n]
+            if not path.beside.flags.writeable or path.beside.base is not None:
+                path.beside = path.beside.copy()
+            path.beside[t] = rest
             total = float(before[b - 1] + steps[b - 1]) if b > a else float(first)
             queues[i].append(_Path(
                 np.concatenate([path.edges[:t], [edge], edges[a:b]]), total,
                 np.concatenate([path.before[: t + 1], before[a:b]]),
-                np.concatenate([np.full(t + 1, -np.inf), beside[a:b]]), {}, noisy,
+                np.concatenate([np.full(t + 1, -np.inf), beside[a:b]]), {}, top,
             ))
-    results = []
+    results, ids = [], iter(lat.ids([p.edges for paths in queues for p in paths]) if lat else ())
     for paths in queues:
         top = best(paths)
         found = []
         for p in paths:
             gap = p.log_prob - top[0] if top else np.inf
             score = gap if gap < -30 else float(np.log(-np.expm1(-np.exp(min(gap, 700.0)))))
-            found.append((lat.ids(p.edges) if len(p.edges) else p.edges, p.log_prob, score))
+            found.append((next(ids, p.edges), p.log_prob, score))
         results.append(found)
     return results
 

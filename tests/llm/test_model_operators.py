@@ -4,6 +4,7 @@ import importlib.util
 import math
 import os
 import random
+import re
 from collections import Counter
 from itertools import product
 from pathlib import Path
@@ -503,6 +504,33 @@ def test_pieces_agree_with_the_library(pieces):
             assert model.decode(ids.tolist()) == sp_sampling.decode(ids, pieces)
 
 
+def test_atoms_are_line_ends_and_words_with_their_blanks():
+    texts = ["", "a", " a  b", "a \n\n  b \n", "\n", "   ", "é\u2028ü\t\0 汉 😀\r\n x", "", "  \n  "]
+    atoms, counts = sp_sampling._atoms(texts)
+    expected = [re.findall(r"\n| *[^ \n]+| +", " " + t) if t else [] for t in texts]
+    assert atoms.to_pylist() == [a for found in expected for a in found]
+    assert counts.tolist() == [len(found) for found in expected]
+    empty, none = sp_sampling._atoms(["", ""])
+    assert len(empty) == 0 and none.tolist() == [0, 0]
+
+
+def test_lattices_of_frequent_atoms_outlast_the_rare_ones(pieces, monkeypatch):
+    """Rare words of many batches come and go; common ones are built once, and no sample depends on it."""
+    common = ["some", "common", "words", "é", "\U0001f600x"]
+    texts = [" ".join(f"{w} rare{i}n{j}" for j, w in enumerate(common * 4)) for i in range(40)]
+    seeds = sp_sampling.row_seeds(list(range(len(texts))), 1)
+    alone = [sp_sampling.sample_batch([t], seeds[i : i + 1], pieces, 3)[0] for i, t in enumerate(texts)]
+    monkeypatch.setattr(sp_sampling, "KEPT_CHARS", 1_000)
+    built, build = Counter(), sp_sampling.Lattices._build
+    monkeypatch.setattr(sp_sampling.Lattices, "_build", lambda self, atoms: (built.update(atoms), build(self, atoms))[1])
+    lattices = sp_sampling.Lattices(pieces)
+    for i, text in enumerate(texts):
+        found = sp_sampling.sample_batch([text], seeds[i : i + 1], pieces, 3, lattices)[0]
+        assert [tuple(s[0]) for s in found] == [tuple(s[0]) for s in alone[i]]
+        assert [s[1:] for s in found] == [pytest.approx(s[1:]) for s in alone[i]]
+    assert len(built) == 5 + 40 * 20 and {built[f" {w}"] for w in common} == {1}
+
+
 def test_segmentation_tables(spark, pieces):
     rows = [(1, "some text here", "c"), (1, "some text here", "d"), (2, None, "e"), (3, "", "f"), (None, "other text", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
