@@ -40,7 +40,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BYTE_PENALTY = 10.0
 #: Characters of the texts that are worked on together; a longer text is a batch of its own.
 BATCH_CHARS = 300_000
-#: Characters of distinct atoms whose lattices a task keeps from batch to batch, some 70 bytes each.
+#: Characters of distinct atoms whose lattices a task keeps from batch to batch, some 90 bytes each.
 KEPT_CHARS = 1_200_000
 _SPACE = "▁"
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
