@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import mmap
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,6 +43,8 @@ BYTE_PENALTY = 10.0
 BATCH_CHARS = 300_000
 #: Characters of distinct atoms whose lattices a task keeps from batch to batch, some 90 bytes each.
 KEPT_CHARS = 1_200_000
+#: Characters of atoms whose lattices are built at once, some 500 bytes each while that lasts; a longer atom is built alone.
+BUILD_CHARS = 30_000
 _SPACE = "▁"
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -171,15 +174,20 @@ def _below(location, bound, u):
 
 
 class _Grown:
-    """An array that grows at its end; ``now`` is what it holds."""
+    """An array that grows at its end; ``now`` is what it holds.
+
+    It lies in memory mapped for it alone, which goes back to the system when it is outgrown or given up;
+    on the heap the holes that growing leaves would stay with the worker, task after task.
+    """
 
     def __init__(self, kind: type) -> None:
-        self._data, self._size = np.empty(1 << 12, kind), 0
+        self._kind, self._data, self._size = kind, np.empty(0, kind), 0
 
     def add(self, values: np.ndarray) -> None:
         size = self._size + len(values)
         if size > len(self._data):
-            grown = np.empty(size + size // 4, self._data.dtype)
+            room = max(1 << 12, size + size // 4) * np.dtype(self._kind).itemsize
+            grown = np.frombuffer(mmap.mmap(-1, room, mmap.MAP_PRIVATE | mmap.MAP_ANONYMOUS), self._kind)
             grown[: self._size] = self.now
             self._data = grown
         self._data[self._size : size] = values
@@ -210,11 +218,11 @@ class Lattices:
         self._grown = {n: _Grown(np.int32) for n in ("length", "entry", "uses", "left", "owner", "low", "high", "end", "piece")}
         self._grown |= {n: _Grown(np.float64) for n in ("log_share", "upto")}
         self.index: dict[str, int] = {}
-        self._look()
+        for name in self._grown:
+            self._look(name)
 
-    def _look(self) -> None:
-        for name, grown in self._grown.items():
-            setattr(self, name, grown.now)
+    def _look(self, name: str) -> None:
+        setattr(self, name, self._grown[name].now)
 
     def numbers(self, atoms: pa.Array) -> np.ndarray:
         """The number of each atom; lattices are built for those that have none yet."""
@@ -225,9 +233,14 @@ class Lattices:
         numbers = np.fromiter(map(self.index.get, distinct, itertools.repeat(-1)), np.int32, len(distinct))
         new = np.flatnonzero(numbers < 0)
         if len(new):
+            # Like lengths together: a build takes as many steps as its longest atom has characters.
+            lengths = np.fromiter(map(len, distinct[new]), np.int64, len(new))
+            like = np.argsort(-lengths, kind="stable")
+            new, lengths = new[like], lengths[like]
             numbers[new] = np.arange(len(self.index), len(self.index) + len(new))
             self.index.update(zip(distinct[new], numbers[new].tolist()))
-            self._build(distinct[new])
+            for a, b in _ranges(lengths.tolist(), BUILD_CHARS):
+                self._build(distinct[new[a:b]])
         found = numbers[coded.indices.to_numpy()]
         self.uses += np.bincount(found, minlength=len(self.index)).astype(np.int32)
         return found
@@ -244,16 +257,17 @@ class Lattices:
         node[nodes] = np.arange(len(nodes))
         sizes = sizes[nodes]
         high = np.cumsum(sizes)
+        # One array after the other, so that no more than one is there twice.
         left = {
-            "length": self.length[atoms], "entry": node[self.entry[atoms]], "uses": self.uses[atoms] // 2,
-            "left": self.left[nodes], "owner": atom[self.owner[nodes]], "low": high - sizes, "high": high,
-            "end": node[self.end[edges]], "piece": self.piece[edges], "log_share": self.log_share[edges],
-            "upto": self.upto[edges],
+            "length": lambda x: x[atoms], "entry": lambda x: node[x[atoms]], "uses": lambda x: x[atoms] // 2,
+            "left": lambda x: x[nodes], "owner": lambda x: atom[x[nodes]], "low": lambda x: high - sizes, "high": lambda x: high,
+            "end": lambda x: node[x[edges]], "piece": lambda x: x[edges], "log_share": lambda x: x[edges],
+            "upto": lambda x: x[edges],
         }
         self.index = dict(zip(itertools.compress(self.index, stays.tolist()), itertools.count()))
         for name, grown in self._grown.items():
-            grown.put(left[name])
-        self._look()
+            grown.put(left[name](grown.now))
+            self._look(name)
 
     def _build(self, atoms: np.ndarray) -> None:
         pieces, first_atom, first_node, first_edge = self.pieces, len(self.length), len(self.left), len(self.end)
@@ -329,7 +343,7 @@ class Lattices:
         }
         for name, grown in self._grown.items():
             grown.add(added[name])
-        self._look()
+            self._look(name)
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """For each node an edge, by its share."""
@@ -554,11 +568,11 @@ def row_seeds(keys: list, seed: int) -> np.ndarray:
     )
 
 
-def _ranges(lengths: list[int]):
-    """Ranges of rows with at most ``BATCH_CHARS`` characters, or of one row."""
+def _ranges(lengths: list[int], most: int):
+    """Ranges of rows with at most ``most`` characters, or of one row."""
     start = size = 0
     for i, n in enumerate(lengths):
-        if i > start and size + n > BATCH_CHARS:
+        if i > start and size + n > most:
             yield start, i
             start, size = i, 0
         size += n
@@ -582,7 +596,7 @@ def decode_table(
     def decoded(batches):
         for batch in batches:
             lengths = pc.fill_null(pc.list_value_length(batch.column(0)), 0).to_pylist()
-            for a, b in _ranges(lengths):
+            for a, b in _ranges(lengths, BATCH_CHARS):
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[1:], decode_batch(part.column(0), known)], names=[*kept, into]
@@ -616,26 +630,29 @@ def sample(
         results["decoded"] = "string"
     kept = [c for c in docs.columns if c not in results] if with_row else [id_col]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    # Texts are most of what a task is sent, so a text that stays is not sent a second time.
+    sent = kept if text_col in kept else [*kept, text_col]
+    text_at = 1 + sent.index(text_col)
 
     def segment(batches):
         lattices = Lattices(known)
         for batch in batches:
-            lengths = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist()
-            for a, b in _ranges(lengths):
+            lengths = pc.fill_null(pc.utf8_length(batch.column(text_at)), 0).to_pylist()
+            for a, b in _ranges(lengths, BATCH_CHARS):
                 part = batch.slice(a, b - a)
-                texts = [t or "" for t in part.column(1).to_pylist()]
+                texts = [t or "" for t in part.column(text_at).to_pylist()]
                 found = sample_batch(texts, row_seeds(part.column(0).to_pylist(), seed), known, k, lattices)
                 rows = [(n, s, *x) for n, f in enumerate(found) for s, x in enumerate(f, 1)]
                 source, number, ids, log_prob, inclusion = zip(*rows)
                 sizes = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
                 flat = np.concatenate(ids).astype(np.int32)
                 at, lists = pa.array(source), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))
-                columns = [*(c.take(at) for c in part.columns[2:]), pa.array(number, pa.int32()), lists,
+                columns = [*(c.take(at) for c in part.columns[1 : 1 + len(kept)]), pa.array(number, pa.int32()), lists,
                            pa.array(log_prob), pa.array(inclusion)]
                 if decoded:
                     columns.append(decode_batch(lists, known))
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, *results])
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), *(f"{n} {t}" for n, t in results.items())])
-    key, text = F.col(f"`{id_col}`").cast("string").alias("_key"), F.col(f"`{text_col}`").alias("_text")
-    return docs.select(key, text, *[F.col(f"`{c}`") for c in kept]).mapInArrow(segment, schema)
+    key = F.col(f"`{id_col}`").cast("string").alias("_key")
+    return docs.select(key, *[F.col(f"`{c}`") for c in sent]).mapInArrow(segment, schema)

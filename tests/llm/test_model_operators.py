@@ -5,12 +5,14 @@ import math
 import os
 import random
 import re
+import tracemalloc
 from collections import Counter
 from itertools import product
 from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -531,6 +533,44 @@ def test_lattices_of_frequent_atoms_outlast_the_rare_ones(pieces, monkeypatch):
     assert len(built) == 5 + 40 * 20 and {built[f" {w}"] for w in common} == {1}
 
 
+def test_lattices_take_little_memory_beside_what_is_kept(pieces, monkeypatch):
+    """Neither a batch of new atoms nor the dropping of rare ones makes copies as large as all lattices."""
+    texts = [" ".join(f"{random.Random(i * 5000 + j).getrandbits(40):x}" for j in range(5_000)) for i in range(6)]
+    lattices = sp_sampling.Lattices(pieces)
+    kept = lambda: sum(grown.now.nbytes for grown in lattices._grown.values())
+    atoms = [sp_sampling._atoms([t])[0] for t in texts]
+    tracemalloc.start()
+    try:
+        lattices.numbers(pa.concat_arrays(atoms))
+        # What is kept is mapped and not counted here, but for the atoms and their numbers.
+        assert len(lattices.left) > 300_000 and tracemalloc.get_traced_memory()[1] < kept()
+        lattices.numbers(pa.concat_arrays(atoms[:3]))
+        before = kept()
+        monkeypatch.setattr(sp_sampling, "KEPT_CHARS", 340_000)
+        tracemalloc.reset_peak()
+        now = tracemalloc.get_traced_memory()[0]
+        lattices._drop_rare()
+        assert 0.4 * before < kept() < 0.6 * before
+        assert tracemalloc.get_traced_memory()[1] - now < 0.7 * before
+    finally:
+        tracemalloc.stop()
+
+
+def test_texts_that_stay_are_sent_to_the_workers_once(spark, pieces):
+    docs = spark.createDataFrame([(1, "some text", "x")], "doc_id long, text string, source string")
+
+    def sent(df):
+        output = df._jdf.queryExecution().analyzed().children().head().output()
+        return [output.apply(i).name() for i in range(output.size())]
+
+    assert sent(sp_sampling.sample(docs, pieces=pieces, with_row=True)) == ["_key", "doc_id", "text", "source"]
+    assert sent(sp_sampling.sample(docs, pieces=pieces)) == ["_key", "doc_id", "text"]
+    # A text column named like a result is read, and replaced.
+    named = sp_sampling.sample(docs.withColumnRenamed("text", "ids"), pieces=pieces, text_col="ids", with_row=True)
+    assert named.columns == ["doc_id", "source", "sample", "ids", "log_prob", "log_inclusion"]
+    assert {sp_sampling.decode(r.ids, pieces) for r in named.collect()} == {"some text"}
+
+
 def test_segmentation_tables(spark, pieces):
     rows = [(1, "some text here", "c"), (1, "some text here", "d"), (2, None, "e"), (3, "", "f"), (None, "other text", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
